@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op9_best_fit_packing
+from .quality_rules import OP7_SQL, op7_quality_rules
+from .simhash import op1_simhash_near_dedup
 from .token_counts import op6_token_counts
 from .token_files import op4_token_files
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_token_files": op4_token_files,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_source_mixing": op8_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": OP7_SQL,
+    "op8_source_mixing": OP8_SQL,
+}
