@@ -5,20 +5,25 @@ from __future__ import annotations
 from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op9_best_fit_packing
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .repeats import op10_repeat_removal
 from .simhash import op1_simhash_near_dedup
 from .token_counts import op6_token_counts
 from .token_files import op4_token_files
+from .topk import OP2_SQL, op2_exact_topk
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_exact_topk": op2_exact_topk,
     "op4_token_files": op4_token_files,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_repeat_removal": op10_repeat_removal,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_exact_topk": OP2_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_source_mixing": OP8_SQL,
 }
