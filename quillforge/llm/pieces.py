@@ -14,7 +14,8 @@ import os
 import numpy as np
 
 _LETTER, _DIGIT, _SPACE, _BLANK, _OTHER = 0, 1, 2, 3, 4
-_MAX_PIECES = 3_000_000
+_MAX_PIECES = 2_000_000
+_BATCH_CHARS = 1_000_000  # texts cut at a time; the arrays take about 60 bytes a character
 
 
 def _byte_classes() -> np.ndarray:
@@ -73,7 +74,7 @@ class Pieces:
     def _grow_powers(self, n: int):
         if len(self.powers) >= n:
             return
-        n = max(n, 1 << 16)
+        n = max(n, 1 << 20)
         up = np.full(n, self.factor, np.uint64)
         down = np.full(n, pow(self.factor, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
@@ -195,6 +196,12 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint16) and the number of ids of each text."""
+        found = [self._encode(part) for _, part in batches(texts, _BATCH_CHARS)]
+        if not found:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.n_pieces > _MAX_PIECES:
             self._reset()
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -251,7 +258,7 @@ def loaded(name: str, style: str) -> Pieces:
     return _LOADED[name, style]
 
 
-def batches(texts, limit: int = 4_000_000):
+def batches(texts, limit: int = 2_000_000):
     """Runs of a list of texts with about ``limit`` characters each, and where each begins."""
     begin = size = 0
     for i, t in enumerate(texts):

@@ -165,7 +165,7 @@ def write_ids(
     end_id: int = 2,
     base: int = 50_257,
     partition_bytes: int = 24 << 20,
-    block_chars: int = 4_000_000,
+    block_chars: int = 2_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
