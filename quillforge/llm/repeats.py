@@ -38,7 +38,6 @@ from .common import documents, input_bytes
 from .pieces import spread
 
 GRAM = 20
-MANY = 1024  # spans of one minimum, above which windows are sent singly
 _STEP = 4_000_000
 _U = np.uint64
 
@@ -180,33 +179,37 @@ def _list_entries(width: int, buckets: int):
     return work
 
 
-def _judge(key, table):
+def _judge(many: int):
     """Step 2: for each entry 0, 1 (covered by a smaller id), 2 (send the span) or 3 (send its windows)."""
-    n = table.column("n").to_numpy().astype(np.int64)
-    low = np.concatenate([_from_planes(r, 6) for r in table.column("low").to_pylist()])
-    span = np.concatenate([_from_planes(r, 6) for r in table.column("span").to_pylist()])
-    ids = np.concatenate([_from_planes(r, 8) for r in table.column("ids").to_pylist()]).view("<i8")
-    order = np.lexsort((ids, span, low))
-    low, span, ids = low[order], span[order], ids[order]
-    new_low = np.concatenate(([True], low[1:] != low[:-1]))
-    new_span = new_low | np.concatenate(([True], span[1:] != span[:-1]))
-    state = np.zeros(len(low), np.uint8)
-    first = ids[np.maximum.accumulate(np.where(new_span, np.arange(len(ids)), 0))]
-    covered = ids > first
-    state[covered] = 1
-    # minima with several spans and several ids: one of each span
-    heads = np.flatnonzero(new_low)
-    spans = np.add.reduceat(new_span.astype(np.int64), heads)
-    several = (spans > 1) & (np.minimum.reduceat(ids, heads) < np.maximum.reduceat(ids, heads))
-    ask = np.where(several, np.where(spans > MANY, 3, 2), 0).astype(np.uint8)
-    ask = np.repeat(ask, np.diff(np.append(heads, len(low))))
-    state[new_span] = ask[new_span]
-    out = np.empty(len(state), np.uint8)
-    out[order] = state
-    cuts = np.concatenate(([0], np.cumsum(n)))
-    return pa.table({
-        "bucket": table.column("bucket"), "shard": table.column("shard"),
-        "state": pa.array([out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())}, schema=_arrow(_STATE))
+
+    def work(key, table):
+        n = table.column("n").to_numpy().astype(np.int64)
+        low = np.concatenate([_from_planes(r, 6) for r in table.column("low").to_pylist()])
+        span = np.concatenate([_from_planes(r, 6) for r in table.column("span").to_pylist()])
+        ids = np.concatenate([_from_planes(r, 8) for r in table.column("ids").to_pylist()]).view("<i8")
+        order = np.lexsort((ids, span, low))
+        low, span, ids = low[order], span[order], ids[order]
+        new_low = np.concatenate(([True], low[1:] != low[:-1]))
+        new_span = new_low | np.concatenate(([True], span[1:] != span[:-1]))
+        state = np.zeros(len(low), np.uint8)
+        first = ids[np.maximum.accumulate(np.where(new_span, np.arange(len(ids)), 0))]
+        covered = ids > first
+        state[covered] = 1
+        # minima with several spans and several ids: one of each span
+        heads = np.flatnonzero(new_low)
+        spans = np.add.reduceat(new_span.astype(np.int64), heads)
+        several = (spans > 1) & (np.minimum.reduceat(ids, heads) < np.maximum.reduceat(ids, heads))
+        ask = np.where(several, np.where(spans > many, 3, 2), 0).astype(np.uint8)
+        ask = np.repeat(ask, np.diff(np.append(heads, len(low))))
+        state[new_span] = ask[new_span]
+        out = np.empty(len(state), np.uint8)
+        out[order] = state
+        cuts = np.concatenate(([0], np.cumsum(n)))
+        return pa.table({
+            "bucket": table.column("bucket"), "shard": table.column("shard"),
+            "state": pa.array([out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())}, schema=_arrow(_STATE))
+
+    return work
 
 
 def _send(width: int, buckets: int):
@@ -359,13 +362,15 @@ def remove_repeats(
     width: int = 50,
     shard_bytes: int = 4 << 20,
     bucket_bytes: int = 20 << 20,
+    many: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
     with_text: bool = False,
 ) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept`` bytes) of every row.
 
-    ``shard_bytes`` of text are one task's; ``bucket_bytes`` of text send their minima to one bucket.
+    ``shard_bytes`` of text are one task's; ``bucket_bytes`` of text send their minima to one bucket; a
+    minimum with over ``many`` spans has its windows sent one by one.
     One shuffle of the texts, by shard, serves the three passes over them.
     """
     if width < GRAM + 8:
@@ -379,7 +384,7 @@ def remove_repeats(
     ).repartition(shards, "shard")
     by_shard = dealt.groupBy("shard")
     entries = by_shard.applyInArrow(_list_entries(width, buckets), _ENTRY)
-    states = entries.groupBy("bucket").applyInArrow(_judge, _STATE)
+    states = entries.groupBy("bucket").applyInArrow(_judge(many), _STATE)
     spans = by_shard.cogroup(states.groupBy("shard")).applyInArrow(_send(width, buckets), _SPAN)
     ranges = spans.groupBy("bucket").applyInArrow(_sort(width), _RANGE)
     done = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
