@@ -63,7 +63,7 @@ def mix(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """``id``, ``size``, ``source_size``, ``target``, ``taken`` of every row.
+    """``id``, ``size``, ``source_size``, ``target``, ``taken`` (words) and ``copies`` of every row.
 
     ``weights`` repeat over the sources in code point order; ``quality`` has ``id`` and ``weight``.
     """
@@ -98,9 +98,21 @@ def mix(
     # the document on the border is taken if that comes nearer to the budget
     upto = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0))
     parted = df.where(split).withColumn("chosen", 2 * (F.col("before") + upto) - F.col("size") < 2 * F.col("budget"))
+    copies = F.col("epochs") + F.col("chosen").cast("long")
     return whole.unionByName(parted).select(
-        F.col("id").alias(id_col), "size", "source_size", "target",
-        (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken"))
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it.
+
+    Rows with equal id and size share one count, the smallest of theirs.
+    """
+    counts = mixed.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.min("copies").alias("__copies"))
+    counts = counts.where("__copies > 0")
+    joined = docs.withColumn("__n", n_words(F.col(text_col))).join(
+        counts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
 
 
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +122,7 @@ def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), [3, 1, 2], quality=quality_weights(spark, sf_dir))
+    return mix(documents(spark, sf_dir), [3, 1, 2], quality=quality_weights(spark, sf_dir)).drop("copies")
 
 
 OP8_SQL = r"""

@@ -88,6 +88,12 @@ def passes(bits: Column, version: int) -> Column:
     return bits.bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0
 
 
+def keep_passing(docs: DataFrame, version: int = 2, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy passes, with their own columns, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__t"))
+    return measured(rows, "__t").where(passes(fail_bits(), version)).select("__row.*")
+
+
 def ablations(entries: DataFrame, version: int) -> DataFrame:
     """For each rule of a policy: documents it fails, fails alone, and what would be kept without it.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op9_best_fit_packing
+from .pii import op3_pii
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .repeats import op10_repeat_removal
 from .simhash import op1_simhash_near_dedup
@@ -14,6 +15,7 @@ from .topk import OP2_SQL, op2_exact_topk
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_exact_topk": op2_exact_topk,
+    "op3_pii": op3_pii,
     "op4_token_files": op4_token_files,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,

@@ -15,8 +15,9 @@ entry from the start.  Lists longer than ``list_rows`` are cut into blocks and e
 blocks is searched, so no task holds more than two blocks and no link is lost.
 
 Edge cases: null or blank texts have fingerprint zero and are linked like any other; texts of fewer
-than four words are one shingle; repeated rows and ids return a row each; null ids get their
-own fingerprint but take part in groups only through equal fingerprints; empty tables give no rows; other columns are ignored.
+than four words are one shingle; repeated rows return a row each, and rows with equal ids are one
+document, so their fingerprints are linked; a row with null id gets its fingerprint and the group of that
+fingerprint, if any, but links nothing; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -207,5 +208,15 @@ def near_duplicates(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text
         F.col("component").alias("component_id"))
 
 
+def keep_first(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate group: its smallest id.  Rows without an id stay as they are."""
+    groups = near_duplicates(docs, bits, id_col, text_col)
+    firsts = stage(groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "firsts")
+    kept = docs.join(firsts, id_col, "left_semi").select(docs.columns)
+    if not firsts.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
