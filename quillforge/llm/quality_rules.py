@@ -89,9 +89,14 @@ def passes(bits: Column, version: int) -> Column:
 
 
 def keep_passing(docs: DataFrame, version: int = 2, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a policy passes, with their own columns, whatever their names."""
+    """The rows of ``docs`` that a policy passes, with their own columns, whatever their names.
+
+    The optimizer would push the filter below the measurements and compute each of them again inside the
+    condition; a column that isn't deterministic, and that the filter uses, keeps it above them.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__t"))
-    return measured(rows, "__t").where(passes(fail_bits(), version)).select("__row.*")
+    judged = measured(rows, "__t").select("__row", fail_bits().alias("__bits"), F.monotonically_increasing_id().alias("__n"))
+    return judged.where(passes(F.col("__bits"), version) & (F.col("__n") >= 0)).select("__row.*")
 
 
 def ablations(entries: DataFrame, version: int) -> DataFrame:
