@@ -28,6 +28,7 @@ nothing; an empty table gives no rows; other columns are ignored; a document of
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ from .common import documents, input_bytes
 from .pieces import spread
 
 GRAM = 20
-_STEP = 4_000_000
+_STEP = 1 << 19  # windows hashed, or suffixes sorted, at a time
+_SIDE = 4 << 20
 _U = np.uint64
 
 
@@ -272,6 +274,18 @@ def previous_factors(buffer: np.ndarray, at: np.ndarray, ids: np.ndarray, width:
     it is the last suffix of the nearest smaller id before, found where the run of equal ids begins.
     """
     view = np.ndarray((len(buffer) - 7,), ">u8", buffer, 0, (1,))
+    if len(at) > 2 * _STEP:
+        # slices of the suffix order by the first word; a word that many suffixes share stays in one
+        first = view[at]
+        cuts = np.unique(np.sort(first[:: max(1, len(at) // 65_536)])[:: max(1, 65_536 * _STEP // len(at))])
+        part = np.searchsorted(cuts, first, side="right")
+        if part.min() < part.max():
+            factor = np.zeros(len(at), np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.flatnonzero(np.diff(part[order])) + 1
+            for own in np.split(order, ends):
+                factor[own] = previous_factors(buffer, at[own], ids[own], width) if len(own) < len(at) else 0
+            return factor
     words = [view[at + o].astype(np.uint64) for o in [*range(0, width - 8, 8), width - 8]]
     order = np.lexsort((ids, *words[::-1]))
     same = np.ones(len(at), bool)
@@ -360,8 +374,8 @@ def _drop(width: int, with_text: bool):
 def remove_repeats(
     docs: DataFrame,
     width: int = 50,
-    shard_bytes: int = 4 << 20,
-    bucket_bytes: int = 20 << 20,
+    shard_bytes: int | None = None,
+    bucket_bytes: int | None = None,
     many: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -369,14 +383,16 @@ def remove_repeats(
 ) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and ``kept`` bytes) of every row.
 
-    ``shard_bytes`` of text are one task's; ``bucket_bytes`` of text send their minima to one bucket; a
-    minimum with over ``many`` spans has its windows sent one by one.
+    ``shard_bytes`` of text are one task's; ``bucket_bytes`` of text send their minima to one bucket.  By
+    default both are 4 MiB, and grow with the square root of the input once a shard would send a
+    bucket fewer than about a hundred entries.  A minimum with over ``many`` spans has its windows sent one by one.
     One shuffle of the texts, by shard, serves the three passes over them.
     """
     if width < GRAM + 8:
         raise ValueError(f"width must be at least {GRAM + 8}")
     total = input_bytes(docs, text_col)
-    shards, buckets = max(1, -(-total // shard_bytes)), max(1, -(-total // bucket_bytes))
+    side = max(_SIDE, math.isqrt(1600 * total))
+    shards, buckets = max(1, -(-total // (shard_bytes or side))), max(1, -(-total // (bucket_bytes or side)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     dealt = keyed.where("id is not null").select(
