@@ -1 +1 @@
-"""See the package README section."""
+"""Column expressions: text normalization, answer comparison, identities."""

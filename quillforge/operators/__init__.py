@@ -1 +1 @@
-"""See the package README section."""
+"""Operators over flat tables: blocks, extraction, reconciliation, review, grading, runs."""

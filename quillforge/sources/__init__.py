@@ -1 +1 @@
-"""See the package README section."""
+"""Readers, identities, admission, append-only sinks and ownership checks."""
