@@ -209,10 +209,13 @@ def near_duplicates(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text
 
 
 def keep_first(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: its smallest id.  Rows without an id stay as they are."""
+    """One row of each near-duplicate group: its smallest id.  Rows without an id stay as they are.
+
+    The ids kept grow with the input, so the join is a merge join at every size.
+    """
     groups = near_duplicates(docs, bits, id_col, text_col)
     firsts = stage(groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "firsts")
-    kept = docs.join(firsts, id_col, "left_semi").select(docs.columns)
+    kept = docs.join(firsts.hint("merge"), id_col, "left_semi").select(docs.columns)
     if not firsts.where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
