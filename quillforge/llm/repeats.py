@@ -128,6 +128,7 @@ class Shard:
         Returns per entry: bucket, minimum, span hash, id; per run: entry, and the run arrays.
         """
         low, at, size, doc = runs(self.buffer, self.begins, self.width, GRAM)
+        low = _mix(low)  # minima crowd near zero; mixed, they spread evenly over the buckets
         first = _gathered(self.buffer, at, self.width)
         span = _mix(first * _U(3) + _gathered(self.buffer, at + size - 1, self.width) * _U(5) + size.astype(np.uint64))
         # runs are in document order, so the first of equal ones is of the smallest id
