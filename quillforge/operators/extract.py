@@ -31,9 +31,9 @@ def segment_items(docs: DataFrame, column: str = "text") -> DataFrame:
     Marker positions are running sums over the parts between markers; the sequence is a fold.
     """
     df = docs.withColumn("n", normalize_text(F.col(column)))
-    df = df.withColumn("marks", F.regexp_extract_all("n", F.lit(MARKER), F.lit(0))).withColumn("parts", F.split("n", MARKER, -1))
-    df = df.withColumn("marks", F.transform("marks", lambda m, i: F.struct(
-        m.alias("mark"), F.length(F.get("parts", i)).alias("skip"), F.regexp_extract(m, r"\d+", 0).cast("int").alias("ordinal"))))
+    marks, parts = F.regexp_extract_all("n", F.lit(MARKER), F.lit(0)), F.split("n", MARKER, -1)
+    df = df.withColumn("marks", F.filter(F.zip_with(marks, parts, lambda m, p: F.struct(
+        m.alias("mark"), F.length(p).alias("skip"), F.regexp_extract(m, r"\d+", 0).cast("int").alias("ordinal"))), lambda x: x["mark"].isNotNull()))
     fold = F.aggregate(
         "marks", F.expr("named_struct('at', 0, 'items', cast(array() as array<struct<ordinal:int,start:int,content:int>>))"),
         lambda acc, m: F.struct(
@@ -42,7 +42,7 @@ def segment_items(docs: DataFrame, column: str = "text") -> DataFrame:
                 m["ordinal"].alias("ordinal"), (acc["at"] + m["skip"]).alias("start"),
                 (acc["at"] + m["skip"] + F.length(m["mark"])).alias("content"))))).otherwise(acc["items"]).alias("items")),
         lambda acc: acc["items"])
-    return df.withColumn("items", fold).drop("marks", "parts")
+    return df.withColumn("items", fold).drop("marks")
 
 
 def item_prompts(segmented: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def _positions(col: Column, pattern: str) -> Column:
     """Start, text and all spans of the matches of a pattern, as an array of structs."""
     found, parts = F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), F.split(col, pattern, -1)
     return F.aggregate(
-        F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(F.get(parts, i)).alias("skip"))),
+        F.filter(F.zip_with(found, parts, lambda m, p: F.struct(m.alias("m"), F.length(p).alias("skip"))), lambda x: x["m"].isNotNull()),
         F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,value:string>>))"),
         lambda acc, x: F.struct((acc["at"] + x["skip"] + F.length(x["m"])).alias("at"), F.concat(
             acc["out"], F.array(F.struct((acc["at"] + x["skip"]).alias("start"), x["m"].alias("value")))).alias("out")),
