@@ -1 +1 @@
-"""See the package README section."""
+"""Structured Streaming forms of the run, attempt and outbox operators."""
