@@ -65,7 +65,7 @@ def matches_any(text: Column, accepted: Column) -> Column:
 def prompt_tokens(col: Column) -> Column:
     """Words of a word-order prompt: split at slashes, without a leading number, blanks dropped."""
     bare = F.regexp_replace(col, r"^\s*\d+[.)]?\s+", "")
-    return F.filter(F.transform(F.split(bare, "/"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(bare, "/"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def split_gap(col: Column) -> Column:

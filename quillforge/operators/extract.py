@@ -48,8 +48,9 @@ def segment_items(docs: DataFrame, column: str = "text") -> DataFrame:
 def item_prompts(segmented: DataFrame) -> DataFrame:
     """One row an item: ordinal, prompt with its span in the normalized text, and the group instruction."""
     head = F.trim(F.substring("n", F.lit(1), F.get("items", F.lit(0))["start"]))
-    df = segmented.where(F.size("items") > 0).withColumn("instruction", F.when(head != "", head).otherwise(F.lit(DEFAULT_INSTRUCTION)))
-    df = df.select("doc_id", "n", "items", "instruction", F.posexplode("items").alias("i", "item"))
+    df = segmented.withColumn("instruction", F.when(head != "", head).otherwise(F.lit(DEFAULT_INSTRUCTION)))
+    # outer, so that no filter on the fold is inferred below it and the fold runs once
+    df = df.select("doc_id", "n", "items", "instruction", F.posexplode_outer("items").alias("i", "item")).where("i is not null")
     stop = F.coalesce(F.get("items", F.col("i") + 1)["start"], F.length("n"))
     raw = F.substring(F.col("n"), F.col("item.content") + 1, stop - F.col("item.content"))
     start = F.col("item.content") + F.length(raw) - F.length(F.ltrim(raw))
@@ -71,13 +72,18 @@ def _positions(col: Column, pattern: str) -> Column:
         lambda acc: acc["out"])
 
 
+def count_markers(col: Column) -> Column:
+    """How many answer fields a prompt has."""
+    brackets = F.regexp_count(col, F.lit(r"\([^)]+\)"))
+    return F.when(brackets > 0, brackets).otherwise(F.regexp_count(col, F.lit(r"\.{3,}")))
+
+
 def answer_markers(items: DataFrame) -> DataFrame:
     """Answer fields of each item: all brackets, or else the runs of three or more dots."""
-    brackets, dots = _positions(F.col("source_prompt"), r"\([^)]+\)"), _positions(F.col("source_prompt"), r"\.{3,}")
-    df = items.withColumn("brackets", brackets).withColumn("dots", dots)
-    kind = F.when(F.size("brackets") > 0, "bracket").otherwise("ellipsis")
-    df = df.withColumn("marker_kind", kind).withColumn("found", F.when(F.size("brackets") > 0, F.col("brackets")).otherwise(F.col("dots")))
-    df = df.select("doc_id", "exercise_id", "start", "marker_kind", F.posexplode("found").alias("i", "m"))
+    bracket = F.col("source_prompt").rlike(r"\([^)]+\)")
+    found = F.when(bracket, _positions(F.col("source_prompt"), r"\([^)]+\)")).otherwise(_positions(F.col("source_prompt"), r"\.{3,}"))
+    df = items.withColumn("marker_kind", F.when(bracket, "bracket").otherwise("ellipsis"))
+    df = df.select("doc_id", "exercise_id", "start", "marker_kind", F.posexplode_outer(found).alias("i", "m")).where("i is not null")
     value = F.when(F.col("marker_kind") == "bracket", F.trim(F.expr("substring(m.value, 2, length(m.value) - 2)"))).otherwise(F.col("m.value"))
     return df.select(
         "doc_id", "exercise_id", F.concat("exercise_id", F.lit(":answer:"), F.col("i") + 1).alias("field_id"), (F.col("i") + 1).alias("ord"),
@@ -182,7 +188,7 @@ def extract_odd_one_out(slices: DataFrame, group: int = 4) -> DataFrame:
     """Numbered tab-separated values, three or more."""
     df = slices.where("not part").where(F.col("group") == group).withColumn("cols", F.split(F.trim("raw_text"), r"\t+"))
     df = df.withColumn("ordinal", F.nullif(F.regexp_extract(F.col("cols")[0], NUMBERED, 1), F.lit("")).cast("int")).where("ordinal is not null")
-    values = F.filter(F.transform(F.concat(F.array(F.regexp_extract(F.col("cols")[0], NUMBERED, 2)), F.slice("cols", 2, F.greatest(F.size("cols") - 1, F.lit(0)))), F.trim), lambda v: v != "")
+    values = F.filter(F.transform(F.concat(F.array(F.regexp_extract(F.col("cols")[0], NUMBERED, 2)), F.slice("cols", 2, F.greatest(F.size("cols") - 1, F.lit(0)))), lambda t: F.trim(t)), lambda v: v != "")
     df = df.withColumn("values", values).where(F.size("values") >= 3)
     df = df.withColumn("options", F.transform("values", lambda v, i: F.struct((i + 1).cast("string").alias("label"), v.alias("value"))))
     return _exercise(df, "oddOneOut", F.array_join("values", " | "))
@@ -347,11 +353,14 @@ def extraction_issues(items: DataFrame, fields: DataFrame) -> DataFrame:
     return open_.unionByName(cut)
 
 
-def extraction_coverage(docs: DataFrame, items: DataFrame, fields: DataFrame) -> DataFrame:
-    """Per document: items, fields, whether it breaks off, and the status."""
-    by_item = items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max("truncated").alias("truncated"))
-    by_field = fields.groupBy("doc_id").agg(F.count("*").alias("n_fields"))
-    out = docs.select("doc_id").join(by_item, "doc_id", "left").join(by_field, "doc_id", "left")
+def extraction_coverage(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per document: items, fields, whether it breaks off, and the status.
+
+    Fields are counted on the items, so the texts are segmented once.
+    """
+    by_doc = items.groupBy("doc_id").agg(
+        F.count("*").alias("n_items"), F.sum(count_markers(F.col("source_prompt"))).alias("n_fields"), F.max("truncated").alias("truncated"))
+    out = docs.select("doc_id").join(by_doc, "doc_id", "left")
     n, m, cut = F.coalesce("n_items", F.lit(0)).cast("long"), F.coalesce("n_fields", F.lit(0)).cast("long"), F.coalesce("truncated", F.lit(False))
     status = F.when(n == 0, "empty").when((m > 0) | cut, "needsReview").otherwise("complete")
     return out.select("doc_id", n.alias("n_items"), m.alias("n_fields"), cut.alias("truncated"), status.alias("status"))
@@ -361,6 +370,6 @@ def extract_text(docs: DataFrame, column: str = "text") -> tuple[DataFrame, Data
     """E2-E5, E25 in one: items, fields and coverage of numbered texts."""
     items = flag_truncated(item_prompts(segment_items(docs, column)))
     fields = answer_markers(items)
-    return items, fields, extraction_coverage(docs, items, fields)
+    return items, fields, extraction_coverage(docs, items)
 
 

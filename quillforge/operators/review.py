@@ -49,7 +49,7 @@ def apply_exercise_creates(exercises: DataFrame, creates: DataFrame) -> tuple[Da
 
     A new exercise needs a prompt and an answer, a choice two options; ordinals go on from the group's last.
     """
-    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda x: x != "")
     new = creates.withColumn("prompt", F.trim("prompt")).withColumn("answers", tidy(F.col("answers"))).withColumn("options", tidy(F.col("options")))
     fine = (F.coalesce("prompt", F.lit("")) != "") & (F.size("answers") > 0) & (~F.col("kind").isin("singleChoice", "oddOneOut") | (F.size("options") >= 2))
     last = exercises.groupBy("group_id").agg(F.max("ord").alias("__last"))
@@ -132,7 +132,7 @@ def candidates_to_exercises(candidates: DataFrame) -> DataFrame:
 
     Tabs become a gap unless there is one already; fewer than two options is an error; other kinds keep the cleaned prompt.
     """
-    lines = F.filter(F.transform(F.split("raw_prompt", "\n"), F.trim), lambda l: l != "")
+    lines = F.filter(F.transform(F.split("raw_prompt", "\n"), lambda t: F.trim(t)), lambda l: l != "")
     option = r"(?i)^[a-h][.)]?\s+\S"
     df = candidates.withColumn("l", lines).withColumn("is_opt", F.transform("l", lambda x: x.rlike(option)))
     df = df.withColumn("at", F.coalesce(F.nullif(F.array_position("is_opt", True), F.lit(0)), F.size("l") + 1).cast("int"))

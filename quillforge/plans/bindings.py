@@ -35,8 +35,8 @@ def exercise_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id``, ``text``: each line as ``k. word (word) rest``."""
     d = table(spark, sf_dir, "documents")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    return d.select("doc_id", F.array_join(F.transform(lines, lambda l, i: F.concat(
-        (i + 1).cast("string"), F.lit(". "), F.regexp_replace(l, "^([^ ]+) ([^ ]+)", "$1 ($2)"))), "\n").alias("text"))
+    return d.select("doc_id", F.array_join(F.transform(lines, lambda line, i: F.concat(
+        (i + 1).cast("string"), F.lit(". "), F.regexp_replace(line, "^([^ ]+) ([^ ]+)", "$1 ($2)"))), "\n").alias("text"))
 
 
 EXERCISE_TEXTS_SQL = r"""v_texts AS (
