@@ -35,13 +35,14 @@ class ImpactIndex:
     def __init__(self, vectors: np.ndarray, levels: int = LEVELS):
         self.vectors = vectors
         size = np.abs(vectors)
-        self.step = max(1, -(-int(size.max(initial=0)) // levels))
-        level = size // self.step
+        top = int(size.max(initial=0)) + 1
+        # level edges grow with the square, so that a few large components don't coarsen all the others
+        level = (levels * np.sqrt(size / top)).astype(np.int64)
         sign = np.sign(vectors)
         left = vectors.astype(np.float64)
         self.segments = []
         for at in range(int(level.max(initial=0)), -1, -1):
-            impact = at * self.step + (self.step - 1) / 2
+            impact = top * (at**2 + (at + 1) ** 2) / (2 * levels**2)
             entries = np.where(level == at, sign, 0)
             left -= entries * impact
             rest = np.sqrt((left * left).sum(axis=1))

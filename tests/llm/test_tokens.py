@@ -60,8 +60,8 @@ def test_cache_is_reused_and_only_misses_are_added(spark, docs):
     assert spark.read.parquet(path).count() == n
     assert token_counts.token_counts(docs, path).count() == docs.count()
     # a stored count is used as it is
-    spark.sql(f"select digest, tokenizer, 999L as n_tokens from parquet.`{path}`").write.mode("append").parquet(path)
-    assert {r.n_tokens for r in token_counts.token_counts(docs, path).collect()} == {999}
+    spark.sql(f"select digest, tokenizer, 999999L as n_tokens from parquet.`{path}`").write.mode("append").parquet(path)
+    assert {r.n_tokens for r in token_counts.token_counts(docs, path).collect()} == {999999}
 
 
 def test_counts_edges(spark, docs, none):
