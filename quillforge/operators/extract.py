@@ -229,7 +229,7 @@ def segment_articles(blocks: DataFrame, heading: str, reference: str, instructio
     df = df.withColumn("head", F.nullif(F.regexp_extract("t", heading, 1), F.lit("")).cast("int"))
     order = W.partitionBy("doc_id").orderBy("ord")
     df = df.withColumn("source_order", F.sum(F.col("head").isNotNull().cast("int")).over(order))
-    first = F.min_by("head", "ord").over(W.partitionBy("doc_id"))
+    first = F.min_by("head", F.when(F.col("head").isNotNull(), F.col("ord"))).over(W.partitionBy("doc_id"))
     df = df.withColumn("group", F.coalesce(F.last("head", ignorenulls=True).over(order), first - 1))
     inside = W.partitionBy("doc_id", "source_order").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     refers = F.max(F.col("t").rlike(reference)).over(inside)
