@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillforge.operators import answer_key as ak
+from quillforge.operators import extract as ex
 from quillforge.operators import planning as pl
 from quillforge.operators import publish as pb
 from quillforge.operators import quality as ql
@@ -325,3 +326,61 @@ def v2_lineage_failures(spark, sf_dir):
         (F.length("raw_text") + F.when(k == 0, 1).otherwise(0)).alias("char_end"), (F.col("page_index") + F.when(k == 1, 1).otherwise(0)).alias("page_index"), "x", "y", "width", "height")
     docs = bl.select("doc_id", F.col("doc_id").alias("source_id")).distinct()
     return ql.lineage_failures(refs, bl, docs).select("doc_id", "block_id", "code")
+
+
+@query("""WITH c AS (SELECT event_id, event_id % 300 AS a, row_number() OVER (PARTITION BY event_id % 300 ORDER BY ts, event_id) AS n FROM events)
+SELECT a AS attempt_id, event_id AS claim_id FROM c WHERE n = 1 AND a % 2 = 0""")
+def st6_outbox_claims(spark, sf_dir):
+    """ST6: events as claims on 300 deliveries, half of them pending."""
+    e = b.table(spark, sf_dir, "events")
+    claims = e.select((F.col("event_id") % 300).alias("attempt_id"), F.col("event_id").alias("claim_id"), F.col("ts").alias("arrived"))
+    outbox = claims.select("attempt_id").distinct().select(
+        "attempt_id", F.when(F.col("attempt_id") % 2 == 0, "pending").otherwise("sent").alias("status"), F.lit(None).cast("timestamp").alias("claimed_at"))
+    return rn.claim_outbox(outbox, claims, NOW)[1].where("won").select("attempt_id", "claim_id")
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'draft' WHEN n_chars % 3 = 1 THEN 'layoutReview' ELSE 'empty' END AS route FROM documents""")
+def st14_routes(spark, sf_dir):
+    """ST14: documents with groups, with candidates only, and with neither, by their length."""
+    d = b.table(spark, sf_dir, "documents")
+    return rn.route_extraction(d, d.where("n_chars % 3 = 0"), d.where("n_chars % 3 <> 2")).select("doc_id", "route")
+
+
+@query("""WITH r AS (SELECT DISTINCT l_suppkey % 20 AS d, l_orderkey % 50 AS blk, l_linenumber AS s, l_partkey % 40 AS region FROM lineitem WHERE l_linenumber % 2 = 0)
+SELECT d AS doc_id, count(*)::BIGINT AS n FROM (SELECT d, blk, s FROM r GROUP BY 1, 2, 3 HAVING count(DISTINCT region) > 1) GROUP BY 1""")
+def w16_ownership(spark, sf_dir):
+    """Lines as leaf regions (even numbers) and others; spans with several owners by document."""
+    l = b.table(spark, sf_dir, "lineitem")
+    regions = l.select(
+        (F.col("l_suppkey") % 20).alias("doc_id"), (F.col("l_partkey") % 40).cast("string").alias("region_id"), F.when(F.col("l_linenumber") % 2 == 0, "option").otherwise("instruction").alias("role"),
+        F.array(F.struct((F.col("l_orderkey") % 50).cast("string").alias("block_id"), F.col("l_linenumber").alias("char_start"), (F.col("l_linenumber") + 5).alias("char_end"))).alias("sources"))
+    return rc.ownership_conflicts(regions).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + b.BLOCKS_SQL + """ SELECT doc_id, 'INVALID_SPAN' AS code, block_id AS owner_id FROM v_blocks WHERE ord % 5 = 0 OR ord % 7 = 0""")
+def w10_span_conflicts(spark, sf_dir):
+    """A region for each line; some reach past the block, some name a block that is not there."""
+    bl = b.blocks(spark, sf_dir)
+    known = F.when(F.col("ord") % 7 == 0, F.concat("block_id", F.lit("?"))).otherwise(F.col("block_id"))
+    end = F.length("raw_text") + F.when(F.col("ord") % 5 == 0, 1).otherwise(0)
+    regions = bl.select("doc_id", F.col("block_id").alias("region_id"), F.array(F.struct(known.alias("block_id"), F.lit(0).alias("char_start"), end.alias("char_end"))).alias("sources"))
+    return rc.region_span_conflicts(regions, bl).select("doc_id", "code", "owner_id")
+
+
+@query("""SELECT user_id AS run_id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'FAILURE_MISSING' ELSE 'FAILURE_UNEXPECTED' END AS code FROM events WHERE (event_type = 'error') <> (value > 10)""")
+def v15_event_rules(spark, sf_dir):
+    """Errors as failed events; those with large values carry a failure."""
+    e = b.table(spark, sf_dir, "events")
+    ev = e.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"),
+        F.when(F.col("value") > 10, "terminal").alias("failure_kind"), F.lit(None).cast("string").alias("failure_code"), F.lit(False).alias("resume_allowed"), F.lit(None).cast("string").alias("details"))
+    return ql.event_violations(ev)
+
+
+@query("WITH " + b.BLOCKS_SQL + """, f AS (SELECT doc_id, block_id, raw_text, CASE WHEN ord % 4 = 0 THEN '#none#' ELSE string_split(raw_text, ' ')[2] END AS w FROM v_blocks)
+SELECT doc_id, block_id, CASE WHEN strpos(raw_text, w) > 0 THEN strpos(raw_text, w) - 1 ELSE 0 END::BIGINT AS char_start,
+  CASE WHEN strpos(raw_text, w) > 0 THEN strpos(raw_text, w) - 1 + length(w) ELSE length(raw_text) END::BIGINT AS char_end FROM f""")
+def e23_source_refs(spark, sf_dir):
+    """The second word of each line, or a fragment that is not there."""
+    bl = b.blocks(spark, sf_dir).withColumn("w", F.when(F.col("ord") % 4 == 0, "#none#").otherwise(F.get(F.split("raw_text", " "), F.lit(1))))
+    return ex.add_source_ref(bl, "w").select("doc_id", "block_id", F.col("char_start").cast("long"), F.col("char_end").cast("long"))
