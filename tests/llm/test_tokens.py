@@ -148,7 +148,7 @@ def test_bounds_and_exchange(spark):
         assert -(-lengths.sum() // 100) <= bound <= len(fill) and fill.max() <= 100 and fill.sum() == lengths.sum()
     assert packing.lower_bound(np.array([51] * 7), 100) == 7 and packing.lower_bound(np.array([34] * 6), 100) == 3
     df = spark.range(3000).selectExpr("id as doc_id", "cast(1 + pmod(xxhash64(id), 99) as bigint) as length")
-    rows = packing.pack(df, 100, part_rows=200).collect()
+    rows = packing.pack(df, 100, part_rows=1000).collect()
     assert len(rows) == 3000
     bound = packing.lower_bound(np.array([r.length for r in rows]), 100)
     assert check_packed(rows, 100) <= 1.02 * bound + 1
