@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import OP5_SQL, op5_license_scan
 from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op9_best_fit_packing
 from .pii import op3_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_exact_topk": op2_exact_topk,
     "op3_pii": op3_pii,
     "op4_token_files": op4_token_files,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mixing": op8_source_mixing,
@@ -26,6 +28,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_topk": OP2_SQL,
+    "op5_license_scan": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_source_mixing": OP8_SQL,
 }
