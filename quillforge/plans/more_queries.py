@@ -204,6 +204,15 @@ def g5_suggestion_checks(spark, sf_dir):
     return pl.check_suggestions(s, b.table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("field_id")))
 
 
+@query("""SELECT l_partkey AS field_id, 'DUPLICATE_ID' AS code FROM lineitem GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT p_partkey, 'MISSING_ID' FROM part WHERE p_type <> 'ECONOMY' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)
+UNION ALL SELECT DISTINCT l_partkey, 'UNKNOWN_ID' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type <> 'ECONOMY')""")
+def g5_all_suggestion_checks(spark, sf_dir):
+    """Every line as a suggestion for the fields outside one group."""
+    s = b.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("field_id"))
+    return pl.check_suggestions(s, b.table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("field_id")))
+
+
 @query("""SELECT user_id AS run_id, CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN round(sum(value), 4) END AS tokens FROM events GROUP BY 1""")
 def g7_usage_totals(spark, sf_dir):
     """Values of errors are unknown, and make their user's total unknown."""
