@@ -109,19 +109,22 @@ def submit_attempts(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 def report_parts(rows: DataFrame, limit: int = 3900, answer_limit: int = 300) -> DataFrame:
     """Report lines of an attempt packed, in order, into parts of at most ``limit`` code points.
 
-    ``rows``: attempt_id, ord, prompt, answer, correct.  A fold in row order: a line that does not fit opens a part.
+    ``rows``: attempt_id, ord, prompt, answer, correct.  A fold in row order: a line that does not fit opens a part; one longer than
+    ``limit`` is carried on in parts of its own, never cut inside an escape, and the next line may follow in its last part.
     """
     mark = F.when(F.col("correct"), "+").otherwise("-")
     line = F.concat(mark, F.lit(" "), escape_html(F.coalesce("prompt", F.lit(""))), F.lit(": "),
                     escape_html(shorten(F.coalesce("answer", F.lit("")), answer_limit)))
-    listed = rows.select("attempt_id", F.struct("ord", F.substring(line, 1, limit).alias("line")).alias("r"))
+    pieces = F.regexp_extract_all(line, F.lit(f"(?s).{{1,{limit}}}(?<!&[a-z]{{0,3}})"), F.lit(0))
+    listed = rows.select("attempt_id", F.struct("ord", line.alias("line"), pieces.alias("pieces")).alias("r"))
     listed = listed.groupBy("attempt_id").agg(F.array_sort(F.collect_list("r")).alias("lines"))
+    steps = F.flatten(F.transform("lines", lambda r: F.transform(r["pieces"], lambda p, i: F.struct(p.alias("text"), (i > 0).alias("carried")))))
     fold = F.aggregate(
-        F.transform("lines", lambda r: r["line"]), F.expr("cast(array() as array<string>)"),
+        steps, F.expr("cast(array() as array<string>)"),
         lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.length(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))) + 1 + F.length(x) <= limit),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit("\n"), x))),
-        ).otherwise(F.concat(acc, F.array(x))))
+            ~x["carried"] & (F.size(acc) > 0) & (F.length(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))) + 1 + F.length(x["text"]) <= limit),
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit("\n"), x["text"]))),
+        ).otherwise(F.concat(acc, F.array(x["text"]))))
     return listed.select("attempt_id", F.posexplode(fold).alias("part", "body"))
 
 

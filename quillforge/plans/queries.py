@@ -298,6 +298,16 @@ def h13_reports(spark, sf_dir):
     return parts.where("n = 1").select("attempt_id", "chars")
 
 
+@query("WITH " + b.RESPONSES_SQL + """, l AS (SELECT attempt_id, length('+ ' || p_brand || ': ' || text) AS n, field_id, p_brand || ': ' || text AS t FROM v_responses),
+p AS (SELECT attempt_id, field_id, t, unnest(range(0, n, 3900)) AS k, n FROM l), s AS (SELECT attempt_id, list([(k > 0)::BIGINT, least(n - k, 3900)] ORDER BY field_id, t, k) AS steps FROM p GROUP BY 1),
+f AS (SELECT attempt_id, list_reduce(list_prepend([]::BIGINT[], list_transform(steps, lambda x: x::BIGINT[])), lambda a, x:
+  CASE WHEN len(a) > 0 AND x[1] = 0 AND a[-1] + 1 + x[2] <= 3900 THEN list_append(a[:-2], a[-1] + 1 + x[2]) ELSE list_append(a, x[2]) END) AS parts FROM s)
+SELECT attempt_id, unnest(range(len(parts)))::INTEGER AS part, unnest(parts)::INTEGER AS characters FROM f""")
+def h13_report_parts(spark, sf_dir):
+    """Every part of every attempt's report."""
+    return gr.report_parts(_responses_as_rows(spark, sf_dir)).select("attempt_id", "part", F.length("body").alias("characters"))
+
+
 def _responses_as_rows(spark, sf_dir):
     r = b.responses(spark, sf_dir).join(b.fields(spark, sf_dir).select("field_id", "exercise_id"), "field_id")
     return r.select("attempt_id", F.col("field_id").alias("ord"), F.col("exercise_id").alias("prompt"), F.col("text").alias("answer"), (F.col("quantity") % 3 < 2).alias("correct"))
