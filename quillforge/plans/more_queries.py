@@ -324,6 +324,21 @@ def v9_versions(spark, sf_dir):
     return new.select("source_id", "draft_id", "version")
 
 
+@query("""WITH s AS (SELECT o_custkey AS source_id, o_orderkey, o_orderdate, o_orderdate >= TIMESTAMP '1998-01-01' AS late FROM orders WHERE o_orderstatus = 'F'),
+old AS (SELECT source_id, count(*) AS n FROM s WHERE NOT late GROUP BY 1)
+SELECT source_id, o_orderkey AS draft_id, late, (CASE WHEN late THEN coalesce(n, 0) ELSE 0 END + row_number() OVER (PARTITION BY source_id, late ORDER BY o_orderdate, o_orderkey))::INTEGER AS version
+FROM s LEFT JOIN old USING (source_id)""")
+def v9_stored_versions(spark, sf_dir):
+    """V9: orders from 1998 on go on from the versions that the earlier ones have stored; all rows of both."""
+    o = b.table(spark, sf_dir, "orders")
+    drafts = o.select(F.col("o_orderkey").alias("draft_id"), F.col("o_custkey").alias("source_id"), F.col("o_custkey").alias("lesson_id"), F.lit(False).alias("has_matching"), F.lit(True).alias("confirmed"), F.col("o_orderdate").alias("created_at"))
+    reasons = o.select(F.col("o_orderkey").alias("draft_id"), F.when(F.col("o_orderstatus") == "F", F.array().cast("array<string>")).otherwise(F.array(F.lit("OPEN_BLOCKING_ISSUE"))).alias("reasons"))
+    late = F.col("created_at") >= F.lit("1998-01-01").cast("timestamp")
+    early, _ = pb.publish(drafts.where(~late), reasons, drafts.limit(0).withColumn("version", F.lit(0)))
+    new, _ = pb.publish(drafts.where(late), reasons, early)
+    return early.withColumn("late", F.lit(False)).unionByName(new.withColumn("late", F.lit(True))).select("source_id", "draft_id", "late", "version")
+
+
 @query("WITH " + b.BLOCKS_SQL + """, r AS (SELECT doc_id, block_id, ord, length(raw_text) AS n, page_index FROM v_blocks)
 SELECT doc_id, block_id, CASE WHEN ord % 7 = 0 THEN 'RANGE_OUTSIDE_BLOCK' WHEN ord % 7 = 1 THEN 'PAGE_MISMATCH' WHEN ord % 7 = 2 THEN 'SOURCE_MISMATCH' END AS code FROM r WHERE ord % 7 < 3""")
 def v2_lineage_failures(spark, sf_dir):

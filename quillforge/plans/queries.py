@@ -174,6 +174,20 @@ def s8_replays(spark, sf_dir):
     return intake.resolve_replay(src, src.limit(0)).select("doc_id", "outcome")
 
 
+@query("WITH " + b.SOURCES_SQL + """, k AS (SELECT *, owner_id || substr(doc_id, length(doc_id)) AS key, sha256(text) AS f, created_at >= (SELECT min(created_at) + (max(created_at) - min(created_at)) / 2 FROM v_sources) AS late FROM v_sources),
+w AS (SELECT *, first_value(f) OVER o AS ff, row_number() OVER o AS n FROM k WINDOW o AS (PARTITION BY key, late ORDER BY created_at, doc_id)),
+s AS (SELECT key, f AS old FROM w WHERE n = 1 AND NOT late)
+SELECT doc_id, late, CASE WHEN n = 1 AND NOT (late AND s.key IS NOT NULL) THEN 'create' WHEN f = CASE WHEN late THEN coalesce(old, ff) ELSE ff END THEN 'replay' ELSE 'conflict' END AS outcome FROM w LEFT JOIN s USING (key)""")
+def s8_stored_replays(spark, sf_dir):
+    """The later half of the sources against what the earlier half has stored; all rows of both."""
+    src = b.sources(spark, sf_dir).withColumn("owner_key", F.concat("owner_id", F.substring("doc_id", -1, 1))).withColumn("fingerprint", F.sha2("text", 256))
+    lo, hi = F.unix_seconds(F.min("created_at")), F.unix_seconds(F.max("created_at"))
+    src = src.crossJoin(F.broadcast(src.agg((lo + (hi - lo) / 2).alias("cut")))).withColumn("late", F.unix_seconds("created_at") >= F.col("cut"))
+    early = intake.resolve_replay(src.where("not late"), src.limit(0))
+    late = intake.resolve_replay(src.where("late"), early.where("outcome = 'create'"))
+    return early.unionByName(late).select("doc_id", "late", "outcome")
+
+
 @query("""SELECT 'line-order' AS edge, l_linenumber::VARCHAR AS entity_id, l_orderkey::VARCHAR AS missing FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'order-line', o_orderkey::VARCHAR, o_orderkey::VARCHAR FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def s11_orphans(spark, sf_dir):
@@ -249,6 +263,22 @@ def h9_submissions(spark, sf_dir):
     return gr.submit_attempts(o, o.limit(0)).groupBy("attempt_id", "outcome").agg(F.count("*").alias("n"))
 
 
+@query("""WITH s AS (SELECT o_custkey AS attempt_id, o_orderstatus AS lesson, o_orderpriority AS f, o_orderdate AS made, o_orderdate >= TIMESTAMP '1998-01-01' AS late FROM orders),
+w AS (SELECT *, sha256(encode(lesson) || '\\x00'::BLOB || encode(f)) AS p FROM s),
+n AS (SELECT *, row_number() OVER o AS n, first_value(p) OVER o AS fp FROM w WINDOW o AS (PARTITION BY attempt_id, late ORDER BY made, p)),
+old AS (SELECT attempt_id, p AS old FROM n WHERE n = 1 AND NOT late)
+SELECT attempt_id, late, outcome, count(*)::BIGINT AS n FROM (SELECT attempt_id, late,
+  CASE WHEN n = 1 AND NOT (late AND old IS NOT NULL) THEN 'create' WHEN p = CASE WHEN late THEN coalesce(old, fp) ELSE fp END THEN 'replay' ELSE 'conflict' END AS outcome
+  FROM n LEFT JOIN old USING (attempt_id)) GROUP BY 1, 2, 3""")
+def h9_stored_submissions(spark, sf_dir):
+    """H9: orders from 1998 on against what the earlier ones have stored; all rows of both."""
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("attempt_id"), F.col("o_orderstatus").alias("lesson_id"), F.col("o_orderpriority").alias("fingerprint"), F.col("o_orderdate").alias("created_at"))
+    o = o.withColumn("late", F.col("created_at") >= F.lit("1998-01-01").cast("timestamp"))
+    early = gr.submit_attempts(o.where("not late"), o.limit(0))
+    late = gr.submit_attempts(o.where("late"), early.where("outcome = 'create'").select(o.columns))
+    return early.unionByName(late).groupBy("attempt_id", "late", "outcome").agg(F.count("*").alias("n"))
+
+
 _HISTORY = lb.HistoryParams(owner="NATION_3", query="customer#", delivery="sent", before=("1998-06-01", "999999"))
 
 
