@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, stage
+from .common import components, documents, salted_join, salts, stage
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -164,10 +164,11 @@ def _linker(bits: int):
     return link
 
 
-def links(nodes: DataFrame, bits: int = 4, list_rows: int = 20_000) -> DataFrame:
+def links(nodes: DataFrame, bits: int = 4, list_rows: int = 20_000, key_rows: int = 500_000) -> DataFrame:
     """Links (``a``, ``b``) that connect all distinct fingerprints within ``bits`` bits.
 
-    ``nodes``: one row for each distinct ``fp`` with its ``node`` id.
+    ``nodes``: one row for each distinct ``fp`` with its ``node`` id.  A list of over ``key_rows`` learns its
+    length in several tasks.
     """
     if nodes.isEmpty():
         return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
@@ -177,9 +178,10 @@ def links(nodes: DataFrame, bits: int = 4, list_rows: int = 20_000) -> DataFrame
     index = nodes.select("node", "fp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bytes"))
         for i, m in enumerate(signed)])).alias("k")).select("k.set", "k.bytes", "node", "fp")
-    lists = index.groupBy("set", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    lists = stage(index.groupBy("set", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    parts = salts(lists.agg(F.max("n")).first()[0], key_rows)
     lists = lists.withColumn("blocks", F.ceil(F.col("n") / list_rows).cast("int"))
-    index = index.join(lists, ["set", "bytes"])
+    index = salted_join(index, lists, ["set", "bytes"], F.xxhash64("node"), parts)
     # a list of one block is one task's; of a longer one, every pair of blocks meets somewhere
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     index = index.withColumn("own", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -188,32 +190,37 @@ def links(nodes: DataFrame, bits: int = 4, list_rows: int = 20_000) -> DataFrame
     return index.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linker(bits), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4, key_rows: int = 500_000
+) -> DataFrame:
     """``id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
     The component is the smallest id reachable over links; copies are joined through their fingerprint.
+    A fingerprint of over ``key_rows`` rows is joined in several tasks.
     """
     prints = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node"))
+    nodes = stage(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
+    parts = salts(nodes.agg(F.max("n")).first()[0], key_rows)
+    nodes = nodes.where("node is not null").select("fp", "node")
     # one id may have several texts: its fingerprints are then one document's
-    repeats = prints.where("id is not null").select("id", "fp").distinct().join(nodes, "fp")
+    repeats = salted_join(prints.where("id is not null").select("id", "fp").distinct(), nodes, ["fp"], F.xxhash64("id"), parts)
     repeats = repeats.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    nodes = stage(nodes, "nodes")
     several = prints.where("id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
     extra = repeats.join(several.select(F.col("id").alias("a")), "a", "left_semi")
-    found = components(links(nodes, bits).unionByName(extra))
+    found = components(links(nodes, bits, key_rows=key_rows).unionByName(extra), hub_rows=key_rows)
     nodes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(nodes, "fp", "left").select(
+    salt = F.coalesce("id", F.monotonically_increasing_id())  # rows without an id share nothing else
+    return salted_join(prints, nodes, ["fp"], F.xxhash64(salt), parts, "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """One row of each near-duplicate group: its smallest id.  Rows without an id stay as they are.
 
     The ids kept grow with the input, so the join is a merge join at every size.
     """
-    groups = near_duplicates(docs, bits, id_col, text_col)
+    groups = near_duplicates(docs, bits, id_col, text_col, width)
     firsts = stage(groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n")), "firsts")
     kept = docs.join(firsts.hint("merge"), id_col, "left_semi").select(docs.columns)
     if not firsts.where("n > 1").isEmpty():

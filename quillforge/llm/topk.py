@@ -1,21 +1,24 @@
 """Exact top-k by inner product over an impact-ordered index, a score level at a time.
 
-Candidates are dealt to blocks.  A block's index holds one posting segment for each level of quantised
-impact: the (vector, dimension) entries whose magnitude falls in the level, with their sign.  Segments are
-processed from the highest impact down for a block of queries; each adds query weight x quantised impact
-to the accumulators.  For each vector the index also keeps, level by level, the length of what the
+Candidates are dealt to blocks.  A block's index holds posting segments in order of quantised impact: for a
+level, a dimension and a sign, the vectors with a component of about that size there.  Segments are
+processed from the highest impact down for a block of queries: each adds query weight x quantised impact to the
+accumulators of its vectors.  Impacts, weights and accumulators are whole numbers, so nothing is
+rounded.  For each vector the index also keeps, level by level, the squared length of what the
 processed segments leave out of it, quantisation error included; by Cauchy-Schwarz that length times the query's
 length bounds how far an accumulator is from the true score.  A query stops only when those bounds
 prove that all but ``possible`` vectors of the block lie below its k-th best lower bound (or when no
-segment is left); the possible members are rescored exactly in integers.
+segment is left); the possible members are rescored exactly.
 
-Queries are a stated set against all rows: both sides are dealt to blocks of bounded size, and each pair of blocks is
-one task's work; a query's block winners are merged by rank.
+Queries are a stated set against all rows: both sides are dealt to blocks, and each pair of blocks is
+one task's work; a query's block winners are merged by rank.  Work grows with queries times vectors, as
+it must for exact scores; rows shuffled are that product over the size of a block.
 
 Edge cases: vectors that are null or hold a null or non-finite component take no part, nor do rows
-without an id; a query meets only vectors of its own length; fewer than k candidates give fewer rows;
-ties go to the smaller id; repeated rows of a candidate are candidates each, and a query skips all rows
-of its own id; an empty table gives no rows; other columns are ignored.
+without an id; a query meets only vectors of its own length, empty ones (all scores 0) included; fewer than k
+candidates give fewer rows; ties go to the smaller id; repeated rows of a candidate are candidates each, and a
+query skips all rows of its own id; an empty table gives no rows; other columns are ignored.  Products beyond 64
+bits are not defined.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEVELS = 16
+LEVELS = 32
+_AT_ONCE = 128  # queries whose accumulators are held at a time
 
 
 class ImpactIndex:
@@ -38,42 +42,52 @@ class ImpactIndex:
         top = int(size.max(initial=0)) + 1
         # level edges grow with the square, so that a few large components don't coarsen all the others
         level = (levels * np.sqrt(size / top)).astype(np.int64)
-        sign = np.sign(vectors)
-        left = vectors.astype(np.float64)
-        self.segments = []
+        positive = vectors > 0
+        left = vectors.astype(np.int64)
+        self.levels = []  # (impact, segments, squared length left out of each vector)
         for at in range(int(level.max(initial=0)), -1, -1):
-            impact = top * (at**2 + (at + 1) ** 2) / (2 * levels**2)
-            entries = np.where(level == at, sign, 0)
-            left -= entries * impact
-            rest = np.sqrt((left * left).sum(axis=1))
-            rows, dims = np.nonzero(entries)
-            self.segments.append((impact, rows.astype(np.int32), dims.astype(np.int16), entries[rows, dims].astype(np.int8), rest))
+            impact = top * (at**2 + (at + 1) ** 2) // (2 * levels**2)
+            segments = []
+            if impact:
+                inside = (level == at) & (vectors != 0)
+                for sign, chosen in ((1, inside & positive), (-1, inside & ~positive)):
+                    dims, rows = np.nonzero(chosen.T)
+                    cuts = np.flatnonzero(np.diff(dims)) + 1
+                    firsts = dims[np.concatenate(([0], cuts))] if len(dims) else []
+                    segments += [(int(d), sign, r.astype(np.int32)) for d, r in zip(firsts, np.split(rows, cuts)) if len(r)]
+                    left -= chosen * (sign * impact)
+            self.levels.append((impact, segments, (left.astype(np.float64) ** 2).sum(axis=1)))
+        self.n_postings = int(np.count_nonzero(vectors))
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int, possible: int) -> list[np.ndarray]:
         """For each query the rows that may be among its k best, ``own`` rows (a mask) left out."""
         n, m = len(self.vectors), len(queries)
-        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        weights = np.ascontiguousarray(queries.T, np.float32)
-        score = np.zeros((m, n), np.float32)
+        length = (queries.astype(np.float64) ** 2).sum(axis=1)
+        # a sum of impacts and weights that can't pass 31 bits is kept in them
+        size = 4.0 * self.vectors.shape[1] * float(np.abs(self.vectors).max(initial=0) + 1) * float(np.abs(queries).max(initial=0) + 1)
+        kind = np.int32 if size < 2**31 else np.int64
+        score = np.zeros((n, m), kind)
         found: list[np.ndarray] = [np.zeros(0, np.int64)] * m
         live = np.arange(m)
-        # float32 sums: a bound on their rounding, added to every interval
-        rounding = 1e-5 * np.abs(self.vectors).sum(axis=1).max(initial=0) * np.abs(queries).max(initial=0) + 1e-3
-        for turn, (impact, rows, dims, signs, rest) in enumerate(self.segments):
-            block = np.zeros((n, queries.shape[1]), np.float32)
-            block[rows, dims] = signs * np.float32(impact)
-            score += weights[:, live].T @ block.T
-            last = turn == len(self.segments) - 1
-            if not last and turn < len(self.segments) // 2:
+        self.processed = 0  # postings, for each query
+        for turn, (impact, segments, rest) in enumerate(self.levels):
+            weights = (queries[live].T * impact).astype(kind)
+            for dim, sign, rows in segments:
+                score[rows] += weights[dim] if sign > 0 else -weights[dim]
+                self.processed += len(rows) * len(live)
+            last = turn == len(self.levels) - 1
+            if not last and (turn < len(self.levels) // 3 or turn % 2 or not segments):
                 continue
-            wide = length[live][:, None] * rest[None, :].astype(np.float32) + rounding
-            low = np.where(own[live], -np.inf, score - wide)
-            edge = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(live), -np.inf)
-            may = (score + wide >= edge[:, None]) & ~own[live]
-            done = (may.sum(axis=1) <= possible) | last
+            # the bound in whole numbers, rounded up
+            wide = np.ceil(np.sqrt(rest[:, None] * length[live][None, :]) * (1 + 1e-9)).astype(np.int64)
+            hidden = own[live].T
+            low = np.where(hidden, np.iinfo(np.int64).min, score - wide)
+            edge = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(live), np.iinfo(np.int64).min)
+            may = (score + wide >= edge[None, :]) & ~hidden
+            done = (may.sum(axis=0) <= possible) | last
             for i in np.flatnonzero(done):
-                found[live[i]] = np.flatnonzero(may[i])
-            live, score = live[~done], score[~done]
+                found[live[i]] = np.flatnonzero(may[:, i])
+            live, score = live[~done], score[:, ~done]
             if not len(live):
                 break
         return found
@@ -82,28 +96,28 @@ class ImpactIndex:
 def _search(k: int, possible: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def matrix(table):
-        values = table.column("vector").combine_chunks()
-        sizes = np.asarray(values.value_lengths())
-        return values, sizes
+    def matrix(table, rows, width):
+        values = table.column("vector").combine_chunks().take(pa.array(rows))
+        return np.array(values.flatten()).reshape(len(rows), width).astype(np.int64)
+
+    def widths(table):
+        return np.asarray(table.column("vector").combine_chunks().value_lengths())
 
     def search(left, right):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        values, sizes = matrix(left)
-        asked, widths = matrix(right)
+        sizes, asked = widths(left), widths(right)
         out = []
-        for width in np.unique(widths):
-            use, ask = np.flatnonzero(sizes == width), np.flatnonzero(widths == width)
+        for width in np.unique(asked):
+            use, ask = np.flatnonzero(sizes == width), np.flatnonzero(asked == width)
             if not len(use):
                 continue
-            v = np.array(values.take(pa.array(use)).flatten()).reshape(-1, width).astype(np.int64)
-            q = np.array(asked.take(pa.array(ask)).flatten()).reshape(-1, width).astype(np.int64)
+            v, q = matrix(left, use, width), matrix(right, ask, width)
             ids = left.column("vec_id").to_numpy()[use]
             names = right.column("query_id").to_numpy()[ask]
             index = ImpactIndex(v)
-            for at in range(0, len(q), 256):
-                part, name = q[at : at + 256], names[at : at + 256]
+            for at in range(0, len(q), _AT_ONCE):
+                part, name = q[at : at + _AT_ONCE], names[at : at + _AT_ONCE]
                 for i, rows in enumerate(index.top(part, name[:, None] == ids[None, :], k, possible)):
                     exact = v[rows] @ part[i]
                     best = np.lexsort((ids[rows], -exact))[:k]
@@ -119,15 +133,17 @@ def top_k(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    possible: int = 64,
-    block_rows: int = 8192,
-    query_rows: int = 4096,
+    possible: int = 1024,
+    block_rows: int | None = None,
+    query_rows: int = 16_384,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k largest inner products of every query.
 
-    ``vectors`` has ``vec_id`` and integer array ``vector``; ``queries`` has ``query_id`` and ``vector``.
+    ``vectors`` has ``vec_id`` and integer array ``vector``; ``queries`` has ``query_id`` and ``vector``.  A
+    block holds ``block_rows`` vectors: by default a 64th of them, 4,096 at least and 32,768 at most.
     """
     n, m = vectors.count(), queries.count()
+    block_rows = block_rows or min(max(n // 64, 4096), 32_768)
     blocks, parts = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
     left = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

@@ -30,6 +30,27 @@ def test_edges(spark):
     assert topk.top_k(v.limit(0), q).count() == 0 and topk.top_k(v, q.limit(0)).count() == 0
 
 
+def test_empty_vectors(spark):
+    """An empty query meets the other empty vectors, all with score 0; ties go to the smaller id."""
+    v = topk.quantised(spark.createDataFrame([(50, []), (1, []), (9, []), (2, [0.5]), (100, [0.5]), (150, [0.1, 0.2])], "vec_id bigint, embedding array<float>"))
+    q = v.where("vec_id % 50 = 0").select(v.vec_id.alias("query_id"), "vector")
+    got = sorted(tuple(r) for r in topk.top_k(v, q).collect())
+    assert got == [(50, 1, 1, 0), (50, 2, 9, 0), (100, 1, 2, 128 * 128)]
+
+
+def test_bounds_hold_for_wide_and_large_vectors():
+    """Whole-number accumulators: no rounding at any width or size."""
+    rng = np.random.default_rng(3)
+    for width, top in ((1, 5), (700, 1000), (40_000, 3), (64, 2**24)):
+        v = rng.integers(-top, top + 1, (60, width))
+        index = topk.ImpactIndex(v)
+        own = np.eye(60, dtype=bool)[:7]
+        exact = v[:7] @ v.T
+        for i, rows in enumerate(index.top(v[:7], own, 3, 10)):
+            best = [j for j in np.argsort(-exact[i], kind="stable") if j != i][:3]
+            assert set(best) <= set(rows)
+
+
 @pytest.mark.parametrize("block_rows,query_rows", [(100_000, 4096), (60, 3)])
 def test_against_brute_force(spark, sf, block_rows, query_rows):
     v = topk.quantised(spark.read.parquet(f"{sf}/embeddings.parquet"))
