@@ -27,6 +27,7 @@ class Trees:
             p = 1 / (1 + np.exp(-score))
             tree: list[tuple[int, int, float]] = [(-1, 0, 0.0)] * (2 ** (self.depth + 1))
             self._grow(tree, 1, codes, y - p, p * (1 - p), np.arange(len(y)), 0)
+            tree = tuple(np.array(c) for c in zip(*tree))
             self.trees.append(tree)
             score += self.rate * self._walk(tree, codes)
         return self
@@ -59,7 +60,7 @@ class Trees:
 
     @staticmethod
     def _walk(tree, codes):
-        feature, cut, value = (np.array(c) for c in zip(*tree))
+        feature, cut, value = tree
         node = np.ones(len(codes), np.int64)
         while True:
             f = feature[node]

@@ -1,15 +1,21 @@
 """Personal data: fixed patterns, and further spans chosen by boosted trees.
 
 Base spans of four kinds come from fixed patterns and checks and always stay.  High-recall generators
-propose more, overlapping spans: spelled-out addresses, numbers with other separators or without a
-plus sign, dotted quads with odd spacing.  Boosted trees score each proposal from its format and
+propose more, overlapping spans: spelled-out addresses, and stretches of digit groups with other separators or
+without a plus sign, whole and cut at either end.  Boosted trees score each proposal from its format and
 its context; a threshold for each kind, set on held-out examples for a stated precision, selects
 what is added.  Added spans never overlap a base span or each other.
 
 No table labels personal data, so the training sample labels itself: base spans of sampled documents are rewritten in
 other formats where they stand (positive), look-alike numbers and phrases are written into the same
 places (negative), and the generators' own finds in documents without base spans are negative.  The
-sample is bounded by ``sample_docs`` documents in order of a hash of their id.
+sample is bounded: ``sample_docs`` documents for each kind of base span and as many without any, in order of a hash of
+their id, each giving at most ``PER_DOC`` of its spans.  ``Model.report`` holds, for each kind, held-out
+examples, threshold, precision and recall; a kind without ten held-out positives at that precision is switched off,
+which the report shows.
+
+All searches take time in proportion to the text: matches are sought from dots, signs and digit groups, and overlaps
+are found by sorted sweeps.
 
 Edge cases: null text is empty; repeated rows are treated alike; a corpus without base spans adds
 nothing (no positives to learn from); an empty table gives no rows; other columns are ignored; offsets
@@ -21,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Trees, threshold
-from .common import documents
+from .common import documents, stage
 
 KINDS = ("email", "ip", "card", "phone")
 
 #: fixed values: the base patterns
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP_TAIL = re.compile(r"\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+_DIGITS = frozenset("0123456789")
 _DIGIT = re.compile("[0-9]")
+_GROUP = re.compile("[0-9]+")
 _NOT_DIGITS = re.compile("[^0-9]+")
 
 
@@ -72,9 +81,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", at + 1)
     if not _DIGIT.search(text):
         return out
-    for m in _IP.finditer(text):
-        if all(_small(p) for p in m[0].split(".")):
-            out.append((1, *m.span()))
+    # from the first dot: the digits before it, back to the last match, are its first part
+    done, m = 0, _IP_TAIL.search(text)
+    while m:
+        start = m.start()
+        while start > done and text[start - 1] in _DIGITS:
+            start -= 1
+        if start == m.start():
+            m = _IP_TAIL.search(text, m.start() + 1)
+            continue
+        if all(_small(p) for p in text[start : m.end()].split(".")):
+            out.append((1, start, m.end()))
+        done = m.end()
+        m = _IP_TAIL.search(text, done)
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _NOT_DIGITS.sub("", m[0])) <= 19 and luhn(d):
             out.append((2, *m.span()))
@@ -87,32 +106,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _AT = r"(?:@|\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20)"
 _DOT = r"(?:\.|\x20?[(\[{]\x20?dot\x20?[)\]}]\x20?|\x20dot\x20)"
-_GENERATORS = (
-    (0, re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}"), ("@", "at")),
-    (1, re.compile(r"(?<![0-9])[0-9]{1,3}(?:\x20?(?:\.|\[\.\]|,)\x20?[0-9]{1,3}){3}(?![0-9])"), None),
-    (2, re.compile(r"(?<![0-9])[0-9]{3,6}(?:[\x20./_-]{0,2}[0-9]{2,6}){2,5}(?![0-9])"), None),
-    (3, re.compile(r"(?<![0-9])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./()-]{1,3}[0-9]{2,5}){1,5}(?![0-9])"), None),
-)
+#: lengths that addresses may have: 64 characters before the sign, 63 in each part of the domain
+_MAIL = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,4}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}")
 _HINT = re.compile(r"@|[(\[{]\x20?at\x20?[)\]}]|\x20at\x20[^\x20]{1,64}\x20?[(\[{]?\x20?dot[\x20)\]}]")
+_REACH = 5 * 64 + 10  # what an address may take on either side of its sign
+
+#: for each kind of digit groups: separator, sizes of a group, groups, digits
+_STRETCHES = (
+    (1, re.compile(r"\x20?(?:\.|\[\.\]|,)\x20?"), (1, 3), (4, 4), (4, 12)),
+    (2, re.compile(r"[\x20./_-]{1,2}"), (2, 19), (1, 6), (9, 24)),
+    (3, re.compile(r"[\x20./()-]{1,3}"), (1, 8), (2, 6), (7, 15)),
+)
 
 
 def proposals(text: str) -> list[tuple[int, int, int]]:
     """Overlapping candidate spans of every generator."""
-    out = []
-    digits = _DIGIT.search(text) is not None
-    for kind, pattern, _ in _GENERATORS:
-        if kind == 0 and not _HINT.search(text) or kind and not digits:
+    out: list[tuple[int, int, int]] = []
+    done = 0
+    # around each hint only: the pattern is not run over long stretches without one
+    for hint in _HINT.finditer(text):
+        if hint.start() < done:
             continue
-        if kind == 0:
-            # around each hint only: the pattern is not run over long stretches without one
-            for hint in _HINT.finditer(text):
-                lo = max(0, hint.start() - 330)
-                for m in pattern.finditer(text, lo, min(len(text), hint.end() + 330)):
-                    if m.start() <= hint.start() < m.end():
-                        out.append((kind, *m.span()))
-        else:
-            out += [(kind, *m.span()) for m in pattern.finditer(text)]
-    return list(dict.fromkeys(out))
+        for m in _MAIL.finditer(text, max(done, hint.start() - _REACH), min(len(text), hint.end() + _REACH)):
+            if m.end() > hint.start():
+                if m.start() <= hint.start():
+                    out.append((0, *m.span()))
+                    done = m.end()
+                break
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    for kind, separator, (low, high), (few, many), (least, most) in _STRETCHES:
+        i = 0
+        while i < len(groups):
+            j = i
+            while j + 1 < len(groups) and groups[j + 1][0] - groups[j][1] <= 5 and separator.fullmatch(text, groups[j][1], groups[j + 1][0]):
+                j += 1
+            # the stretch i..j as it is, and what its ends leave: first and last groups of up to ``many``
+            spans = {(i, e) for e in range(i, min(j + 1, i + many))} | {(b, j) for b in range(max(i, j - many + 1), j + 1)}
+            for b, e in spans:
+                sizes = [y - x for x, y in groups[b : e + 1]]
+                if few <= len(sizes) <= many and least <= sum(sizes) <= most and min(sizes) >= low and max(sizes) <= high:
+                    start = groups[b][0]
+                    if kind == 3 and start and text[start - 1] == "(":
+                        start -= 1
+                    out.append((kind, start, groups[e][1]))
+            i = j + 1
+    return sorted(set(out))
 
 
 #: fixed values: words that announce a kind
@@ -124,6 +162,7 @@ _CUES = (
 )
 _OTHER_CUES = ("version", "page", "isbn", "order", "date", "total", "price", "no", "id", "section", "chapter", "usd", "eur")
 N_FEATURES = 22
+PER_DOC = 24  # spans of a sampled document that become examples
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
@@ -194,53 +233,112 @@ def _examples(doc_id: int, text: str) -> list[tuple[list[float], int, int, int]]
             elif label and k != kind and i < at + len(words) and j > at and rng.random() < 0.5:
                 out.append((features(new, k, i, j), k, 0, held))
 
-    for kind, start, end in found:
+    for kind, start, end in found if len(found) <= PER_DOC else rng.sample(found, PER_DOC):
         for _ in range(3):
             written(kind, start, end, _rewritten(kind, text[start:end], rng), 1)
         for _ in range(3):
             written(kind, start, end, _look_alike(kind, rng), 0)
-    if not found:
-        for k, i, j in proposals(text)[:20]:
-            out.append((features(text, k, i, j), k, 0, held))
-        if text:
-            at = rng.randrange(len(text))
-            for kind in range(4):
-                written(kind, at, at, " " + _look_alike(kind, rng) + " ", 0)
+    own = [p for p in proposals(text) if not found or not _Cover(found).meets(p[1], p[2])]
+    for k, i, j in own if len(own) <= PER_DOC else rng.sample(own, PER_DOC):
+        out.append((features(text, k, i, j), k, 0, held))
+    if not found and text:
+        at = rng.randrange(len(text))
+        for kind in range(4):
+            written(kind, at, at, " " + _look_alike(kind, rng) + " ", 0)
     return out
 
 
+class _Cover:
+    """The union of spans, for overlap tests by bisection."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+
 class Model:
-    def __init__(self, trees: Trees | None, edges: list[float]):
-        self.trees, self.edges = trees, edges
+    """Trees and, by kind, the score from which a proposal is added (2 where a kind is switched off)."""
+
+    def __init__(self, trees: Trees | None, edges: list[float], report: list[dict] | None = None):
+        self.trees, self.edges, self.report = trees, edges, report or []
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Selected proposals, best score first, apart from base spans and from each other."""
+        return self.added_all([text], [base])[0]
+
+    def added_all(self, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+        """For each text the selected proposals, best score first, apart from base spans and from each other.
+
+        The proposals of all the texts are scored at once.
+        """
         if self.trees is None:
-            return []
-        open_ = [p for p in proposals(text) if not any(p[1] < e and s < p[2] for _, s, e in base)]
-        if not open_:
-            return []
-        score = self.trees.score(np.array([features(text, *p) for p in open_]))
-        out: list[tuple[int, int, int]] = []
-        for i in np.argsort(-score, kind="stable"):
-            k, s, e = open_[i]
-            if score[i] >= self.edges[k] and not any(s < b and a < e for _, a, b in out):
-                out.append((k, s, e))
+            return [[] for _ in texts]
+        asked, rows, x = [], [], []
+        for text, base in zip(texts, bases):
+            cover = _Cover(base)
+            open_ = [p for p in proposals(text) if self.edges[p[0]] <= 1 and not cover.meets(p[1], p[2])] if text else []
+            asked.append(open_)
+            rows.append(len(open_))
+            x += [features(text, *p) for p in open_]
+        if not x:
+            return [[] for _ in texts]
+        score, at, out = self.trees.score(np.array(x)), 0, []
+        for open_, n in zip(asked, rows):
+            own, at = score[at : at + n], at + n
+            starts: list[int] = []
+            ends: list[int] = []
+            kept = []
+            for i in np.argsort(-own, kind="stable"):
+                k, s, e = open_[i]
+                if own[i] < self.edges[k]:
+                    continue
+                here = bisect_left(starts, s)
+                if (here and ends[here - 1] > s) or (here < len(starts) and starts[here] < e):
+                    continue
+                starts.insert(here, s)
+                ends.insert(here, e)
+                kept.append((k, s, e))
+            out.append(kept)
         return out
 
 
-def train(docs: DataFrame, sample_docs: int = 8000, precision: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits the trees and thresholds on at most ``sample_docs`` documents.
+#: texts that may hold a base span of a kind, as the JVM sees them
+_MAY_HOLD = (r"@[A-Za-z0-9-]+\.[A-Za-z0-9]", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"[0-9](?:[ -]?[0-9]){15}", r"\+[0-9][ ().0-9-]{6}")
+
+
+def train(docs: DataFrame, sample_docs: int = 3000, precision: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fits the trees and thresholds on at most ``sample_docs`` documents of each kind and as many others.
 
-    Ids are sampled by hash and broadcast (their number is the bound); what reaches the driver are
-    the examples of those documents, each a short list of numbers.
+    One scan notes which kinds a text may hold; ids are taken by hash within each kind, so that a rare kind is
+    seen however large the corpus is.  The ids are broadcast (their number is the bound), and what reaches the driver are
+    the examples of those documents, each a short list of numbers.  Of rows with one id, one text is used.
     """
-    ids = docs.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
-    sampled = docs.join(F.broadcast(ids), id_col, "left_semi").select(F.col(id_col).cast("long").alias("id"), text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kinds = F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in enumerate(_MAY_HOLD)]), lambda k: k.isNotNull())
+    noted = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit(4))).alias("kinds"))
+    noted = stage(noted, "pii-kinds")
+    picks = [noted.where(F.array_contains("kinds", k)).select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(sample_docs).select("id")
+             for k in range(5)]
+    ids = picks[0]
+    for more in picks[1:]:
+        ids = ids.union(more)
+    ids = stage(ids.distinct(), "pii-sample")
+    sampled = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(F.broadcast(ids), "id", "left_semi")
+    sampled = sampled.groupBy("id").agg(F.min("text").alias("text"))
 
     def make(rows):
         for batch in rows:
-            made = [e for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in _examples(i, t or "")]
+            made = [e for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in _examples(i, t)]
             yield pa.RecordBatch.from_pydict({
                 "x": pa.array([e[0] for e in made], pa.list_(pa.float64())), "kind": pa.array([e[1] for e in made], pa.int32()),
                 "y": pa.array([e[2] for e in made], pa.int32()), "held": pa.array([bool(e[3]) for e in made], pa.bool_())})
@@ -257,8 +355,15 @@ def train(docs: DataFrame, sample_docs: int = 8000, precision: float = 0.98, id_
         return Model(None, [2.0] * 4)
     trees = Trees().fit(x[~held], y[~held])
     score = trees.score(x[held])
-    edges = [threshold(score[kind[held] == k], y[held][kind[held] == k], precision) for k in range(4)]
-    return Model(trees, [max(e, 0.5) for e in edges])
+    edges, report = [], []
+    for k in range(4):
+        s, t = score[kind[held] == k], y[held][kind[held] == k]
+        edges.append(max(threshold(s, t, precision), 0.5))
+        hit = t[s >= edges[k]]
+        report.append({
+            "kind": KINDS[k], "positives": int(t.sum()), "negatives": int((t == 0).sum()), "threshold": edges[k],
+            "precision": float(hit.mean()) if len(hit) else None, "recall": float(hit.sum() / t.sum()) if t.any() else None})
+    return Model(trees, edges, report)
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
@@ -272,9 +377,9 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def work(rows):
         for batch in rows:
             out = []
-            for t in batch.column(1).to_pylist():
-                base = base_spans(t or "")
-                more = model.added(t or "", base)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            bases = [base_spans(t) for t in texts]
+            for base, more in zip(bases, model.added_all(texts, bases)):
                 counts = [sum(b[0] == k for b in base) for k in range(4)]
                 out.append((*counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + more), len(more)))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
@@ -292,10 +397,11 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def work(rows):
         for batch in rows:
             out = []
-            for t in batch.column(at).to_pylist():
-                spans = base_spans(t) if t else []
-                spans += model.added(t, spans) if t else []
+            texts = batch.column(at).to_pylist()
+            bases = [base_spans(t) if t else [] for t in texts]
+            for t, base, more in zip(texts, bases, model.added_all([t or "" for t in texts], bases)):
                 parts, done = [], 0
+                spans = base + more
                 for k, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
                     if s >= done:
                         parts += [t[done:s], f"[{KINDS[k].upper()}]"]
