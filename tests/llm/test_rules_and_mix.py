@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter
 
@@ -77,13 +78,33 @@ def test_repeat_rows(docs, none):
     mixed = mixing.mix(docs, [3, 1, 2])
     rows = mixing.repeat_rows(docs, mixed)
     assert rows.columns == docs.columns
-    n = Counter(r.doc_id for r in rows.collect())
-    copies = {}
+    n = Counter((r.doc_id, r.text, r.source) for r in rows.collect())
+    sources = {(r.doc_id, mixing_digest(r.text)): (r.text, r.source) for r in docs.collect()}
+    want = Counter()
     for r in mixed.collect():
-        copies[r.doc_id] = min(copies.get(r.doc_id, 9), r.copies)
-    repeated = Counter(r.doc_id for r in docs.collect())
-    assert n == Counter({i: c * repeated[i] for i, c in copies.items() if c})
-    assert mixing.mix(none, [1]).count() == 0
+        want[(r.doc_id, *sources[r.doc_id, r.digest])] += r.copies
+    assert n == +want
+    assert mixing.mix(none, [1]).count() == 0 and mixing.repeat_rows(none, mixing.mix(none, [1])).count() == 0
+
+
+def mixing_digest(text):
+    return hashlib.md5((text or "").encode()).hexdigest()
+
+
+def test_rows_without_ids_and_repeats_are_single_rows(spark):
+    """A third of all rows share one null id, another third one row: each is its own draw, and the words taken are the budget's."""
+    docs = spark.range(600).selectExpr(
+        "case when id % 3 = 0 then null when id % 3 = 1 then 7L else id end as doc_id", "'s' as source",
+        "if(id % 3 = 1, 'five words in a text', concat('w', id, ' and four more here')) as text", "'other' as n")
+    mixed = mixing.mix(docs, [1], share=0.5, bucket_docs=20)
+    rows = mixed.collect()
+    assert sum(r.taken for r in rows) == 1500
+    third = [sum(r.copies for r in rows if r.doc_id is None), sum(r.copies for r in rows if r.doc_id == 7)]
+    assert all(60 < x < 140 for x in third)
+    out = mixing.repeat_rows(docs, mixed)
+    assert out.count() == 300 and out.columns == docs.columns and out.where("doc_id = 7").count() == third[1]
+    again = mixing.mix(docs.repartition(7), [1], share=0.5, bucket_docs=20).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
 @pytest.mark.parametrize("query,sql", [(quality_rules.op7_quality_rules, quality_rules.OP7_SQL), (mixing.op8_source_mixing, mixing.OP8_SQL)])
