@@ -1,7 +1,7 @@
 """Quality rules kept as a bitmask ledger.
 
 ``ledger`` measures every text once and evaluates every rule once: the measurements and one bit for
-each failed rule are stored.  A policy is a version and the mask of the rules it enforces, so verdicts
+each failed rule, which ``store`` writes.  A policy is a version and the mask of the rules it enforces, so verdicts
 of any version, and what each rule does alone, come from the stored bits by bitwise operations.
 All of it is built-in column functions, and no row leaves its partition.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stage
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -41,7 +41,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Repeats of 3-word windows: each window's hash, cut to leave room for its position, is sorted as
     one long; neighbours with equal hashes whose words are equal too mark their positions, and the
-    marked windows' lengths are added up without their overlaps.
+    marked windows' lengths are added up without their overlaps.  Where other windows share a cut hash,
+    which takes a very long text, a window could stand between two equal ones: such a text's windows are
+    sorted by their words instead.
     """
     df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn("__words", F.expr(rf"filter(split(__text, '{_BLANKS}'), w -> w <> '')".replace("\\", "\\\\")))
@@ -59,17 +61,28 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         " i -> (xxhash64(__words[i], __words[i + 1], __words[i + 2]) & ~__mask) | i)))"
     ))
     same = (
-        "((x | __mask) = (__windows[{j}] | __mask)"
-        " and __words[x & __mask] = __words[__windows[{j}] & __mask]"
-        " and __words[(x & __mask) + 1] = __words[(__windows[{j}] & __mask) + 1]"
-        " and __words[(x & __mask) + 2] = __words[(__windows[{j}] & __mask) + 2])"
+        "(({x} | __mask) = (__windows[{j}] | __mask)"
+        " and __words[{x} & __mask] = __words[__windows[{j}] & __mask]"
+        " and __words[({x} & __mask) + 1] = __words[(__windows[{j}] & __mask) + 1]"
+        " and __words[({x} & __mask) + 2] = __words[(__windows[{j}] & __mask) + 2])"
     )
-    repeated = F.expr(
-        "aggregate(sort_array(transform(filter(__windows, (x, i) ->"
-        f" (i > 0 and {same.format(j='i - 1')}) or (i < n_words - 3 and {same.format(j='i + 1')})), x -> x & __mask)),"
-        " named_struct('n', 0L, 'upto', 0L),"
+    add_up = (
+        "aggregate(sort_array({marked}), named_struct('n', 0L, 'upto', 0L),"
         " (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.upto), 'upto', p + 3), a -> a.n)"
     )
+    by_hash = (
+        "transform(filter(__windows, (x, i) ->"
+        f" (i > 0 and {same.format(x='x', j='i - 1')}) or (i < n_words - 3 and {same.format(x='x', j='i + 1')})), x -> x & __mask)"
+    )
+    by_words = (
+        "transform(filter(transform(__sorted, (x, i) -> named_struct('p', x.p, 'again',"
+        " (i > 0 and x.w = __sorted[i - 1].w) or (i < n_words - 3 and x.w = __sorted[i + 1].w))), x -> x.again), x -> x.p)"
+    )
+    windows = "sort_array(transform(sequence(0L, n_words - 3L), i -> named_struct('w', array(__words[i], __words[i + 1], __words[i + 2]), 'p', i)))"
+    equal = same.format(x="__windows[i]", j="i - 1")
+    clash = f"exists(sequence(1, size(__windows) - 1), i -> (__windows[i - 1] | __mask) = (__windows[i] | __mask) and not {equal})"
+    df = df.withColumn("__sorted", F.expr(f"if(size(__windows) > 1 and {clash}, {windows}, null)"))
+    repeated = F.expr(f"if(__sorted is null, {add_up.format(marked=by_hash)}, {add_up.format(marked=by_words)})")
     # a generator of one row: filters on measurements stay above it, so none is computed again inside a condition
     measures = F.struct(*MEASURES[:-1], repeated.alias(MEASURES[-1]))
     return df.select(*[c for c in docs.columns if c not in MEASURES], F.inline(F.array(measures)))
@@ -85,6 +98,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured(docs.select(id_col, text_col), text_col).select(id_col, *MEASURES, fail_bits().alias("fail_bits"))
 
 
+def store(entries: DataFrame) -> DataFrame:
+    """The ledger as a written table in the shared folder: policies and ablations read it, no rule is evaluated again."""
+    return stage(entries, "rule-ledger")
+
+
 def passes(bits: Column, version: int) -> Column:
     """Whether no rule that the policy enforces has failed."""
     return bits.bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0
@@ -117,12 +135,17 @@ def ablations(entries: DataFrame, version: int) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = ledger(documents(spark, sf_dir))
+    entries = store(ledger(documents(spark, sf_dir)))
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(F.col("fail_bits"), 1)).alias("base_failed"), passes(F.col("fail_bits"), 2).alias("kept"), "fail_bits")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy does alone, over the stored ledger of all documents."""
+    return ablations(store(ledger(documents(spark, sf_dir))), 2)
+
+
 _WORDS_SQL = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _LINES_SQL = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
 
@@ -148,3 +171,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bit
   bits = 0 AS kept, bits::BIGINT AS fail_bits
 FROM f
 """
+
+ABLATIONS_SQL = f"""
+WITH l AS ({OP7_SQL}), u AS (SELECT unnest([{", ".join(f"'{n}'" for n in BIT)}]) AS rule, unnest([{", ".join(str(x) for x in BIT.values())}]) AS bit)
+SELECT 2::INTEGER AS version, rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (fail_bits = bit)::BIGINT AS n_failed_alone,
+  count(*) FILTER (fail_bits IN (0, bit))::BIGINT AS kept_without_it
+FROM l, u GROUP BY rule
+"""

@@ -6,7 +6,7 @@ from .license_scan import OP5_SQL, op5_license_scan
 from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op9_best_fit_packing
 from .pii import op3_pii
-from .quality_rules import OP7_SQL, op7_quality_rules
+from .quality_rules import ABLATIONS_SQL, OP7_SQL, op7_quality_rules, rule_ablations
 from .repeats import op10_repeat_removal
 from .simhash import op1_simhash_near_dedup
 from .token_counts import op6_token_counts
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_repeat_removal": op10_repeat_removal,
+    "rule_ablations": rule_ablations,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_source_mixing": OP8_SQL,
+    "rule_ablations": ABLATIONS_SQL,
 }

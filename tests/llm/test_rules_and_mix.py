@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillforge.llm import mixing, quality_rules
 
@@ -25,6 +27,17 @@ def test_measurements(docs, spark, sf, sample):
         assert got == Counter({(i, *brute(t)): 0 for i, t in texts}) + Counter((i, *brute(t)) for (i, t), n in texts.items() for _ in range(n))
 
 
+def test_windows_that_share_a_hash(spark, monkeypatch):
+    """Hashes of a few bits: other windows stand between equal ones, and the repeats are the same."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefg") for _ in range(n))) for i, n in enumerate([0, 2, 3, 4, 60, 300, 900])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    real = F.expr
+    monkeypatch.setattr(quality_rules.F, "expr", lambda text: real(text.replace("(xxhash64(__words[i], __words[i + 1], __words[i + 2]) & ~__mask)", "shiftleft(xxhash64(__words[i], __words[i + 1], __words[i + 2]) & 3L, 60)")))
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.ledger(frame).collect()}
+    assert got == {i: brute(t)[5] for i, t in rows}
+
+
 def test_policies_and_ablations(docs, none):
     entries = quality_rules.ledger(docs)
     bits = [r.fail_bits for r in entries.collect()]
@@ -107,7 +120,7 @@ def test_rows_without_ids_and_repeats_are_single_rows(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
-@pytest.mark.parametrize("query,sql", [(quality_rules.op7_quality_rules, quality_rules.OP7_SQL), (mixing.op8_source_mixing, mixing.OP8_SQL)])
+@pytest.mark.parametrize("query,sql", [(quality_rules.op7_quality_rules, quality_rules.OP7_SQL), (mixing.op8_source_mixing, mixing.OP8_SQL), (quality_rules.rule_ablations, quality_rules.ABLATIONS_SQL)])
 def test_against_sql(spark, sf, query, sql):
     con = duckdb.connect()
     for t in ("documents", "labels"):
