@@ -7,16 +7,18 @@ window minimum.  Steps:
 1. Every ``width``-byte window has a minimal ``gram``-byte gram (by hash).  Successive windows with the same minimum
    form a run; equal windows lie in runs of equal minimum.  A shard of documents gives each distinct
    (minimum, span of the run) once, with its smallest id, to the bucket of the minimum.
-2. A bucket sees all shards.  A span that occurs with a smaller id is covered whole.  A minimum with
-   several spans and ids needs a closer look: the first document of each such span sends its bytes.
-   If a minimum has very many spans (a common line in different surroundings), their windows are sent one by
-   one, once for each shard, to the bucket of the window's own hash.
-3. The bucket sorts all suffixes of these spans, to ``width`` bytes, ties by document.  In that suffix order the previous
-   smaller position of a suffix, by document, is its nearest predecessor of another, smaller document and the next smaller
-   position never shares more; the longest previous factor is the common prefix with it.  Where it
-   reaches ``width``, the window is covered.
+2. A bucket sees all shards.  A whole span that occurs with a smaller id is covered: its factors are known to reach
+   ``width``, so it is not sorted.  A minimum with several spans and ids needs a closer look: the first document of each
+   such span sends its bytes.  If a minimum has very many spans (a common line in different surroundings), their windows
+   are sent one by one, once for each shard, to the bucket of the window's own hash.
+3. The bucket sorts all suffixes of these spans and takes the common prefix of neighbours.  The previous and the next
+   smaller position of a suffix, by document id, are the candidates for its earlier match; the longer of the two common prefixes is
+   its longest previous factor.  Where that reaches ``width``, the window is covered.
 4. Each shard unites its covered windows and drops their bytes.
 
+Inside a shard spans and windows are compared byte by byte.  Across shards step 2 takes two spans for equal if their
+minima agree in 48 bits and their hashes in 64; step 3 compares bytes.
+
 Rows exchanged are blocks of packed numbers, one for each shard and bucket.  A string that is in a
 third of all documents reaches its bucket once for each shard, with its smallest id.
 
@@ -125,7 +127,7 @@ class Shard:
     def entries(self, buckets: int):
         """Distinct (minimum, span) in order of bucket, with the first document of each, and all runs.
 
-        Returns per entry: bucket, minimum, span hash, id; per run: entry, and the run arrays.
+        Returns per entry: bucket, minimum, span hash, id, first run's position; per run: entry, and the run arrays.
         """
         low, at, size, doc = runs(self.buffer, self.begins, self.width, GRAM)
         low = _mix(low)  # minima crowd near zero; mixed, they spread evenly over the buckets
@@ -139,7 +141,16 @@ class Shard:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         head = head[order]
-        return bucket[order], low[head], span[head], self.ids[doc[head]], place[entry], (at, size, doc)
+        return bucket[order], low[head], span[head], self.ids[doc[head]], at[head], place[entry], (at, size, doc)
+
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the ``size`` (8 at least) bytes at each of two positions are equal."""
+        view = np.ndarray((len(self.buffer) - 7,), "<u8", self.buffer, 0, (1,))
+        out = np.ones(len(a), bool)
+        for o in range(0, int(size.max(initial=0)), 8):
+            at = np.minimum(o, size - 8)
+            out &= view[a + at] == view[b + at]
+        return out
 
 
 def _planes(x: np.ndarray, size: int) -> bytes:
@@ -176,7 +187,7 @@ def _list_entries(width: int, buckets: int):
         for b in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[b], cuts[b + 1])
             rows.append({"bucket": int(b), "shard": key[0].as_py(), "n": s.stop - s.start, "low": _planes(low[s], 6),
-                         "span": _planes(span[s], 6), "ids": ids[s].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()})
+                         "span": _planes(span[s], 8), "ids": ids[s].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()})
         return pa.Table.from_pylist(rows, schema=schema)
 
     return work
@@ -188,7 +199,7 @@ def _judge(many: int):
     def work(key, table):
         n = table.column("n").to_numpy().astype(np.int64)
         low = np.concatenate([_from_planes(r, 6) for r in table.column("low").to_pylist()])
-        span = np.concatenate([_from_planes(r, 6) for r in table.column("span").to_pylist()])
+        span = np.concatenate([_from_planes(r, 8) for r in table.column("span").to_pylist()])
         ids = np.concatenate([_from_planes(r, 8) for r in table.column("ids").to_pylist()]).view("<i8")
         order = np.lexsort((ids, span, low))
         low, span, ids = low[order], span[order], ids[order]
@@ -224,26 +235,30 @@ def _send(width: int, buckets: int):
         if not table.num_rows:
             return schema.empty_table()
         shard = Shard(table, width)
-        bucket, low, _, ids, entry, (at, size, doc) = shard.entries(buckets)
+        bucket, low, _, ids, first, entry, (at, size, doc) = shard.entries(buckets)
         state = np.zeros(len(bucket), np.uint8)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b, raw in zip(states.column("bucket").to_pylist(), states.column("state").to_pylist()):
             state[cuts[b] : cuts[b + 1]] = np.frombuffer(raw, np.uint8)
         # a run is covered if its entry is, or if a smaller id of this shard has the same span
-        later = shard.ids[doc] > ids[entry]
-        covered = (state[entry] == 1) | later
+        other = np.zeros(len(at), bool)  # runs that share an entry's hash and not its bytes
+        again = np.flatnonzero(at != first[entry])
+        other[again] = ~shard.same(at[again], first[entry[again]], size[again] + width - 1)
+        later = (shard.ids[doc] > ids[entry]) & ~other
+        covered = (state[entry] == 1) & ~other | later
         hit = [(at[covered], size[covered], doc[covered])]
-        ask = np.flatnonzero((state[entry] == 2) & ~later)
+        ask = np.flatnonzero((state[entry] == 2) & ~later & ~other)
         sent = [(bucket[entry[ask]], at[ask], size[ask], doc[ask])]
-        ask = np.flatnonzero((state[entry] == 3) & ~later)
+        ask = np.flatnonzero((state[entry] == 3) & ~later | other)
         if len(ask):
             one, whose = spread(at[ask], size[ask]), np.repeat(doc[ask], size[ask])
             h = _gathered(shard.buffer, one, width)
             order = np.lexsort((whose, h))
             one, whose, h = one[order], whose[order], h[order]
             head = np.concatenate(([True], h[1:] != h[:-1]))
-            least = shard.ids[whose[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]]
-            more = shard.ids[whose] > least
+            lead = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+            more = shard.ids[whose] > shard.ids[whose[lead]]
+            more &= shard.same(one, one[lead], np.full(len(one), width))
             hit.append((one[more], np.ones(more.sum(), np.int64), whose[more]))
             to = (h[~more] >> _U(32)).astype(np.int64) * buckets >> 32
             sent.append((to, one[~more], np.ones((~more).sum(), np.int64), whose[~more]))
@@ -266,13 +281,44 @@ def _send(width: int, buckets: int):
     return work
 
 
+def _smaller(own: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each position of a suffix order: the longer of the common prefixes with the
+    previous and with the next position that has a smaller ``own``; 0 without one.
+
+    ``lcp[i]`` is the common prefix of positions i - 1 and i, with a 0 at both ends.  Minima over stretches of 1, 2, 4, ...
+    positions let all positions walk left, then right, past what isn't smaller, halving their steps.
+    """
+    n = len(own)
+    low, least = [own], [lcp]
+    while 2 << len(low) <= 2 * n:
+        half = 1 << (len(low) - 1)
+        a, b = low[-1].copy(), least[-1].copy()
+        a[half:] = np.minimum(low[-1][half:], low[-1][:-half])
+        b[half:] = np.minimum(least[-1][half:], least[-1][:-half])
+        low.append(a)
+        least.append(b)
+    left, before = np.arange(n) - 1, lcp[:n].copy()
+    right, after = np.arange(n) + 1, lcp[1:].copy()
+    for k in range(len(low) - 1, -1, -1):
+        step = 1 << k
+        at = np.flatnonzero(left >= step - 1)
+        at = at[low[k][left[at]] >= own[at]]
+        before[at] = np.minimum(before[at], least[k][left[at]])
+        left[at] -= step
+        at = np.flatnonzero(right + step <= n)
+        at = at[low[k][right[at] + step - 1] >= own[at]]
+        right[at] += step
+        after[at] = np.minimum(after[at], least[k][right[at]])
+    return np.maximum(np.where(left >= 0, before, 0), np.where(right < n, after, 0))
+
+
 def previous_factors(buffer: np.ndarray, at: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
     """Longest previous factor, up to ``width`` bytes, of the suffixes at ``at``: the longest prefix shared
     with a suffix of a document with a smaller id.
 
-    Suffixes are ordered by their first ``width`` bytes as big-endian words, ties by id.  With ties in
-    id order no next smaller position shares all ``width`` bytes, so for the longest factors the previous smaller one decides;
-    it is the last suffix of the nearest smaller id before, found where the run of equal ids begins.
+    Suffixes are ordered by their first ``width`` bytes as big-endian words, ties by id.  Of suffixes with equal bytes
+    those after the smallest id have a whole factor; the smallest one's comes from its previous and next smaller
+    positions.  Over about a million suffixes are sorted in slices of the order, in which factors under 8 bytes count as none.
     """
     view = np.ndarray((len(buffer) - 7,), ">u8", buffer, 0, (1,))
     if len(at) > 2 * _STEP:
@@ -287,20 +333,29 @@ def previous_factors(buffer: np.ndarray, at: np.ndarray, ids: np.ndarray, width:
             for own in np.split(order, ends):
                 factor[own] = previous_factors(buffer, at[own], ids[own], width) if len(own) < len(at) else 0
             return factor
-    words = [view[at + o].astype(np.uint64) for o in [*range(0, width - 8, 8), width - 8]]
+    offsets = [*range(0, width - 8, 8), width - 8]
+    words = [view[at + o].astype(np.uint64) for o in offsets]
     order = np.lexsort((ids, *words[::-1]))
-    same = np.ones(len(at), bool)
+    same, shared = np.ones(len(at), bool), np.zeros(len(at), np.int16)
     same[0] = False
-    for w in words:
+    for o, w in zip(offsets, words):
         w = w[order]
-        same[1:] &= w[1:] == w[:-1]
+        apart = w[1:] ^ w[:-1]
+        # leading bytes in common
+        equal = np.zeros(len(apart), np.int16)
+        for bits in range(0, 64, 8):
+            equal += apart < _U(1) << _U(bits)
+        shared[1:] = np.where(same[1:], o + equal, shared[1:])
+        same[1:] &= apart == 0
     own = ids[order]
-    n = np.arange(len(at))
-    tie = np.maximum.accumulate(np.where(same, 0, n))  # first suffix with these bytes
-    new_id = ~same | np.concatenate(([True], own[1:] != own[:-1]))
-    previous = np.maximum.accumulate(np.where(new_id, n, 0)) - 1  # previous smaller position
+    heads = np.flatnonzero(~same)
+    tie = np.repeat(heads, np.diff(np.append(heads, len(at))))  # first suffix with these bytes
+    lcp = np.append(np.minimum(shared[heads], width), 0).astype(np.int16)
+    lcp[0] = 0
+    number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(at))))
+    _, rank = np.unique(own[heads], return_inverse=True)
     factor = np.zeros(len(at), np.int64)
-    factor[order] = np.where(previous >= tie, width, 0)
+    factor[order] = np.where(own > own[tie], width, _smaller(rank.astype(np.int32), lcp)[number])
     return factor
 
 

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from quillforge.llm import repeats
@@ -58,10 +60,58 @@ def test_kept_text(spark):
     assert kept == {1: (text + "one").encode(), 2: b"two"}
 
 
+def test_query(spark, sf, sample):
+    got = repeats.op10_repeat_removal(spark, sf).collect()
+    assert sorted(map(tuple, got), key=str) == brute(list(zip(sample.doc_id, sample.text)), 50)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcd", "a", "abcdefghijklmnop"])
+def test_longest_previous_factors(letters):
+    """Every value, not only whole ones, against the longest prefix shared with a suffix of a smaller id."""
+    rng = np.random.default_rng(len(letters))
+    for n in (1, 2, 3, 50, 160):
+        raw = "".join(rng.choice(list(letters), n + 60)).encode()
+        buffer = np.frombuffer(raw + bytes(8), np.uint8)
+        at, ids = rng.permutation(n), rng.integers(0, max(1, n // 4), n)
+        want = []
+        for a, i in zip(at, ids):
+            best = 0
+            for b, j in zip(at, ids):
+                if j < i:
+                    k = 0
+                    while k < 50 and raw[a + k] == raw[b + k]:
+                        k += 1
+                    best = max(best, k)
+            want.append(best)
+        assert repeats.previous_factors(buffer, at, ids, 50).tolist() == want
+
+
+def test_equal_hashes_of_other_bytes(spark, sf, sample, monkeypatch):
+    """Spans and windows whose hashes agree inside a shard are told apart by their bytes."""
+    table = pa.table({"id": sample.doc_id[:60], "row": np.arange(60), "text": sample.text[:60]})
+    shard = repeats.Shard(table, 50)
+    with monkeypatch.context() as m:
+        m.setattr(repeats, "_gathered", lambda buffer, at, size: np.zeros(len(at), np.uint64))
+        state = pa.table({"bucket": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "state": pa.array([], pa.binary())})
+        sent = repeats._send(50, 2)((pa.scalar(0),), table, state)
+    covered = sent.filter(pa.compute.equal(sent["kind"], 0)).to_pylist()[0]
+    bytes_of = {int(r): t.encode() for r, t in zip(shard.row, [dict(zip(table["row"].to_pylist(), table["text"].to_pylist()))[int(r)] for r in shard.row])}
+    seen = {}
+    for r, i in zip(shard.row, shard.ids):
+        b = bytes_of[int(r)]
+        for p in range(len(b) - 49):
+            seen.setdefault(b[p : p + 50], int(i))
+    owner = {int(r): int(i) for r, i in zip(shard.row, shard.ids)}
+    for r, a, n in zip(np.frombuffer(covered["rows"], "<i8"), np.frombuffer(covered["bytes"], "<i8"), np.frombuffer(covered["sizes"], "<i4")):
+        for p in range(a, a + n):
+            assert seen[bytes_of[int(r)][p : p + 50]] < owner[int(r)]
+
+
 def test_slices_agree(monkeypatch):
     rng = np.random.default_rng(1)
     buffer = np.concatenate([rng.integers(0, 2, 4000, dtype=np.uint8)] * 2 + [np.zeros(8, np.uint8)])
     at, ids = rng.integers(0, 7900, 9000), rng.integers(0, 40, 9000)
     whole = repeats.previous_factors(buffer, at, ids, 50)
     monkeypatch.setattr(repeats, "_STEP", 500)
-    assert (repeats.previous_factors(buffer, at, ids, 50) == whole).all() and whole.any()
+    sliced = repeats.previous_factors(buffer, at, ids, 50)
+    assert (sliced[whole >= 8] == whole[whole >= 8]).all() and (whole == 50).any() and (sliced <= whole).all()
