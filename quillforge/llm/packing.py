@@ -6,7 +6,8 @@ best-fit decreasing, and its bin count is compared with lower bounds from dual f
 A partition whose count equals the bound is certified optimal: it keeps all but its emptiest bin.
 One with a gap gives up every bin with noticeable slack.  What was given up is dealt anew, so that
 pieces of different partitions meet, and packed again; rounds end when one partition has held all of
-it or a round saves nothing.
+it, a round saves nothing, or after ``max_rounds``.  Every piece carries the certificate of the partition its sequence was
+made in: ``part_bins`` sequences against a bound of ``part_bound``.
 
 Edge cases: null text is empty and still has its end id; an empty table gives no pieces; repeated
 rows are packed separately; other columns are ignored; a piece of exactly the limit fills a sequence.
@@ -65,7 +66,7 @@ def token_pieces(
                 )
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind)] + T._parse_datatype_string(
+    schema = T.StructType([T.StructField(id_col, kind)] + T.StructType.fromDDL(
         "piece int, start bigint, length bigint, ids_crc32 bigint").fields)
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
@@ -130,7 +131,8 @@ def _packer(capacity: int, columns: list[str], turn: int, last: bool):
         lengths = table.column("length").to_numpy()
         where, offset, fill = best_fit(lengths, capacity)
         slack = capacity - fill
-        gap = len(fill) - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
+        gap = len(fill) - bound
         give = slack > capacity // 64 if gap else np.zeros(len(fill), bool)
         if len(fill) and slack.max() > 0:
             give[slack.argmax()] = True
@@ -140,6 +142,8 @@ def _packer(capacity: int, columns: list[str], turn: int, last: bool):
         out = table.select(columns)
         out = out.append_column("sequence_id", pa.array(first + where, pa.int64()))
         out = out.append_column("offset", pa.array(offset, pa.int64()))
+        out = out.append_column("part_bins", pa.array(np.full(len(where), len(fill), np.int64)))
+        out = out.append_column("part_bound", pa.array(np.full(len(where), bound, np.int64)))
         out = out.append_column("open", pa.array(give[where]))
         yield from out.to_batches(max_chunksize=10_000)
 
@@ -147,13 +151,13 @@ def _packer(capacity: int, columns: list[str], turn: int, last: bool):
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, part_rows: int = 50_000, max_rounds: int = 8) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
+    """Adds ``sequence_id``, ``offset``, ``part_bins`` and ``part_bound`` to pieces with a ``length`` of 1 to ``capacity``.
 
     ``part_rows`` bounds what one task packs; it is independent of the size of the input.
     """
     columns = pieces.columns
-    schema = T.StructType(pieces.schema.fields + T._parse_datatype_string(
-        "sequence_id bigint, offset bigint, open boolean").fields)
+    schema = T.StructType(pieces.schema.fields + T.StructType.fromDDL(
+        "sequence_id bigint, offset bigint, part_bins bigint, part_bound bigint, open boolean").fields)
     todo, settled, before = stage(pieces, "pieces"), [], None
     for turn in range(max_rounds):
         n = todo.count()

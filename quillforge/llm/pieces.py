@@ -3,7 +3,8 @@
 The public tokenizers split a text into pieces (words, digit runs, punctuation runs, white space)
 before any merge is looked up, and a piece's ids don't depend on its neighbours.  So each distinct
 piece goes to the ``tokenizers`` library once per Python worker; texts are then assembled from the
-stored ids with numpy.  Pieces are found on UTF-8 bytes, for texts of ASCII and Latin-1 letters; any
+stored ids with numpy.  A piece is known by a 64-bit hash, its length and its first and last eight bytes (all of its bytes, up to
+16); a text in which two of them disagree goes to the library whole.  Pieces are found on UTF-8 bytes, for texts of ASCII and Latin-1 letters; any
 other text, and any text with ``<|`` (special strings), goes to the library whole.
 """
 
@@ -68,6 +69,7 @@ class Pieces:
         self.n_pieces = 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int32)
+        self.marks = np.zeros((3, 1 << 16), np.uint64)
         self.flat = np.zeros(1 << 18, np.uint16)
         self.n_flat = 0
 
@@ -158,10 +160,12 @@ class Pieces:
         if n > len(self.starts):
             size = max(n, 2 * len(self.starts))
             self.starts, self.lengths = np.resize(self.starts, size), np.resize(self.lengths, size)
+            self.marks = np.concatenate((self.marks, np.zeros((3, size - self.marks.shape[1]), np.uint64)), axis=1)
         if m > len(self.flat):
             self.flat = np.resize(self.flat, max(m, 2 * len(self.flat)))
         self.starts[self.n_pieces : n] = self.n_flat + np.cumsum(lengths) - lengths
         self.lengths[self.n_pieces : n] = lengths
+        self.marks[:, self.n_pieces : n] = self._marks(a, starts, stops)
         self.flat[self.n_flat : m] = flat
         mask = np.uint64((1 << self.bits) - 1)
         left = np.arange(self.n_pieces, n)
@@ -178,6 +182,16 @@ class Pieces:
         self.crowded.update(zip(hashes.tolist(), left.tolist()))
         self.n_pieces, self.n_flat = n, m
 
+    @staticmethod
+    def _marks(a: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Length, first and last eight bytes of each piece (those it has)."""
+        padded = np.concatenate((np.zeros(8, np.uint8), a, np.zeros(8, np.uint8)))
+        view = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+        size = stops - starts
+        bits = (8 * np.maximum(8 - size, 0)).astype(np.uint64)
+        first, last = view[starts + 8], view[stops]
+        return np.stack((size.astype(np.uint64), first << bits, last >> bits << bits))
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         mask = np.uint64((1 << self.bits) - 1)
         slot = (hashes & mask).astype(np.int64)
@@ -229,6 +243,11 @@ class Pieces:
                 at = miss[at]
                 self._learn(a, hashes[at], starts[at], stops[at])
                 piece[miss] = self._find(hashes[miss])
+            wrong = (self.marks[:, piece] != self._marks(a, starts, stops)).any(axis=0)
+            if wrong.any():
+                bad = set(np.searchsorted(ends, starts[wrong], side="right").tolist())
+                again = [self._encode_whole(t) if i in bad else self._encode([t])[0] for i, t in enumerate(texts)]
+                return np.concatenate(again), np.array([len(x) for x in again], np.int64)
             lengths = self.lengths[piece].astype(np.int64)
             ids = self.flat[spread(self.starts[piece], lengths)]
             seen = np.concatenate(([0], np.cumsum(lengths)))

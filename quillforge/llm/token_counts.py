@@ -14,10 +14,11 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, salted_join, salts, stage
 from .pieces import batches, loaded
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
@@ -40,17 +41,15 @@ def normalised(text, style: str):
     return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) if style == "words" else text
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
-    """One stored count for each digest of this tokenizer version."""
-    if not _exists(spark, path):
+    """One stored count for each digest of this tokenizer version; a path that isn't there yet is an empty cache."""
+    try:
+        cache = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "digest binary, n_tokens bigint")
-    cache = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == tokenizer)
-    return cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return cache.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def _counter(name: str, style: str):
@@ -76,26 +75,28 @@ def token_counts(
     limit: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
+    key_rows: int = 200_000,
 ) -> DataFrame:
-    """``id``, ``n_bytes``, ``n_tokens``, ``over_limit`` of every row; appends misses to the cache."""
+    """``id``, ``n_bytes``, ``n_tokens``, ``over_limit`` of every row; appends misses to the cache.
+
+    Rows of a digest that over ``key_rows`` rows share meet their count in several tasks.
+    """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
-    keyed = docs.select(
-        F.col(id_col), F.col(text_col).alias("__text"), normalised(F.col(text_col), style).alias("content")
-    ).withColumn("digest", F.unhex(F.sha2("content", 256)))
-    stored = read_cache(spark, cache_path, version)
+    content = normalised(F.col(text_col), style)
+    digest = F.unhex(F.sha2(content, 256)).alias("digest")
+    keyed = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), digest)
+    keyed = stage(keyed.withColumn("__row", F.monotonically_increasing_id()), "digests")
+    parts = salts(keyed.groupBy("digest").count().agg(F.max("count")).first()[0], key_rows)
     misses = (
-        keyed.select("digest", "content")
-        .join(stored, "digest", "left_anti")
+        docs.select(digest, content.alias("content"))
+        .join(read_cache(spark, cache_path, version), "digest", "left_anti")
         .groupBy("digest").agg(F.first("content").alias("content"))
         .mapInArrow(_counter(tokenizer, style), "digest binary, n_tokens bigint")
     )
     misses.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    return (
-        keyed.select(id_col, F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long").alias("n_bytes"), "digest")
-        .join(read_cache(spark, cache_path, version), "digest")
-        .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    counted = salted_join(keyed, read_cache(spark, cache_path, version), ["digest"], F.col("__row"), parts)
+    return counted.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

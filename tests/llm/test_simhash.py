@@ -80,6 +80,13 @@ def test_long_lists_in_blocks_lose_no_link(spark, sf):
     assert whole == parts
 
 
+def test_hot_keys_in_parts_change_nothing(spark, docs):
+    texts = spark.range(300).selectExpr("id as doc_id", "if(id % 3 = 0, 'one hot text of a few words', concat('text ', id % 40, ' of some words')) as text")
+    for frame in (docs, texts):
+        plain = sorted(map(str, simhash.near_duplicates(frame).collect()))
+        assert sorted(map(str, simhash.near_duplicates(frame, key_rows=2).collect())) == plain
+
+
 def test_edges(docs, none):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == docs.count()

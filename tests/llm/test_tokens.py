@@ -45,6 +45,31 @@ def test_memo_resets_and_crowded_slots(monkeypatch):
     assert p.encode(texts)[0].tolist() == ids.tolist()
 
 
+def test_pieces_with_one_hash_are_told_apart():
+    import public_tokenizers
+
+    p = Pieces(public_tokenizers.path("word_bpe_49k.json"), "words")
+    texts = ["alpha beta", "", "gamma delta epsilon", "<|x|>", "a-very-long-piece-of-word here"]
+    want = [i for e in library("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False) for i in e.ids]
+    assert p.encode(texts)[0].tolist() == want
+    p.marks[2, : p.n_pieces] += np.uint64(1)  # as if the stored pieces were others of the same hash
+    ids, counts = p.encode(texts)
+    assert ids.tolist() == want and counts.sum() == len(want) and counts[1] == 0
+
+
+def test_token_file_query(spark, sf, sample):
+    want, start = {}, 0
+    for i, ids in sorted(ids_of(sample).items()):
+        want[i] = (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: tuple(r) for r in token_files.op4_token_files(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()} == want
+
+
+def test_hot_digests_meet_their_count_in_parts(spark, docs):
+    plain = sorted(map(str, token_counts.token_counts(docs, fresh_path(spark, "cache")).collect()))
+    assert sorted(map(str, token_counts.token_counts(docs, fresh_path(spark, "cache"), key_rows=1).collect())) == plain
+
+
 def test_counts_query_and_cache(spark, sf, sample):
     want = [len(e.ids) for e in library("word_bpe_49k.json").encode_batch(sample.text.tolist(), add_special_tokens=False)]
     got = {r.doc_id: tuple(r) for r in token_counts.op6_token_counts(spark, sf).collect()}
