@@ -33,16 +33,21 @@ def unify_newlines(col: Column) -> Column:
     return F.regexp_replace(col, r"\r\n?", "\n")
 
 
-def normalize_answer(col: Column) -> Column:
-    """English answer form: straight apostrophes, lower case, closing marks dropped once, long forms.
+#: white space at either end, of any script
+_ENDS = r"(?U)^\s+|\s+$"
+
 
-    Compatibility folding (NFKC) is ``fold_compatible``: it only concerns text beyond ASCII.
-    """
-    out = F.trim(F.lower(F.translate(col, "\u2018\u2019\u02bc", "'''")))
-    out = F.regexp_replace(F.trim(F.regexp_replace(out, r"[?!.]+$", "")), r"\s+", " ")
+def normalize_answer(col: Column) -> Column:
+    """English answer form of a text in compatibility form (``fold_compatible``): straight apostrophes, lower case, closing
+    marks dropped once, long forms, single spaces."""
+    out = F.regexp_replace(F.lower(F.translate(col, "\u2018\u2019\u02bc", "'''")), _ENDS, "")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[?!.]+$", ""), _ENDS, ""), r"(?U)\s+", " ")
     for short, long in CONTRACTIONS.items():
         out = F.regexp_replace(out, rf"\b{short}\b", long)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+
+
+_PLAIN = r"^[\x00-\x7F]*$"
 
 
 @F.pandas_udf(T.StringType())
@@ -50,14 +55,24 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-def fold_compatible(df: DataFrame, column: str) -> DataFrame:
-    """NFKC of one column.  Only rows beyond ASCII pass through Python; the others stay in the JVM."""
-    plain = F.coalesce(F.col(column).rlike(r"^[\x00-\x7F]*$"), F.lit(True))
-    return df.where(plain).unionByName(df.where(~plain).withColumn(column, _nfkc(F.col(column))))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_all(values: pd.Series) -> pd.Series:
+    return values.map(lambda vs: [v and unicodedata.normalize("NFKC", v) for v in vs], na_action="ignore")
+
+
+def fold_compatible(df: DataFrame, *columns: str) -> DataFrame:
+    """NFKC of string or string array columns.  Only rows beyond ASCII pass through Python; the others stay in the JVM."""
+    arrays = {c for c in columns if isinstance(df.schema[c].dataType, T.ArrayType)}
+    plain = F.lit(True)
+    for c in columns:
+        text = F.array_join(c, " ") if c in arrays else F.col(c)
+        plain &= F.coalesce(text.rlike(_PLAIN), F.lit(True))
+    folded = {c: (_nfkc_all if c in arrays else _nfkc)(F.col(c)) for c in columns}
+    return df.where(plain).unionByName(df.where(~plain).withColumns(folded))
 
 
 def matches_any(text: Column, accepted: Column) -> Column:
-    """Whether a text equals any accepted value after normalization; false for nulls."""
+    """Whether a text equals any accepted value after normalization, both in compatibility form; false for nulls."""
     own = normalize_answer(text)
     return F.coalesce(F.exists(accepted, lambda a: normalize_answer(a) == own), F.lit(False))
 

@@ -57,7 +57,7 @@ def chunk_text(docs: DataFrame, size: int = 4000) -> DataFrame:
     n = F.greatest(F.ceil(F.length("text") / size).cast("int"), F.lit(1))
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * size + 1, F.lit(size)))
     return docs.where("text is not null").select("doc_id", F.posexplode(parts).alias("ord", "raw_text")).select(
-        "doc_id", F.concat(F.lit("text:block:"), F.col("ord") + 1).alias("block_id"), F.lit(None).cast("int").alias("page_index"),
+        "doc_id", F.concat(F.lit("text:block:"), F.col("ord")).alias("block_id"), F.lit(None).cast("int").alias("page_index"),
         "raw_text", "ord", F.lit(1.0).alias("confidence"))
 
 
@@ -129,15 +129,27 @@ def lines_to_blocks(lines: DataFrame) -> DataFrame:
     return out.withColumn("raw_text", F.trim("raw_text")).where("raw_text <> ''")
 
 
-def reading_order(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Left half before right, then y, then x; ids per page and one order over the document."""
+def reading_order(blocks: DataFrame, pages: DataFrame, epsilon: float = 0.5) -> DataFrame:
+    """Left half before right, then y, then x; ids per page and one order over the document, both from 0.
+
+    Blocks whose y differ by no more than ``epsilon`` stand on one line and go by x.  That is no order of single values, so a line
+    is anchored at its first block, as in B5: a fold in y order over each page half.
+    """
     df = blocks.drop("half", "line").join(pages.select("doc_id", "page_index", F.col("width").alias("__w")), ["doc_id", "page_index"])
-    order = [(F.col("x") >= F.col("__w") / 2).cast("int"), "y", "x"]
-    n = F.row_number().over(W.partitionBy("doc_id", "page_index").orderBy(*order))
+    df = df.withColumn("__half", (F.col("x") >= F.col("__w") / 2).cast("int"))
+    half = W.partitionBy("doc_id", "page_index", "__half")
+    ys = F.array_sort(F.collect_set("y").over(half))
+    anchors = F.aggregate(
+        ys, F.expr("cast(array() as array<double>)"),
+        lambda acc, y: F.when((F.size(acc) > 0) & (y - F.element_at(acc, -1) <= epsilon), acc).otherwise(F.concat(acc, F.array(y))))
+    df = df.withColumn("__line", F.array_max(F.filter(anchors, lambda a: a <= F.col("y"))))
+    order = ["__half", "__line", "x", "y", *[c for c in ("ord",) if c in df.columns]]
+    n = F.row_number().over(W.partitionBy("doc_id", "page_index").orderBy(*order)) - 1
     all_ = F.row_number().over(W.partitionBy("doc_id").orderBy("page_index", *order)) - 1
-    return df.withColumn("block_id", F.concat(F.lit("page:"), F.col("page_index") + 1, F.lit(":block:"), n)).withColumn("ord", all_).drop("__w")
+    return df.withColumns({"block_id": F.concat(F.lit("page:"), "page_index", F.lit(":block:"), n), "ord": all_}).drop("__w", "__half", "__line")
 
 
+#: fixed value: how an answer key begins, in English or Russian
 ANSWER_KEY = r"(?iu)^(answers?|answer key|ключи?\s+ответов?)(?:\s|$|[^\p{L}\p{N}_])"
 
 
@@ -146,14 +158,20 @@ def has_key_marker(col) -> F.Column:
     return F.coalesce(F.trim(col).rlike(ANSWER_KEY), F.lit(False))
 
 
+#: fixed values: how sections begin
+SECTION_KEY = r"(?i)^answer\s*key\b"
+SECTION_INSTRUCTION = r"(?i)^[1-9]\d*\s+(choose|put|complete)\b"
+SECTION_EXAMPLE = r"(?i)^example\b"
+SECTION_ITEM = r"^[1-9]\d*\s+"
+
+
 def classify_sections(blocks: DataFrame) -> DataFrame:
     """Section kind and confidence of every block; an answer key goes on until the next instruction."""
     text = F.trim("raw_text")
-    key, instruction = text.rlike(r"(?i)^answer\s*key\b"), text.rlike(r"(?i)^[1-9]\d*\s+(choose|put|complete)\b")
-    example = text.rlike(r"(?i)^example\b")
+    key, instruction, example = text.rlike(SECTION_KEY), text.rlike(SECTION_INSTRUCTION), text.rlike(SECTION_EXAMPLE)
     mode = F.last(F.when(key, True).when(instruction & ~example, False), ignorenulls=True).over(
         W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
-    item = text.rlike(r"^[1-9]\d*\s+") | text.rlike("_{3,}")
+    item = text.rlike(SECTION_ITEM) | text.rlike("_{3,}")
     kind = F.when(key, "answerKey").when(example, "example").when(instruction, "instruction").when(
         F.coalesce(mode, F.lit(False)), "answerKey").when(item, "exercise").otherwise("unknown")
     sure = F.when(key | example | instruction, 1.0).when(F.coalesce(mode, F.lit(False)), 0.95).when(item, 0.9).otherwise(0.65)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillforge.functions.text import escape_html, matches_any, normalize_answer, shorten
+from quillforge.functions.text import escape_html, fold_compatible, matches_any, shorten
 
 
 def graded_fields(attempts: DataFrame, fields: DataFrame, responses: DataFrame, options: DataFrame | None = None) -> DataFrame:
@@ -24,9 +24,11 @@ def graded_fields(attempts: DataFrame, fields: DataFrame, responses: DataFrame,
         given = given.withColumn("option_value", F.lit(None).cast("string"))
     answered = F.when(F.col("kind") == "choice", F.col("option_value")).when(
         F.col("kind") == "orderedTokens", F.array_join("tokens", " ")).otherwise(F.col("text"))
+    given = given.withColumn("answer", answered).withColumns({"__own": F.col("answer"), "__accepted": F.col("accepted")})
+    given = fold_compatible(given, "__own", "__accepted")
     by_id = F.coalesce((F.col("kind") == "choice") & F.array_contains("accepted", F.col("option_id")), F.lit(False))
-    correct = by_id | (F.trim(F.coalesce(answered, F.lit(""))) != "") & matches_any(answered, F.col("accepted"))
-    return given.withColumn("answer", answered).withColumn("correct", correct).select(
+    correct = by_id | F.coalesce(F.col("__own").rlike(r"(?U)\S"), F.lit(False)) & matches_any(F.col("__own"), F.col("__accepted"))
+    return given.withColumn("correct", correct).select(
         "attempt_id", "lesson_id", "lesson_version", "group_id", "exercise_id", "field_id", "ord", "answer", "correct",
         F.when(~F.col("correct"), F.col("accepted")).alias("shown"))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillforge.functions.text import normalize_answer
+from quillforge.functions.text import fold_compatible, normalize_answer
 
 
 @dataclass(frozen=True)
@@ -147,8 +147,8 @@ def manifest_violations(manifests: DataFrame, calls: DataFrame, windows: DataFra
 def evaluate_answers(suggestions: DataFrame, golden: DataFrame, gate: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """(accuracy and gate, mismatches).  An answer is right if any accepted equals any expected one, normalized."""
     norm = lambda c: F.transform(c, normalize_answer)
-    df = golden.join(suggestions, "field_id", "left").withColumn(
-        "right", F.coalesce(F.arrays_overlap(norm(F.col("accepted")), norm(F.col("expected"))), F.lit(False)))
+    df = golden.join(suggestions, "field_id", "left").withColumns({"__a": F.col("accepted"), "__e": F.col("expected")})
+    df = fold_compatible(df, "__a", "__e").withColumn("right", F.coalesce(F.arrays_overlap(norm(F.col("__a")), norm(F.col("__e"))), F.lit(False)))
     total = df.agg(F.count("*").alias("n"), F.count_if("right").alias("n_right")).withColumn("accuracy", F.round(F.col("n_right") / F.col("n"), 4))
     return total.withColumn("passed", F.col("accuracy") >= gate), df.where("not right").select("field_id", "accepted", "expected")
 

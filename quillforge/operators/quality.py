@@ -36,16 +36,16 @@ def lineage_failures(refs: DataFrame, blocks: DataFrame, docs: DataFrame, slack:
     outside = (F.col("x") < F.col("b_x") - slack) | (F.col("y") < F.col("b_y") - slack) | (
         F.col("x") + F.col("width") > F.col("b_x") + F.col("b_width") + slack) | (F.col("y") + F.col("height") > F.col("b_y") + F.col("b_height") + slack)
     detail = F.filter(F.array(
-        F.when((F.col("char_start") < 0) | (F.col("char_end") > F.col("b_len")) | (F.col("char_end") < F.col("char_start")), F.lit("RANGE_OUTSIDE_BLOCK")),
-        F.when(F.col("page_index") != F.col("b_page"), F.lit("PAGE_MISMATCH")), F.when(outside, F.lit("BOX_OUTSIDE_BLOCK"))), lambda c: c.isNotNull())
-    codes = F.when(~F.col("source_id").eqNullSafe(F.col("own_source")), F.array(F.lit("SOURCE_MISMATCH"))).when(
-        F.col("ref_doc_id") != F.col("doc_id"), F.array(F.lit("CROSS_DOCUMENT"))).when(F.col("b_len").isNull(), F.array(F.lit("UNKNOWN_BLOCK"))).otherwise(detail)
+        F.when((F.col("char_start") < 0) | (F.col("char_end") > F.col("b_len")) | (F.col("char_end") < F.col("char_start")), F.lit("SOURCE_RANGE_OUT_OF_BOUNDS")),
+        F.when(F.col("page_index") != F.col("b_page"), F.lit("SOURCE_PAGE_MISMATCH")), F.when(outside, F.lit("SOURCE_BBOX_OUT_OF_BOUNDS"))), lambda c: c.isNotNull())
+    codes = F.when(~F.col("source_id").eqNullSafe(F.col("own_source")), F.array(F.lit("DOCUMENT_IR_SOURCE_MISMATCH"))).when(
+        F.col("ref_doc_id") != F.col("doc_id"), F.array(F.lit("CROSS_DOCUMENT_REF"))).when(F.col("b_len").isNull(), F.array(F.lit("UNKNOWN_BLOCK_REF"))).otherwise(detail)
     return df.select("doc_id", "entity_id", "block_id", F.explode(codes).alias("code"))
 
 
 def publish_lineage_reasons(refs: DataFrame, blocks: DataFrame, docs: DataFrame) -> DataFrame:
     """V3: distinct lineage codes of each draft, in a fixed order."""
-    order = ["SOURCE_MISMATCH", "CROSS_DOCUMENT", "UNKNOWN_BLOCK", "RANGE_OUTSIDE_BLOCK"]
+    order = ["DOCUMENT_IR_SOURCE_MISMATCH", "CROSS_DOCUMENT_REF", "UNKNOWN_BLOCK_REF", "SOURCE_RANGE_OUT_OF_BOUNDS"]
     found = lineage_failures(refs, blocks, docs).where(F.col("code").isin(*order)).groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
     return found.select("doc_id", F.filter(F.array(*[F.lit(c) for c in order]), lambda c: F.array_contains("codes", c)).alias("reasons"))
 

@@ -14,7 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEAST = 0.8
-LEAF_ROLES = ("exercisePrompt", "option", "answerField", "bankEntry")
+#: fixed values: roles whose spans have one owner
+LEAF_ROLES = ("localOption", "sharedBankEntry", "referenceMaterial", "example", "answerKey", "boilerplate")
+#: fixed values: codes of structural conflicts, and those that structures of version 1.0.0 may hold
+CONFLICT_CODES = (
+    "OVERLAPPING_OWNERSHIP", "INCOMPATIBLE_CONTINUATION", "DANGLING_RELATION", "ORDER_CONFLICT", "MISSING_BLOCK", "INVALID_INTERACTION",
+    "NON_ATOMIC_EXERCISE", "MIXED_INSTRUCTION_AND_ITEMS", "LOW_CONFIDENCE", "UNKNOWN_STRUCTURE")
+LEGACY_CODES = tuple(c for c in CONFLICT_CODES if c not in ("NON_ATOMIC_EXERCISE", "MIXED_INSTRUCTION_AND_ITEMS"))
 
 
 def _merge(df: DataFrame, key: str, same: list[str], unions: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -79,12 +85,12 @@ def foreign_proposals(proposals: DataFrame) -> DataFrame:
 
 
 def region_span_conflicts(regions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Sources in unknown blocks, or past a block's end."""
+    """Sources in unknown blocks, or past a block's end: one DANGLING_RELATION a region, with the blocks."""
     src = regions.select("doc_id", "region_id", F.inline("sources"))
     met = src.join(blocks.select("doc_id", "block_id", F.length("raw_text").alias("__n")), ["doc_id", "block_id"], "left")
     bad = met.where("__n is null or char_end > __n")
     return bad.groupBy("doc_id", "region_id").agg(F.array_sort(F.collect_set("block_id")).alias("b")).select(
-        "doc_id", F.lit("INVALID_SPAN").alias("code"), F.col("region_id").alias("owner_id"), F.col("b").alias("block_ids"))
+        "doc_id", F.lit("DANGLING_RELATION").alias("code"), F.col("region_id").alias("owner_id"), F.col("b").alias("block_ids"))
 
 
 def dangling(owners: DataFrame, owner: str, refs: str, targets: DataFrame, target: str) -> DataFrame:
@@ -98,7 +104,7 @@ def prompt_role_conflicts(exercises: DataFrame, regions: DataFrame) -> DataFrame
     """Prompts that are regions of another role."""
     named = exercises.select("doc_id", "exercise_id", F.explode("prompt_region_ids").alias("region_id"))
     wrong = named.join(regions.select("doc_id", "region_id", "role"), ["doc_id", "region_id"]).where("role <> 'exercisePrompt'")
-    return _conflict(wrong.select("doc_id", "exercise_id").distinct(), "PROMPT_ROLE", "exercise_id")
+    return _conflict(wrong.select("doc_id", "exercise_id").distinct(), "MIXED_INSTRUCTION_AND_ITEMS", "exercise_id")
 
 
 def _spans(owners: DataFrame, owner: str, refs: str, regions: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -107,35 +113,40 @@ def _spans(owners: DataFrame, owner: str, refs: str, regions: DataFrame, extra:
 
 
 def overlapping_prompts(exercises: DataFrame, regions: DataFrame) -> DataFrame:
-    """Exercises whose prompts share text.
+    """Pairs of exercises whose prompts share text (owner_id, other_id).
 
-    Spans of a block are swept in order of their start: one that begins before the furthest end so far
-    overlaps an earlier one.  Both exercises of each such neighbour are named; no pairs of a block are formed.
+    Spans of an exercise in a block are united first.  Spans of a block are then swept in order of their start: one that begins before
+    the furthest end so far overlaps the span that reaches it, and the two exercises are a pair.  So pairs grow with the spans
+    and not with their square, and every exercise that overlaps any other is in a pair.
     """
     spans = _spans(exercises, "exercise_id", "prompt_region_ids", regions).distinct()
-    order = W.partitionBy("doc_id", "block_id").orderBy("char_start", "char_end", "exercise_id")
-    upto = order.rowsBetween(W.unboundedPreceding, -1)
-    furthest = F.max(F.struct("char_end", "exercise_id")).over(upto)
-    hit = spans.withColumn("__f", furthest).where((F.col("char_start") < F.col("__f.char_end")) & (F.col("exercise_id") != F.col("__f.exercise_id")))
-    both = hit.select("doc_id", "block_id", F.explode(F.array("exercise_id", F.col("__f.exercise_id"))).alias("exercise_id"))
-    return both.groupBy("doc_id", "exercise_id").agg(F.array_sort(F.collect_set("block_id")).alias("b")).select(
-        "doc_id", F.lit("NON_ATOMIC_EXERCISE").alias("code"), F.col("exercise_id").alias("owner_id"), F.col("b").alias("block_ids"))
+    own = W.partitionBy("doc_id", "block_id", "exercise_id").orderBy("char_start", "char_end")
+    reached = F.max("char_end").over(own.rowsBetween(W.unboundedPreceding, -1))
+    island = F.sum(F.coalesce(F.col("char_start") > reached, F.lit(True)).cast("int")).over(own)
+    spans = spans.withColumn("__i", island).groupBy("doc_id", "block_id", "exercise_id", "__i").agg(
+        F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
+    order = W.partitionBy("doc_id", "block_id").orderBy("char_start", "char_end", "exercise_id").rowsBetween(W.unboundedPreceding, -1)
+    hit = spans.withColumn("__f", F.max(F.struct("char_end", "exercise_id")).over(order)).where(F.col("char_start") < F.col("__f.char_end"))
+    pair = hit.select("doc_id", "block_id", F.least("exercise_id", "__f.exercise_id").alias("owner_id"), F.greatest("exercise_id", "__f.exercise_id").alias("other_id"))
+    return pair.groupBy("doc_id", "owner_id", "other_id").agg(F.array_sort(F.collect_set("block_id")).alias("block_ids")).select(
+        "doc_id", F.lit("NON_ATOMIC_EXERCISE").alias("code"), "owner_id", "other_id", "block_ids")
 
 
 def mixed_instruction(groups: DataFrame, exercises: DataFrame, regions: DataFrame) -> DataFrame:
-    """Groups whose instruction shares text with a prompt of the group; equi-join on group and block, then ranges."""
-    a = _spans(groups, "group_id", "region_ids", regions).alias("a")
+    """Groups whose instruction regions share text with a prompt of the group; equi-join on group and block, then ranges."""
+    a = _spans(groups, "group_id", "region_ids", regions.where("role = 'instruction'")).alias("a")
     p = _spans(exercises, "exercise_id", "prompt_region_ids", regions, ("group_id",)).alias("p")
     met = a.join(p, ["doc_id", "group_id", "block_id"]).where(F.greatest("a.char_start", "p.char_start") < F.least("a.char_end", "p.char_end"))
     return met.groupBy("doc_id", "group_id").agg(F.array_sort(F.collect_set("block_id")).alias("b")).select(
-        "doc_id", F.lit("MIXED_INSTRUCTION").alias("code"), F.col("group_id").alias("owner_id"), F.col("b").alias("block_ids"))
+        "doc_id", F.lit("MIXED_INSTRUCTION_AND_ITEMS").alias("code"), F.col("group_id").alias("owner_id"), F.col("b").alias("block_ids"))
 
 
 def confidence_conflicts(parts: list[tuple[DataFrame, str, str | None]]) -> DataFrame:
-    """(frame, id column, role or kind column): confidence under 0.8, or an unknown role or kind."""
+    """(frame, id column, role or kind column): an unknown role or kind, or else confidence under 0.8."""
     out = None
     for df, owner, kind in parts:
-        one = _conflict(df.where(F.col("confidence") < LEAST), "LOW_CONFIDENCE", owner)
+        known = F.col(kind) != "unknown" if kind else F.lit(True)
+        one = _conflict(df.where((F.col("confidence") < LEAST) & F.coalesce(known, F.lit(True))), "LOW_CONFIDENCE", owner)
         if kind:
             one = one.unionByName(_conflict(df.where(F.col(kind) == "unknown"), "UNKNOWN_STRUCTURE", owner))
         out = one if out is None else out.unionByName(one)
@@ -146,7 +157,7 @@ def ownership_conflicts(regions: DataFrame) -> DataFrame:
     """A span that several leaf regions own."""
     src = regions.where(F.col("role").isin(*LEAF_ROLES)).select("doc_id", "region_id", F.inline("sources"))
     many = src.groupBy("doc_id", "block_id", "char_start", "char_end").agg(F.array_sort(F.collect_set("region_id")).alias("r")).where(F.size("r") > 1)
-    return many.select("doc_id", F.lit("MULTIPLE_OWNERS").alias("code"), F.array_join("r", ",").alias("owner_id"), F.array("block_id").alias("block_ids"))
+    return many.select("doc_id", F.lit("OVERLAPPING_OWNERSHIP").alias("code"), F.array_join("r", ",").alias("owner_id"), F.array("block_id").alias("block_ids"))
 
 
 def block_coverage(blocks: DataFrame, claims: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +174,7 @@ def block_coverage(blocks: DataFrame, claims: DataFrame, regions: DataFrame) ->
     out = blocks.select("doc_id", "block_id").distinct().join(per, ["doc_id", "block_id"], "left")
     state = F.when(F.col("n").isNull(), "missing").when(F.col("lost"), "dangling").when(F.col("n") > 1, "conflict").otherwise("mapped")
     out = out.withColumn("state", state)
-    code = F.when(F.col("state") == "missing", "MISSING_BLOCK").when(F.col("state") == "dangling", "DANGLING_RELATION").otherwise("CONFLICTING_CLAIMS")
+    code = F.when(F.col("state") == "missing", "MISSING_BLOCK").when(F.col("state") == "dangling", "DANGLING_RELATION").otherwise("OVERLAPPING_OWNERSHIP")
     wrong = out.where("state <> 'mapped'").select("doc_id", code.alias("code"), F.col("block_id").cast("string").alias("owner_id"), F.array(F.col("block_id").cast("string")).alias("block_ids"))
     return out.select("doc_id", "block_id", "state", F.when(F.col("state") == "mapped", F.col("kind")).alias("outcome")), wrong
 
@@ -202,10 +213,6 @@ def structure_violations(blocks: DataFrame, outcomes: DataFrame, status: DataFra
     return cover.unionByName(state)
 
 
-#: fixed values: conflict codes that structures of version 1.0.0 may hold
-LEGACY_CODES = ("MISSING_BLOCK", "DANGLING_RELATION", "INCOMPATIBLE_CONTINUATION", "LOW_CONFIDENCE", "UNKNOWN_STRUCTURE", "INVALID_INTERACTION")
-
-
 def upcast_structure(structures: DataFrame, conflicts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Structures as version 1.1.0, and legacy ones rejected because they hold newer codes."""
     newer = conflicts.where(~F.col("code").isin(*LEGACY_CODES)).select("doc_id").distinct().withColumn("__new", F.lit(True))

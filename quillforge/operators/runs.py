@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,13 @@ def sequence_events(events: DataFrame, stored: DataFrame | None = None) -> DataF
 
 
 def run_state(events: DataFrame) -> DataFrame:
-    """ST2: the last event of each run, by sequence; an aggregate with map-side combining."""
-    return events.groupBy("run_id").agg(F.max("seq").alias("seq"), F.max_by("type", "seq").alias("type"), F.max_by("occurred_at", "seq").alias("updated_at"), F.count("*").alias("n_events"))
+    """ST2: the last event of each run, by sequence, and the last status, step, checkpoint and failure that an event carries.
+
+    An aggregate with map-side combining; columns that the events lack are left out.
+    """
+    carried = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("status", "step", "checkpoint", "failure_code", "failure_kind") if c in events.columns]
+    return events.groupBy("run_id").agg(
+        F.max("seq").alias("seq"), F.max_by("type", "seq").alias("type"), F.max_by("occurred_at", "seq").alias("updated_at"), F.count("*").alias("n_events"), *carried)
 
 
 def stale_runs(runs: DataFrame, drafts: DataFrame, now: str, accepted_s: int = 30, processing_s: int = 180) -> DataFrame:
@@ -114,8 +120,11 @@ def redispatch(runs: DataFrame, drafts: DataFrame, requests: DataFrame, stored:
     return df, sequence_events(new, events)
 
 
-#: fixed values: names of payload keys whose values never leave the store
-SENSITIVE = ("authorization", "password", "secret", "token", "apikey", "answer", "text", "email")
+#: fixed values: names of payload keys whose values never leave the store, and what stands in their place
+SENSITIVE = (
+    r"(?i)source(text|content)?|raw.?text|block.?text|accepted(values?)?|answer|evidence|secret|password|credential"
+    r"|api.?key|signed.?url|storage.?url|(session|access|refresh|auth).?token")
+REDACTED = "[REDACTED]"
 
 
 def redact_fields(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
@@ -123,8 +132,8 @@ def redact_fields(df: DataFrame, column: str, schema: T.StructType) -> DataFrame
     def mask(col: Column, kind: T.StructType) -> Column:
         out = []
         for f in kind.fields:
-            hidden = any(s in f.name.lower().replace("_", "") for s in SENSITIVE)
-            value = F.lit("[redacted]") if hidden else mask(col[f.name], f.dataType) if isinstance(f.dataType, T.StructType) else col[f.name]
+            hidden = re.search(SENSITIVE, f.name)
+            value = F.lit(REDACTED) if hidden else mask(col[f.name], f.dataType) if isinstance(f.dataType, T.StructType) else col[f.name]
             out.append(value.alias(f.name))
         return F.struct(*out)
 
@@ -133,7 +142,7 @@ def redact_fields(df: DataFrame, column: str, schema: T.StructType) -> DataFrame
 
 def _walk(value):
     if isinstance(value, dict):
-        return {k: "[redacted]" if any(s in k.lower().replace("_", "") for s in SENSITIVE) else _walk(v) for k, v in value.items()}
+        return {k: REDACTED if re.search(SENSITIVE, k) else _walk(v) for k, v in value.items()}
     return [_walk(v) for v in value] if isinstance(value, list) else value
 
 
@@ -150,7 +159,7 @@ def _redacted(payload: pd.Series) -> pd.Series:
 
 def redact(df: DataFrame, column: str) -> DataFrame:
     """ST11, free payloads: a recursive walk; rows that hold no sensitive name stay in the JVM."""
-    suspect = F.coalesce(F.lower(F.regexp_replace(column, "_", "")).rlike("|".join(SENSITIVE)), F.lit(False))
+    suspect = F.coalesce(F.col(column).rlike(SENSITIVE) | F.col(column).contains("\\u"), F.lit(False))
     return df.where(~suspect).unionByName(df.where(suspect).withColumn(column, _redacted(F.col(column))))
 
 

@@ -76,19 +76,27 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_name").alias("student"), F.col("o_orderdate").alias("created_at"), "o_orderstatus", "o_custkey")
 
 
+ASCII = "abcdefghijklmnopqrstuvwxyz"
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in ASCII)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A response for each line of an order: the field is the part's, the text its name, shouted or wrong by quantity."""
+    """A response for each line of an order: the field is the part's, the text its name, shouted, in full-width letters, between other
+    white space, or wrong, by quantity."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     l = l.groupBy("l_orderkey", "l_partkey").agg(F.min("l_quantity").alias("q"))
-    text = F.when(F.col("q") % 3 == 0, F.concat(F.upper("p_name"), F.lit("?"))).when(F.col("q") % 3 == 1, F.col("p_name")).otherwise(F.col("p_type"))
+    wide = F.translate("p_name", ASCII, WIDE)
+    text = F.when(F.col("q") % 12 == 3, wide).when(F.col("q") % 12 == 6, F.concat(F.lit("\u00a0"), "p_name", F.lit("?\t"))).when(
+        F.col("q") % 3 == 0, F.concat(F.upper("p_name"), F.lit("?"))).when(F.col("q") % 3 == 1, F.col("p_name")).otherwise(F.col("p_type"))
     return l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("attempt_id"), F.col("l_partkey").alias("field_id"), F.lit("text").alias("kind"), text.alias("text"),
         F.lit(None).cast("string").alias("option_id"), F.lit(None).cast("array<string>").alias("tokens"), F.col("q").alias("quantity"))
 
 
-RESPONSES_SQL = """v_responses AS (
+RESPONSES_SQL = f"""v_responses AS (
   SELECT l_orderkey AS attempt_id, l_partkey AS field_id,
-    CASE WHEN q % 3 = 0 THEN upper(p_name) || '?' WHEN q % 3 = 1 THEN p_name ELSE p_type END AS text, p_name, p_brand, p_type
+    CASE WHEN q % 12 = 3 THEN translate(p_name, '{ASCII}', '{WIDE}') WHEN q % 12 = 6 THEN chr(160) || p_name || '?' || chr(9)
+      WHEN q % 3 = 0 THEN upper(p_name) || '?' WHEN q % 3 = 1 THEN p_name ELSE p_type END AS text, p_name, p_brand, p_type
   FROM (SELECT l_orderkey, l_partkey, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1, 2) JOIN part ON l_partkey = p_partkey)"""
 
 

@@ -58,23 +58,25 @@ def w1_window_errors(spark, sf_dir):
 
 @query("WITH " + _TURNS_SQL + """, c AS (SELECT doc_id, candidate_id AS block_id, count(DISTINCT kind) AS n, min(kind) AS k FROM v_turns GROUP BY 1, 2),
 bl AS (SELECT DISTINCT doc_id, unnest(['0', '1', '2']) AS block_id FROM v_turns)
-SELECT doc_id, block_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' ELSE 'mapped' END AS state, CASE WHEN n = 1 THEN k END AS outcome FROM bl LEFT JOIN c USING (doc_id, block_id)""")
+SELECT doc_id, block_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' ELSE 'mapped' END AS state, CASE WHEN n = 1 THEN k END AS outcome,
+  CASE WHEN n IS NULL THEN 'MISSING_BLOCK' WHEN n > 1 THEN 'OVERLAPPING_OWNERSHIP' END AS code FROM bl LEFT JOIN c USING (doc_id, block_id)""")
 def w17_block_coverage(spark, sf_dir):
     """Turns as claims on three blocks a conversation."""
     t = _turns(spark, sf_dir)
     blocks = t.select("doc_id").distinct().withColumn("block_id", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))))
     claims = t.select("doc_id", F.col("candidate_id").alias("block_id"), "kind", F.lit("r").alias("region_id"))
-    return rc.block_coverage(blocks, claims, t.select("doc_id").distinct().withColumn("region_id", F.lit("r")))[0]
+    out, wrong = rc.block_coverage(blocks, claims, t.select("doc_id").distinct().withColumn("region_id", F.lit("r")))
+    return out.join(wrong.select("doc_id", F.col("owner_id").alias("block_id"), "code"), ["doc_id", "block_id"], "left")
 
 
 def _regions(spark, sf_dir):
     t = _turns(spark, sf_dir)
-    role = F.when(F.col("kind") == "exercise", "exercisePrompt").when(F.col("kind") == "issue", "instruction").otherwise("option")
+    role = F.when(F.col("kind") == "exercise", "exercisePrompt").when(F.col("kind") == "issue", "instruction").otherwise("localOption")
     src = F.array(F.struct(F.col("candidate_id").alias("block_id"), (F.col("seq") * 10).cast("int").alias("char_start"), (F.col("seq") * 10 + 25).cast("int").alias("char_end")))
     return t.select("doc_id", F.concat(F.lit("region:"), F.col("seq") % 4).alias("region_id"), "seq", role.alias("role"), (F.length("text") % 10 / 10).alias("confidence"), src.alias("sources"))
 
 
-@query("WITH " + _TURNS_SQL + """, r AS (SELECT doc_id, 'region:' || (seq % 4) AS region_id, seq, CASE kind WHEN 'exercise' THEN 'exercisePrompt' WHEN 'issue' THEN 'instruction' ELSE 'option' END AS role, (length(text) % 10) / 10.0 AS confidence FROM v_turns),
+@query("WITH " + _TURNS_SQL + """, r AS (SELECT doc_id, 'region:' || (seq % 4) AS region_id, seq, CASE kind WHEN 'exercise' THEN 'exercisePrompt' WHEN 'issue' THEN 'instruction' ELSE 'localOption' END AS role, (length(text) % 10) / 10.0 AS confidence FROM v_turns),
 f AS (SELECT *, first_value(role) OVER (PARTITION BY doc_id, region_id ORDER BY seq) AS lead_role FROM r)
 SELECT doc_id, region_id, lead_role AS role, min(confidence)::DOUBLE AS confidence, count(*)::INTEGER AS n_sources FROM f WHERE role = lead_role GROUP BY 1, 2, 3""")
 def w5_merged_regions(spark, sf_dir):
@@ -92,18 +94,21 @@ def w15_low_confidence(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_orderkey AS d, l_linenumber AS e, l_suppkey % 5 AS b, (l_partkey % 100)::INTEGER AS s0, (l_partkey % 100 + l_quantity)::INTEGER AS s1 FROM lineitem),
-u AS (SELECT DISTINCT * FROM s)
-SELECT x.d AS doc_id, 'NON_ATOMIC_EXERCISE' AS code, count(DISTINCT x.b)::BIGINT AS n_blocks FROM u x JOIN u y ON x.d = y.d AND x.b = y.b AND x.e <> y.e AND greatest(x.s0, y.s0) < least(x.s1, y.s1) GROUP BY 1""")
+u AS (SELECT DISTINCT * FROM s),
+r AS (SELECT *, max(s1) OVER (PARTITION BY d, b, e ORDER BY s0, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM u),
+i AS (SELECT *, sum(CASE WHEN m IS NULL OR s0 > m THEN 1 ELSE 0 END) OVER (PARTITION BY d, b, e ORDER BY s0, s1) AS k FROM r),
+v AS (SELECT d, b, e, min(s0) AS s0, max(s1) AS s1 FROM i GROUP BY d, b, e, k),
+p AS (SELECT x.d, x.b, x.e, arg_max(y.e, (y.s1, y.e)) AS o FROM v x JOIN v y ON x.d = y.d AND x.b = y.b AND (y.s0, y.s1, y.e) < (x.s0, x.s1, x.e) GROUP BY x.d, x.b, x.e, x.s0 HAVING max(y.s1) > x.s0)
+SELECT d AS doc_id, 'NON_ATOMIC_EXERCISE' AS code, least(e, o) AS owner_id, greatest(e, o) AS other_id, count(DISTINCT b)::INTEGER AS n_blocks FROM p GROUP BY 1, 2, 3, 4""")
 def w13_overlapping_prompts(spark, sf_dir):
-    """Order lines as prompt spans; blocks with overlaps by document."""
+    """Order lines as prompt spans; pairs of lines that overlap, with their number of blocks."""
     l = b.table(spark, sf_dir, "lineitem")
     ref = F.concat("l_linenumber", F.lit("/"), F.col("l_suppkey") % 5, F.lit("/"), "l_partkey", F.lit("/"), F.col("l_quantity").cast("int"))
     rows = l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("exercise_id"), ref.alias("region_id"), (F.col("l_suppkey") % 5).alias("block_id"),
                     (F.col("l_partkey") % 100).cast("int").alias("s"), (F.col("l_partkey") % 100 + F.col("l_quantity")).cast("int").alias("e")).distinct()
     ex = rows.select("doc_id", "exercise_id", F.array("region_id").alias("prompt_region_ids"))
     regions = rows.select("doc_id", "region_id", F.array(F.struct("block_id", F.col("s").alias("char_start"), F.col("e").alias("char_end"))).alias("sources")).dropDuplicates(["doc_id", "region_id"])
-    found = rc.overlapping_prompts(ex, regions)
-    return found.select("doc_id", "code", F.explode("block_ids").alias("x")).groupBy("doc_id", "code").agg(F.count_distinct("x").alias("n_blocks"))
+    return rc.overlapping_prompts(ex, regions).select("doc_id", "code", "owner_id", "other_id", F.size("block_ids").alias("n_blocks"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'DELETED' ELSE 'CHANGED' END AS code FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0""")
@@ -237,7 +242,7 @@ def g10_manifest_aggregates(spark, sf_dir):
 
 
 @query("WITH " + b.RESPONSES_SQL + """, s AS (SELECT field_id, min(text) AS t FROM v_responses GROUP BY 1),
-j AS (SELECT p_partkey, coalesce(lower(trim(regexp_replace(t, '[?!.]+$', ''))) = lower(p_name), false) AS ok FROM part LEFT JOIN s ON field_id = p_partkey)
+j AS (SELECT p_partkey, coalesce(trim(regexp_replace(regexp_replace(lower(translate(t, '""" + b.WIDE + "', '" + b.ASCII + r"""')), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), '[?!.]+$', '')) = lower(p_name), false) AS ok FROM part LEFT JOIN s ON field_id = p_partkey)
 SELECT count(*)::BIGINT AS n, count(*) FILTER (ok)::BIGINT AS n_right, round(count(*) FILTER (ok) / count(*), 4) AS accuracy, round(count(*) FILTER (ok) / count(*), 4) >= 0.9 AS passed FROM j""")
 def g12_accuracy(spark, sf_dir):
     """Each field's first response as the suggestion."""
@@ -340,16 +345,18 @@ def v9_stored_versions(spark, sf_dir):
 
 
 @query("WITH " + b.BLOCKS_SQL + """, r AS (SELECT doc_id, block_id, ord, length(raw_text) AS n, page_index FROM v_blocks)
-SELECT doc_id, block_id, CASE WHEN ord % 7 = 0 THEN 'RANGE_OUTSIDE_BLOCK' WHEN ord % 7 = 1 THEN 'PAGE_MISMATCH' WHEN ord % 7 = 2 THEN 'SOURCE_MISMATCH' END AS code FROM r WHERE ord % 7 < 3""")
+SELECT doc_id, block_id, CASE WHEN ord % 7 = 0 THEN 'SOURCE_RANGE_OUT_OF_BOUNDS' WHEN ord % 7 = 1 THEN 'SOURCE_PAGE_MISMATCH' WHEN ord % 7 = 2 THEN 'DOCUMENT_IR_SOURCE_MISMATCH'
+  WHEN ord % 7 = 3 THEN 'CROSS_DOCUMENT_REF' WHEN ord % 7 = 4 THEN 'UNKNOWN_BLOCK_REF' ELSE 'SOURCE_BBOX_OUT_OF_BOUNDS' END AS code FROM r WHERE ord % 7 < 6""")
 def v2_lineage_failures(spark, sf_dir):
     """V2: a reference to every block, some of them wrong."""
     bl = b.blocks(spark, sf_dir)
     k = F.col("ord") % 7
     refs = bl.select(
-        "doc_id", F.col("block_id").alias("entity_id"), F.when(k == 2, F.lit(-1)).otherwise(F.col("doc_id")).alias("source_id"), F.col("doc_id").alias("ref_doc_id"), "block_id", F.lit(0).alias("char_start"),
-        (F.length("raw_text") + F.when(k == 0, 1).otherwise(0)).alias("char_end"), (F.col("page_index") + F.when(k == 1, 1).otherwise(0)).alias("page_index"), "x", "y", "width", "height")
+        "doc_id", F.col("block_id").alias("entity_id"), F.when(k == 2, F.lit(-1)).otherwise(F.col("doc_id")).alias("source_id"), (F.col("doc_id") + F.when(k == 3, 1).otherwise(0)).alias("ref_doc_id"),
+        F.when(k == 4, F.concat("block_id", F.lit("?"))).otherwise(F.col("block_id")).alias("block_id"), F.lit(0).alias("char_start"),
+        (F.length("raw_text") + F.when(k == 0, 1).otherwise(0)).alias("char_end"), (F.col("page_index") + F.when(k == 1, 1).otherwise(0)).alias("page_index"), (F.col("x") - F.when(k == 5, 0.5).otherwise(0)).alias("x"), "y", "width", "height")
     docs = bl.select("doc_id", F.col("doc_id").alias("source_id")).distinct()
-    return ql.lineage_failures(refs, bl, docs).select("doc_id", "block_id", "code")
+    return ql.lineage_failures(refs, bl, docs).select("doc_id", F.col("entity_id").alias("block_id"), "code")
 
 
 @query("""WITH c AS (SELECT event_id, event_id % 300 AS a, row_number() OVER (PARTITION BY event_id % 300 ORDER BY ts, event_id) AS n FROM events)
@@ -371,17 +378,17 @@ def st14_routes(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT DISTINCT l_suppkey % 20 AS d, l_orderkey % 50 AS blk, l_linenumber AS s, l_partkey % 40 AS region FROM lineitem WHERE l_linenumber % 2 = 0)
-SELECT d AS doc_id, count(*)::BIGINT AS n FROM (SELECT d, blk, s FROM r GROUP BY 1, 2, 3 HAVING count(DISTINCT region) > 1) GROUP BY 1""")
+SELECT d AS doc_id, count(*)::BIGINT AS n FROM (SELECT d, blk, s FROM r GROUP BY 1, 2, 3 HAVING count(DISTINCT region) > 1) GROUP BY 1""".replace("d AS doc_id,", "d AS doc_id, 'OVERLAPPING_OWNERSHIP' AS code,"))
 def w16_ownership(spark, sf_dir):
     """Lines as leaf regions (even numbers) and others; spans with several owners by document."""
     l = b.table(spark, sf_dir, "lineitem")
     regions = l.select(
-        (F.col("l_suppkey") % 20).alias("doc_id"), (F.col("l_partkey") % 40).cast("string").alias("region_id"), F.when(F.col("l_linenumber") % 2 == 0, "option").otherwise("instruction").alias("role"),
+        (F.col("l_suppkey") % 20).alias("doc_id"), (F.col("l_partkey") % 40).cast("string").alias("region_id"), F.when(F.col("l_linenumber") % 2 == 0, "localOption").otherwise("instruction").alias("role"),
         F.array(F.struct((F.col("l_orderkey") % 50).cast("string").alias("block_id"), F.col("l_linenumber").alias("char_start"), (F.col("l_linenumber") + 5).alias("char_end"))).alias("sources"))
-    return rc.ownership_conflicts(regions).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return rc.ownership_conflicts(regions).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + b.BLOCKS_SQL + """ SELECT doc_id, 'INVALID_SPAN' AS code, block_id AS owner_id FROM v_blocks WHERE ord % 5 = 0 OR ord % 7 = 0""")
+@query("WITH " + b.BLOCKS_SQL + """ SELECT doc_id, 'DANGLING_RELATION' AS code, block_id AS owner_id FROM v_blocks WHERE ord % 5 = 0 OR ord % 7 = 0""")
 def w10_span_conflicts(spark, sf_dir):
     """A region for each line; some reach past the block, some name a block that is not there."""
     bl = b.blocks(spark, sf_dir)

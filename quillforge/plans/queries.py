@@ -85,7 +85,7 @@ def b1_normalized_texts(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(range(greatest(ceil(length(text) / 400.0), 1)::BIGINT)) AS i FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, i::INTEGER AS ord, 'text:block:' || (i + 1) AS block_id, substr(text, i * 400 + 1, 400) AS raw_text FROM c""")
+SELECT doc_id, i::INTEGER AS ord, 'text:block:' || i AS block_id, substr(text, i * 400 + 1, 400) AS raw_text FROM c""")
 def b3_text_chunks(spark, sf_dir):
     """B3 with blocks of 400 code points, which most documents exceed."""
     return bl.chunk_text(b.table(spark, sf_dir, "documents"), 400).select("doc_id", "ord", "block_id", "raw_text")
@@ -100,11 +100,17 @@ def b4_tagged_lines(spark, sf_dir):
     return bl.tag_text_lines(b.exercise_texts(spark, sf_dir)).select("doc_id", "line", F.col("start").cast("long"), F.col("end").cast("long"), "kind")
 
 
-@query("WITH " + b.BLOCKS_SQL + """ SELECT doc_id, block_id AS old_id, 'page:' || (page_index + 1) || ':block:' || row_number() OVER (PARTITION BY doc_id, page_index ORDER BY x >= 300, y, x) AS block_id,
-(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, x >= 300, y, x) - 1)::INTEGER AS ord FROM v_blocks""")
+@query("WITH " + b.BLOCKS_SQL + """, m AS (SELECT doc_id, block_id, page_index, ord, x >= 300 AS rt, CASE WHEN ord % 3 = 0 THEN x + 20 ELSE x END AS x, y + CASE ord % 5 WHEN 0 THEN 0.4 WHEN 1 THEN -11.8 ELSE 0 END AS y FROM v_blocks),
+a AS (SELECT doc_id, page_index, rt, list_reduce(list_prepend([]::DOUBLE[], list_transform(list_sort(list_distinct(list(y))), lambda v: [v])), lambda acc, v:
+  CASE WHEN len(acc) > 0 AND v[1] - acc[-1] <= 0.5 THEN acc ELSE list_concat(acc, v) END) AS anchors FROM m GROUP BY ALL),
+k AS (SELECT m.*, list_max(list_filter(anchors, lambda v: v <= y)) AS line FROM m JOIN a USING (doc_id, page_index, rt))
+SELECT doc_id, block_id AS old_id, 'page:' || page_index || ':block:' || (row_number() OVER (PARTITION BY doc_id, page_index ORDER BY rt, line, x, y, ord) - 1) AS block_id,
+(row_number() OVER (PARTITION BY doc_id ORDER BY page_index, rt, line, x, y, ord) - 1)::INTEGER AS ord FROM k""")
 def b7_reading_order(spark, sf_dir):
-    """Left column, then right, page by page."""
+    """Left column, then right, page by page; some blocks stand a little lower, some nearly on the line above."""
     df = b.blocks(spark, sf_dir).withColumn("old_id", F.col("block_id")).withColumns({"half": F.lit(0), "line": F.lit(0)})
+    k = F.col("ord") % 5
+    df = df.withColumns({"x": F.col("x") + F.when(F.col("ord") % 3 == 0, 20.0).otherwise(0.0), "y": F.col("y") + F.when(k == 0, 0.4).when(k == 1, -11.8).otherwise(0.0)})
     return bl.reading_order(df, b.pages(spark, sf_dir)).select("doc_id", "old_id", "block_id", "ord")
 
 
@@ -206,8 +212,8 @@ def s10_tenant_violations(spark, sf_dir):
     return found.join(child.select("key", "owner_id"), "key").select("entity_id", "owner_id", "code")
 
 
-_NORM_SQL = r"trim(regexp_replace(trim(regexp_replace({0}, '[?!.]+$', '')), '\s+', ' ', 'g'))"
-_GRADED_SQL = "WITH " + b.RESPONSES_SQL + ", g AS (SELECT *, " + _NORM_SQL.format("lower(trim(text))") + " = " + _NORM_SQL.format("lower(trim(p_name))") + " AS correct FROM v_responses)"
+_NORM_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g'), '[?!.]+$', ''), '[\s\x{{00A0}}]+', ' ', 'g'))"
+_GRADED_SQL = "WITH " + b.RESPONSES_SQL + ", g AS (SELECT *, " + _NORM_SQL.format(f"lower(translate(text, '{b.WIDE}', '{b.ASCII}'))") + " = " + _NORM_SQL.format("lower(p_name)") + " AS correct FROM v_responses)"
 
 
 def _graded(spark, sf_dir):

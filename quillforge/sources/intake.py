@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,16 +123,16 @@ def resolve_replay(incoming: DataFrame, existing: DataFrame, key: str = "owner_k
 
 def new_rows(df: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is new; of several in the batch, one."""
-    return df.join(target.select(keys).distinct(), keys, "left_anti").dropDuplicates(keys)
+    return df.join(target.select(keys), keys, "left_anti").dropDuplicates(keys)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str], partition_by: tuple[str, ...] = ()) -> None:
-    """Append-only sink; rows whose key is stored already are left out, nothing is changed."""
-    spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        df = new_rows(df, spark.read.parquet(path), keys)
-    else:
+    """Append-only sink for one writer at a time; rows whose key is stored already are left out, nothing is changed."""
+    try:
+        df = new_rows(df, df.sparkSession.read.schema(df.schema).parquet(path), keys)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         df = df.dropDuplicates(keys)
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 

@@ -130,7 +130,13 @@ def test_batches_stay_in_bounds(spark):
 def test_redaction(spark):
     df = spark.createDataFrame([(1, '{"a":{"api_key":"k","n":1},"list":[{"password":"p"}]}'), (2, '{"n":1}'), (3, None)], "id int, payload string")
     got = {r.id: r.payload for r in rn.redact(df, "payload").collect()}
-    assert got == {1: '{"a":{"api_key":"[redacted]","n":1},"list":[{"password":"[redacted]"}]}', 2: '{"n":1}', 3: None}
+    assert got == {1: '{"a":{"api_key":"[REDACTED]","n":1},"list":[{"password":"[REDACTED]"}]}', 2: '{"n":1}', 3: None}
+    # keys that hold source, answers or credentials go whole; counts of tokens and contexts stay
+    for key in ("sourceContent", "credential", "signedUrl", "storage_url", "evidence", "accepted", "api-key", "refreshToken", "blockText"):
+        assert rn.redact(spark.createDataFrame([(f'{{"{key}":{{"x":1}},"n":[2]}}',)], "payload string"), "payload").first()[0] == f'{{"{key}":"[REDACTED]","n":[2]}}'
+    for key in ("total_tokens", "context", "tokenUsage", "email"):
+        text = f'{{"{key}":5}}'
+        assert rn.redact(spark.createDataFrame([(text,)], "payload string"), "payload").first()[0] == text
 
 
 def test_streams_equal_batch(spark, sf, tmp_path):
