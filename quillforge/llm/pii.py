@@ -162,7 +162,7 @@ _CUES = (
 )
 _OTHER_CUES = ("version", "page", "isbn", "order", "date", "total", "price", "no", "id", "section", "chapter", "usd", "eur")
 N_FEATURES = 22
-PER_DOC = 24  # spans of a sampled document that become examples
+PER_DOC = 8  # spans of a sampled document that become examples
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
