@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def violation(df: DataFrame, kind: str, entity: str, code: str | Column, severity: str = "blocking", evidence: Column | None = None) -> DataFrame:
@@ -95,12 +96,30 @@ def contract_violations(groups: DataFrame, exercises: DataFrame, options: DataFr
 ANSWER_COLUMNS = ("accepted", "accepted_values", "answer", "provenance", "review_status", "evidence", "confidence", "source_refs")
 
 
+def _answer_fields(kind: T.DataType, path: str = "") -> list[str]:
+    """Paths of a schema, at any depth, whose names hold answers or provenance."""
+    if isinstance(kind, T.ArrayType):
+        return _answer_fields(kind.elementType, path)
+    if isinstance(kind, T.MapType):
+        return _answer_fields(kind.valueType, path)
+    if not isinstance(kind, T.StructType):
+        return []
+    out = []
+    for f in kind.fields:
+        own = f"{path}.{f.name}".lstrip(".")
+        out += [own] if f.name.lower() in ANSWER_COLUMNS else _answer_fields(f.dataType, own)
+    return out
+
+
 def student_violations(lessons: DataFrame, exercises: DataFrame, resources: DataFrame) -> DataFrame:
-    """V5: the students' copy holds no answers; public ids are long and url-safe; resources pair up."""
+    """V5: the students' copy holds no answers at any depth; public ids are long and url-safe; resources pair up.
+
+    Every row whose column holds something under an answer's name is reported.
+    """
     parts = [violation(lessons.where("not public_lesson_id rlike '^[A-Za-z0-9_-]{22,}$'"), "lesson", "public_lesson_id", "PUBLIC_ID")]
-    leaked = [c for df in (lessons, exercises, resources) for c in df.columns if c.lower() in ANSWER_COLUMNS]
-    for c in leaked:
-        parts.append(violation(lessons.limit(1), "lesson", "public_lesson_id", "ANSWER_COLUMN", evidence=F.lit(c)))
+    for df, kind, key in ((lessons, "lesson", "public_lesson_id"), (exercises, "exercise", "exercise_id"), (resources, "resource", "resource_id")):
+        for path in _answer_fields(df.schema):
+            parts.append(violation(df.where(F.col(path.split(".")[0]).isNotNull()), kind, key, "ANSWER_COLUMN", evidence=F.lit(path)))
     needs = F.col("kind").isin("wordBankGap", "matching")
     lost = exercises.where(needs).join(resources.select("doc_id", F.col("resource_id").alias("shared_resource_id")), ["doc_id", "shared_resource_id"], "left_anti")
     parts.append(violation(lost, "exercise", "exercise_id", "RESOURCE_UNKNOWN"))

@@ -38,16 +38,23 @@ def apply_issue_decisions(fields: DataFrame, exercises: DataFrame, issues: DataF
 
 
 def apply_exercise_edits(exercises: DataFrame, edits: DataFrame) -> DataFrame:
-    """Prompt edits; provenance becomes the decision.  ``edits``: exercise_id, seq, prompt, decision_id."""
-    last = edits.groupBy("exercise_id").agg(F.max_by(F.struct("prompt", "decision_id"), "seq").alias("e"))
+    """Prompt and option edits, the last of each; provenance becomes the decision.
+
+    ``edits``: exercise_id, seq, prompt, options (where exercises have them), decision_id; null leaves a part as it is.
+    """
+    parts = [c for c in ("prompt", "options") if c in edits.columns and c in exercises.columns]
+    last = edits.groupBy("exercise_id").agg(
+        F.max_by("decision_id", "seq").alias("__decision"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"__{c}") for c in parts])
     df = exercises.join(last, "exercise_id", "left")
-    return df.withColumn("prompt", F.coalesce("e.prompt", "prompt")).withColumn("decision_id", F.coalesce("e.decision_id", F.lit(None).cast("string"))).drop("e")
+    df = df.withColumns({c: F.coalesce(f"__{c}", c) for c in parts} | {"decision_id": F.col("__decision")})
+    return df.drop("__decision", *[f"__{c}" for c in parts])
 
 
 def apply_exercise_creates(exercises: DataFrame, creates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all exercises, rejected creates).  ``creates``: group_id, seq, kind, prompt, answers, options.
 
-    A new exercise needs a prompt and an answer, a choice two options; ordinals go on from the group's last.
+    A new exercise needs a prompt and an answer, a choice two options; ordinals go on from the group's last.  New exercises
+    carry their ``answers`` and ``options``, which are null for those that were there.
     """
     tidy = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda x: x != "")
     new = creates.withColumn("prompt", F.trim("prompt")).withColumn("answers", tidy(F.col("answers"))).withColumn("options", tidy(F.col("options")))
@@ -55,8 +62,9 @@ def apply_exercise_creates(exercises: DataFrame, creates: DataFrame) -> tuple[Da
     last = exercises.groupBy("group_id").agg(F.max("ord").alias("__last"))
     n = F.row_number().over(W.partitionBy("group_id").orderBy("seq"))
     added = new.where(fine).join(last, "group_id", "left").withColumn("ord", (F.coalesce("__last", F.lit(0)) + n).cast("int"))
-    added = added.select("group_id", F.concat("group_id", F.lit(":item:"), "ord").alias("exercise_id"), "ord", "kind", "prompt")
-    return exercises.select(added.columns).unionByName(added), new.where(~fine)
+    added = added.select("group_id", F.concat("group_id", F.lit(":item:"), "ord").alias("exercise_id"), "ord", "kind", "prompt", "answers", "options")
+    old = exercises.select(*[F.col(c) if c in exercises.columns else F.lit(None).cast("array<string>").alias(c) for c in added.columns])
+    return old.unionByName(added), new.where(~fine)
 
 
 def apply_exercise_deletes(exercises: DataFrame, groups: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

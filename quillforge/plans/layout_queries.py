@@ -212,7 +212,7 @@ v_lead AS (SELECT *, first_value(ordinal) OVER (PARTITION BY doc_id, id ORDER BY
 @query("WITH " + _PROPOSALS_SQL + """ SELECT doc_id, id AS group_id, lead_ordinal AS ordinal, count(DISTINCT region) FILTER (ordinal = lead_ordinal)::INTEGER AS n_regions,
 count(*) FILTER (ordinal <> lead_ordinal)::BIGINT AS n_conflicts FROM v_lead GROUP BY 1, 2, 3""")
 def w6_merged_groups(spark, sf_dir):
-    """Groups merged by id where the ordinal agrees, and how many rows conflict."""
+    """Groups merged by id where the ordinal agrees, and how many rows conflict."""
     g = _proposals(spark, sf_dir).select("doc_id", F.col("id").alias("group_id"), "seq", "ordinal", F.array("region").alias("region_ids"), "confidence")
     merged, wrong = rc.merge_groups(g)
     n = wrong.groupBy("doc_id", F.col("owner_id").alias("group_id")).agg(F.count("*").alias("n"))

@@ -289,8 +289,12 @@ _HISTORY = lb.HistoryParams(owner="NATION_3", query="customer#", delivery="sent"
 
 
 def _history_inputs(spark, sf_dir):
-    a = b.attempts(spark, sf_dir)
-    scores = gr.attempt_scores(_graded(spark, sf_dir)).select("attempt_id", "correct", "total")
+    a = b.attempts(spark, sf_dir).where(F.col("owner_id") == _HISTORY.owner)
+    # only this owner's answers are graded
+    asked = b.responses(spark, sf_dir).join(a.select("attempt_id"), "attempt_id", "left_semi")
+    fields = b.asked_fields(spark, sf_dir).join(a.select(F.col("attempt_id").alias("lesson_id")), "lesson_id", "left_semi")
+    own = a.withColumn("lesson_id", F.col("attempt_id")).select("attempt_id", "lesson_id", "lesson_version")
+    scores = gr.attempt_scores(gr.graded_fields(own, fields, asked)).select("attempt_id", "correct", "total")
     a = a.join(scores, "attempt_id").withColumn("lesson_id", F.col("o_custkey"))
     lessons = a.select("lesson_id", F.concat(F.lit("Lesson of "), "student").alias("title")).distinct()
     outbox = a.where("o_orderstatus <> 'P'").select("attempt_id", F.when(F.col("o_orderstatus") == "F", "sent").otherwise("failed").alias("status"))
