@@ -52,7 +52,7 @@ def test_lines_and_order(spark):
     items = layout(spark, [("b", 60, 11, 10), ("a", 50, 10, 8), ("tab", 100, 10, 20), ("z", 400, 10, 10), ("c", 50, 14.5, 10), ("d", 62, 14, 10)])
     blocks = bl.reading_order(bl.lines_to_blocks(bl.items_to_lines(items, pages)), pages).orderBy("ord").collect()
     assert [b.raw_text for b in blocks] == ["a b\ttab", "c d", "z"]
-    assert [b.block_id for b in blocks] == ["page:1:block:1", "page:1:block:2", "page:1:block:3"]
+    assert [b.block_id for b in blocks] == ["page:0:block:0", "page:0:block:1", "page:0:block:2"]  # both count from 0
 
 
 def test_blanks(spark):
