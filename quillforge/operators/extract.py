@@ -13,13 +13,18 @@ DEFAULT_INSTRUCTION = "Complete the exercise."
 NUMBERED = r"^([1-9]\d*)\s+(.+)$"
 
 
+def _small(patterns: DataFrame, rows: int = 1000) -> DataFrame:
+    """A pattern table, broadcast if it has at most ``rows`` rows; Spark chooses the join of a larger one."""
+    return F.broadcast(patterns) if patterns.limit(rows + 1).count() <= rows else patterns
+
+
 def route_documents(blocks: DataFrame, templates: DataFrame) -> DataFrame:
     """The template of each document: the one of best priority whose anchors all hit some block, else ``generic``.
 
-    ``templates``: template, priority, anchor; a table of a few patterns, broadcast.
+    ``templates``: template, priority, anchor; a table of patterns, broadcast while it is small.
     """
     anchors = templates.withColumn("n", F.count("*").over(W.partitionBy("template")))
-    hits = blocks.select("doc_id", F.trim("raw_text").alias("t")).join(F.broadcast(anchors), F.expr("t rlike anchor"))
+    hits = blocks.select("doc_id", F.trim("raw_text").alias("t")).join(_small(anchors), F.expr("t rlike anchor"))
     claimed = hits.groupBy("doc_id", "template", "priority", "n").agg(F.count_distinct("anchor").alias("hit")).where("hit = n")
     best = claimed.groupBy("doc_id").agg(F.min_by("template", F.struct("priority", "template")).alias("template"))
     return blocks.select("doc_id").distinct().join(best, "doc_id", "left").withColumn("template", F.coalesce("template", F.lit("generic")))
@@ -280,13 +285,13 @@ def stitch_items(segmented: DataFrame) -> tuple[DataFrame, DataFrame]:
 def link_passages(blocks: DataFrame, sections: DataFrame, boilerplate: str = r"^©") -> DataFrame:
     """For each question section, its passage and the outcome.
 
-    ``sections`` (broadcast, a few rows of data): section, heading, title.  A passage runs from its title to the
+    ``sections`` (broadcast while it is small): section, heading, title.  A passage runs from its title to the
     end of the page.  No passage makes the section partial (SOURCE_TRUNCATED); several link nothing
     (READING_ORDER_UNCERTAIN).
     """
-    df = blocks.withColumn("t", F.trim("raw_text"))
-    heads = df.join(F.broadcast(sections), F.expr("t rlike heading")).select("doc_id", "section", F.col("ord").alias("heading_ord")).dropDuplicates(["doc_id", "section"])
-    titles = df.join(F.broadcast(sections), F.expr("t rlike title")).select("doc_id", "section", F.col("page_index").alias("p"), F.col("ord").alias("title_ord"))
+    df, sections = blocks.withColumn("t", F.trim("raw_text")), _small(sections)
+    heads = df.join(sections, F.expr("t rlike heading")).select("doc_id", "section", F.col("ord").alias("heading_ord")).dropDuplicates(["doc_id", "section"])
+    titles = df.join(sections, F.expr("t rlike title")).select("doc_id", "section", F.col("page_index").alias("p"), F.col("ord").alias("title_ord"))
     found = titles.groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.min("p").alias("p"), F.min("title_ord").alias("title_ord"))
     lines = df.where(~F.col("t").rlike(boilerplate)).select("doc_id", "page_index", "ord", "t")
     body = found.where("n = 1").join(lines, "doc_id").where("page_index = p and ord > title_ord")
