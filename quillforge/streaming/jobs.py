@@ -12,6 +12,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from quillforge.operators import extract
 from quillforge.sources import intake
 
+def _timed(stream: DataFrame, column: str) -> DataFrame:
+    """Watermarks take timestamps with a zone; others are read in the session's."""
+    return stream.withColumn(column, F.col(column).cast("timestamp"))
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,7 +51,8 @@ class _Attempts(StatefulProcessor):
 def dedupe_attempts_stream(stream: DataFrame) -> DataFrame:
     """ST4: outcome of every attempt row of a stream (attempt_id, fingerprint, created_at).
 
-    State is one fingerprint an id, dropped a week after its last change.
+    State is one fingerprint an id, dropped a week after its last change.  As state expires by the clock, the query runs until it is
+    stopped, with the trigger ``availableNow`` too.
     """
     return stream.groupBy("attempt_id").transformWithStateInPandas(
         _Attempts(), "attempt_id bigint, fingerprint string, outcome string", "Append", "ProcessingTime")
@@ -54,12 +60,12 @@ def dedupe_attempts_stream(stream: DataFrame) -> DataFrame:
 
 def replays_dropped(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """ST4, where conflicts can't occur: one row of each attempt id within the watermark."""
-    return stream.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["attempt_id"])
+    return _timed(stream, "created_at").withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["attempt_id"])
 
 
 def rate_counts(stream: DataFrame, limit: int = 30, delay: str = "10 minutes") -> DataFrame:
     """ST5: requests of each identity and clock hour, and how many of them exceed the limit."""
-    n = stream.withWatermark("created_at", delay).groupBy(F.window("created_at", "1 hour"), "identity").agg(F.count("*").alias("n"))
+    n = _timed(stream, "created_at").withWatermark("created_at", delay).groupBy(F.window("created_at", "1 hour"), "identity").agg(F.count("*").alias("n"))
     return n.select(F.col("window.start").alias("hour"), "identity", "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("n_over"))
 
 
