@@ -3,8 +3,8 @@
 The public tokenizers split a text into pieces (words, digit runs, punctuation runs, white space)
 before any merge is looked up, and a piece's ids don't depend on its neighbours.  So each distinct
 piece goes to the ``tokenizers`` library once per Python worker; texts are then assembled from the
-stored ids with numpy.  A piece is known by a 64-bit hash, its length and its first and last eight bytes (all of its bytes, up to
-16); a text in which two of them disagree goes to the library whole.  Pieces are found on UTF-8 bytes, for texts of ASCII and Latin-1 letters; any
+stored ids with numpy.  A piece is looked up by a 64-bit hash and then compared: its length, its first and last eight bytes (all of its
+bytes, up to 16) and, of a longer one, every byte with those stored; a text with a piece that differs goes to the library whole.  Pieces are found on UTF-8 bytes, for texts of ASCII and Latin-1 letters; any
 other text, and any text with ``<|`` (special strings), goes to the library whole.
 """
 
@@ -16,6 +16,7 @@ import numpy as np
 
 _LETTER, _DIGIT, _SPACE, _BLANK, _OTHER = 0, 1, 2, 3, 4
 _MAX_PIECES = 2_000_000
+_MAX_LONG_BYTES = 1 << 26
 _BATCH_CHARS = 1_000_000  # texts cut at a time; the arrays take about 60 bytes a character
 
 
@@ -72,6 +73,9 @@ class Pieces:
         self.marks = np.zeros((3, 1 << 16), np.uint64)
         self.flat = np.zeros(1 << 18, np.uint16)
         self.n_flat = 0
+        self.places = np.zeros(1 << 16, np.int64)  # where the bytes of a piece of over 16 are stored
+        self.long = np.zeros(1 << 16, np.uint8)
+        self.n_long = 0
 
     def _grow_powers(self, n: int):
         if len(self.powers) >= n:
@@ -161,11 +165,19 @@ class Pieces:
             size = max(n, 2 * len(self.starts))
             self.starts, self.lengths = np.resize(self.starts, size), np.resize(self.lengths, size)
             self.marks = np.concatenate((self.marks, np.zeros((3, size - self.marks.shape[1]), np.uint64)), axis=1)
+            self.places = np.resize(self.places, size)
         if m > len(self.flat):
             self.flat = np.resize(self.flat, max(m, 2 * len(self.flat)))
         self.starts[self.n_pieces : n] = self.n_flat + np.cumsum(lengths) - lengths
         self.lengths[self.n_pieces : n] = lengths
         self.marks[:, self.n_pieces : n] = self._marks(a, starts, stops)
+        sizes = np.where(stops - starts > 16, stops - starts, 0)
+        end = self.n_long + int(sizes.sum())
+        if end > len(self.long):
+            self.long = np.resize(self.long, max(end, 2 * len(self.long)))
+        self.places[self.n_pieces : n] = self.n_long + np.cumsum(sizes) - sizes
+        self.long[self.n_long : end] = a[spread(starts, sizes)]
+        self.n_long = end
         self.flat[self.n_flat : m] = flat
         mask = np.uint64((1 << self.bits) - 1)
         left = np.arange(self.n_pieces, n)
@@ -192,6 +204,16 @@ class Pieces:
         first, last = view[starts + 8], view[stops]
         return np.stack((size.astype(np.uint64), first << bits, last >> bits << bits))
 
+    def _differ(self, a: np.ndarray, starts: np.ndarray, stops: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether a piece found by its hash is another one."""
+        wrong = (self.marks[:, piece] != self._marks(a, starts, stops)).any(axis=0)
+        long = np.flatnonzero((stops - starts > 16) & ~wrong)
+        if len(long):
+            sizes = stops[long] - starts[long]
+            unlike = a[spread(starts[long], sizes)] != self.long[spread(self.places[piece[long]], sizes)]
+            wrong[long] = np.logical_or.reduceat(unlike, np.cumsum(sizes) - sizes)
+        return wrong
+
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         mask = np.uint64((1 << self.bits) - 1)
         slot = (hashes & mask).astype(np.int64)
@@ -216,7 +238,7 @@ class Pieces:
         return tuple(np.concatenate(c) for c in zip(*found))
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.n_pieces > _MAX_PIECES:
+        if self.n_pieces > _MAX_PIECES or self.n_long > _MAX_LONG_BYTES:
             self._reset()
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         whole = {i: self._encode_whole(texts[i]) for i, r in enumerate(raws) if r and not self._plain(r)}
@@ -243,7 +265,7 @@ class Pieces:
                 at = miss[at]
                 self._learn(a, hashes[at], starts[at], stops[at])
                 piece[miss] = self._find(hashes[miss])
-            wrong = (self.marks[:, piece] != self._marks(a, starts, stops)).any(axis=0)
+            wrong = self._differ(a, starts, stops, piece)
             if wrong.any():
                 bad = set(np.searchsorted(ends, starts[wrong], side="right").tolist())
                 again = [self._encode_whole(t) if i in bad else self._encode([t])[0] for i, t in enumerate(texts)]

@@ -57,6 +57,40 @@ def test_pieces_with_one_hash_are_told_apart():
     assert ids.tolist() == want and counts.sum() == len(want) and counts[1] == 0
 
 
+def thue_morse(n, one, other):
+    return "".join((one, other)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("name,style", FILES)
+@pytest.mark.parametrize("apart", [False, True])
+def test_long_pieces_of_one_hash_and_equal_ends_are_told_apart(name, style, apart):
+    import public_tokenizers
+
+    texts = []
+    for n in (1024, 4096):
+        for x, y, before, after in (("a", "b", "x" * 8, "x" * 8), ("e", "a", "x" * 8, "x" * 8), ("l", "o", "thththth", "erererer")):
+            texts += [before + thue_morse(n, *pair) + after for pair in ((x, y), (y, x))]
+    p = Pieces(public_tokenizers.path(name), style)
+    want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    for part in ([[t] for t in texts] if apart else [texts]):
+        ids, counts = p.encode(part)
+        ends = np.cumsum(counts)
+        for text, i, j in zip(part, ends - counts, ends):
+            assert ids[i:j].tolist() == want[texts.index(text)]
+
+
+@pytest.mark.parametrize("name,style", FILES)
+def test_files_pieces_and_counts_of_such_texts(spark, name, style):
+    texts = ["x" * 8 + thue_morse(1024, *pair) + "x" * 8 for pair in ("ea", "ae")] + ["plain words"]
+    want = [library(name).encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = token_counts.token_counts(docs, fresh_path(spark, "counts"), name, style).orderBy("doc_id")
+    assert [r["n_tokens"] for r in got.collect()] == [len(w) for w in want]
+    if style == "words":
+        rows = {r["doc_id"]: r["ids_crc32"] for r in packing.token_pieces(docs).collect()}
+        assert rows == {i: zlib.crc32(np.array(w + [1], "<u4").tobytes()) for i, w in enumerate(want)}
+
+
 def test_token_file_query(spark, sf, sample):
     want, start = {}, 0
     for i, ids in sorted(ids_of(sample).items()):
