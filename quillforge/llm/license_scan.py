@@ -5,9 +5,15 @@ have Dice = 2 * shared / (a + b) of at least ``THRESHOLD`` with a template's, re
 judged: the best one begins and ends with a bigram of the template, so only those are formed.  The threshold bounds both
 sizes: a template of b bigrams needs b * t / (2 - t) shared ones, in a window of at most b * (2 - t) / t.  Templates
 that share fewer bigrams with the whole text go before any window is counted.  Of overlapping notices the best stays.
-All of it is built-in column functions, and no row leaves its partition.
+All of it is built-in column functions.
 
-Edge cases: null and empty texts have no notices; repeated rows are judged alike; ids may be null.
+Texts without enough bigrams of any template go in the first pass, which shuffles nothing.  Of the others each bigram met is a row, windows are
+formed over the few rows that follow it, and overlaps are settled word by word: a notice that is the best one at each of its words stays, those that
+meet it go, and so on with the rest.  After ``ROUNDS`` rounds, which only chains of ever better overlapping notices outlast, what is left of a
+text is settled in order of quality.  So time grows with the words and notices of a text, not with their square.
+
+Edge cases: null and empty texts have no notices; very long texts are taken whole; repeated rows are judged alike, each for itself; ids may be null;
+an empty table or no templates give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,12 +21,14 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stage
 
 #: Dice in hundredths: comparisons are of whole numbers.
 THRESHOLD = 80
+ROUNDS = 4
 
 _NAMES = {
     "Apache-2.0": ["the Apache License, Version 2.0", "the Apache 2.0 License"],
@@ -76,6 +84,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row for each notice: ``id``, license, template, first_word, last_word, n_shared, dice, notice."""
     rows = [(k, license, bigrams(text)) for k, (license, text) in enumerate(TEMPLATES if templates is None else templates)]
     rows = [(k, license, grams, *sizes(len(grams))) for k, license, grams in rows if grams]
+    if not rows:
+        return docs.sparkSession.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, license string, template int, "
+                                                 "first_word int, last_word int, n_shared int, dice double, notice string")
     vocabulary = sorted({g for r in rows for g in r[2]})
     first = sorted({g.split(" ")[0] for g in vocabulary})
     known = F.array(*[F.struct(
@@ -90,19 +101,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         f"transform(filter(if(size(__w) < 2, cast(array() as array<int>), sequence(0, size(__w) - 2)), i -> __w[i] in ({', '.join(map(_literal, first))})"
         f" and {gram} in ({', '.join(map(_literal, vocabulary))})), i -> struct(i as p, {gram} as g))").alias("__h"))
     df = _once(df, ["__id"], "__w", "__h").where(F.size("__h") >= fewest)
-    df = df.withColumn("__g", F.array_distinct(F.col("__h.g"))).withColumn("__t", F.filter(
-        known, lambda t: F.size(F.filter(t["grams"], lambda g: F.array_contains("__g", g))) >= t["least"]))
+    df = df.withColumn("__g", F.array_distinct(F.col("__h.g"))).withColumn("__t", F.transform(F.filter(
+        known, lambda t: F.size(F.filter(t["grams"], lambda g: F.array_contains("__g", g))) >= t["least"]), lambda t: t["id"]))
     df = _once(df, ["__id"], "__w", "__h", "__t").where(F.size("__t") > 0)
-    found = F.flatten(F.transform("__t", _windows))
-    order = F.array_sort(found)
-    kept = F.aggregate(order, F.slice(order, 1, 0), lambda a, x: F.when(
-        F.exists(a, lambda k: (k["s"] <= x["e"]) & (x["s"] <= k["e"])), a).otherwise(F.concat(a, F.array(x))))
-    df = _once(df.withColumn("__k", kept), ["__id"], "__w", "__k")
-    df = df.select("__id", "__w", F.explode("__k").alias("k"))
-    return df.select(
-        F.col("__id").alias(id_col), F.col("k.license").alias("license"), F.col("k.id").alias("template"), F.col("k.s").alias("first_word"),
-        F.col("k.e").alias("last_word"), F.col("k.shared").alias("n_shared"), (-F.col("k.worse")).alias("dice"),
-        F.array_join(F.slice("__w", F.col("k.s") + 1, F.col("k.e") - F.col("k.s") + 1), " ").alias("notice"))
+    texts = stage(df.withColumn("__r", F.monotonically_increasing_id()), "license-texts")
+    longest = max(r[4] for r in rows)
+    found = _settle(stage(_windows(texts, rows, longest), "license-windows"))
+    return _with_words(texts, found, longest + 1).select(
+        F.col("__id").alias(id_col), "license", F.col("id").alias("template"), F.col("s").alias("first_word"), F.col("e").alias("last_word"),
+        F.col("shared").alias("n_shared"), (-F.col("worse")).alias("dice"), "notice")
 
 
 def _once(df: DataFrame, keys: list[str], *made: str) -> DataFrame:
@@ -110,25 +117,69 @@ def _once(df: DataFrame, keys: list[str], *made: str) -> DataFrame:
     return df.select(*keys, F.inline(F.array(F.struct(*made))))
 
 
-def _windows(t):
-    """Windows of one template that reach the threshold, as structs that sort best first."""
-    hits = F.filter("__h", lambda h: F.array_contains(t["grams"], h["g"]))
-
-    def of(h, i):
-        near = F.filter(F.slice(hits, i + 1, t["most"]), lambda x: x["p"] - h["p"] < t["most"])
-        return F.transform(F.slice(near, t["least"], F.size(near)), lambda x: _judge(t, near, h["p"], x["p"]))
-
-    judged = F.flatten(F.transform(hits, of))
-    return F.filter(judged, lambda m: 200 * m["shared"] >= THRESHOLD * (m["e"] - m["s"] + F.size(t["grams"])))
-
-
-def _judge(t, near, s, e):
-    inside = F.filter(near, lambda x: x["p"] <= e)
-    shared = F.aggregate(F.array_distinct(t["grams"]), F.lit(0), lambda n, g: n + F.least(
-        F.size(F.filter(t["grams"], lambda x: x == g)), F.size(F.filter(inside, lambda x: x["g"] == g))))
-    dice = F.lit(2.0) * shared / (e - s + 1 + F.size(t["grams"]))
-    return F.struct((-dice).alias("worse"), (-shared).alias("fewer"), s.alias("s"), (e + 1).alias("e"), t["id"].alias("id"),
-                    t["license"].alias("license"), shared.alias("shared"))
+#: A window's columns in order of quality: the first of two windows is the better one.
+_QUALITY = ["worse", "fewer", "s", "e", "id", "license", "shared"]
+
+
+def _windows(texts: DataFrame, rows: list[tuple], longest: int) -> DataFrame:
+    """Windows that reach the threshold: ``__r`` and the columns of ``_QUALITY``, one row each."""
+    of = texts.sparkSession.createDataFrame(
+        [(k, license, g, grams.count(g), len(grams), least, most) for k, license, grams, least, most in rows for g in dict.fromkeys(grams)],
+        "id int, license string, g string, c int, b int, least int, most int")
+    hits = texts.select("__r", "__t", F.inline("__h")).join(of, "g").where(F.array_contains("__t", F.col("id")))
+    after = W.partitionBy("__r", "id").orderBy("p").rangeBetween(0, longest - 1)
+    near = hits.withColumn("near", F.collect_list(F.struct("p", "g", "c")).over(after))
+    near = near.select("__r", "id", "license", "b", "least", F.col("p").alias("s"), F.filter("near", lambda x: x["p"] - F.col("p") < F.col("most")).alias("near"))
+    near = near.where(F.size("near") >= F.col("least"))
+    ends = near.select("*", F.posexplode("near").alias("k", "last")).where(F.col("k") + 1 >= F.col("least"))
+    # no window shares more than it has, so most go before anything is counted
+    length = F.col("last.p") - F.col("s") + 1
+    ends = ends.where(200 * (F.col("k") + 1) >= THRESHOLD * (length + F.col("b")))
+    inside = F.slice("near", 1, F.col("k") + 1)
+    ends = _once(ends.withColumn("inside", inside).withColumn("e", F.col("last.p") + 1), ["__r", "id", "license", "b", "s", "e"], "inside")
+    shared = F.aggregate(F.array_distinct(F.transform("inside", lambda x: F.struct(x["g"], x["c"]))), F.lit(0), lambda n, g: n + F.least(
+        g["c"], F.size(F.filter("inside", lambda x: x["g"] == g["g"]))))
+    judged = _once(ends.withColumn("shared", shared), ["__r", "id", "license", "b", "s", "e"], "shared")
+    length = F.col("e") - F.col("s")
+    judged = judged.where(200 * F.col("shared") >= THRESHOLD * (length + F.col("b")))
+    dice = F.lit(2.0) * F.col("shared") / (length + F.col("b"))
+    return judged.select("__r", (-dice).alias("worse"), (-F.col("shared")).alias("fewer"), "s", "e", "id", "license", "shared")
+
+
+def _settle(windows: DataFrame) -> DataFrame:
+    """Of overlapping windows of a text the best stays."""
+    kept, left = [], windows
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            break
+        own = F.struct(*_QUALITY)
+        words = left.select("__r", own.alias("w"), F.explode(F.sequence("s", "e")).alias("at"))
+        words = words.withColumn("best", F.min("w").over(W.partitionBy("__r", "at")) == F.col("w"))
+        words = words.withColumn("wins", F.min("best").over(W.partitionBy("__r", "w")))
+        words = words.withColumn("taken", F.max("wins").over(W.partitionBy("__r", "at")))
+        judged = stage(words.groupBy("__r", "w").agg(F.max("wins").alias("wins"), F.max("taken").alias("taken")), "license-rounds")
+        kept.append(judged.where("wins").select("__r", "w.*"))
+        left = judged.where("not taken").select("__r", "w.*")
+    else:
+        order = left.groupBy("__r").agg(F.sort_array(F.collect_list(F.struct(*_QUALITY))).alias("ws"))
+        some = F.aggregate("ws", F.slice("ws", 1, 0), lambda a, x: F.when(
+            F.exists(a, lambda k: (k["s"] <= x["e"]) & (x["s"] <= k["e"])), a).otherwise(F.concat(a, F.array(x))))
+        kept.append(order.select("__r", F.inline(some)))
+    out = windows.limit(0)
+    for part in kept:
+        out = out.unionByName(part)
+    return out
+
+
+def _with_words(texts: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Adds ``__id`` and the words of each notice; a notice lies in two blocks of words at most."""
+    some = texts.join(found.select("__r").distinct(), "__r", "left_semi").select("__r", "__id", F.posexplode("__w").alias("at", "word"))
+    blocks = some.withColumn("block", F.floor(F.col("at") / block)).groupBy("__r", "block").agg(
+        F.first("__id").alias("__id"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words"))
+    found = found.withColumn("block", F.explode(F.array_distinct(F.array(F.floor(F.col("s") / block), F.floor(F.col("e") / block)))))
+    met = found.join(blocks, ["__r", "block"]).withColumn("words", F.filter("words", lambda x: x["at"].between(F.col("s"), F.col("e"))))
+    whole = met.groupBy("__r", *_QUALITY).agg(F.first("__id").alias("__id"), F.sort_array(F.flatten(F.collect_list("words"))).alias("words"))
+    return whole.withColumn("notice", F.array_join(F.col("words.word"), " "))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from quillforge.llm import license_scan as ls
 
@@ -52,3 +54,34 @@ def test_every_license_line_of_the_table_is_found(spark, sf, sample):
     lines = re.compile(r"^(?:Licensed|Released|This work is licensed) under .*$", re.M)
     want = sum(len(lines.findall(t or "")) for t in sample["text"])
     assert want and entry.queries()["op5_license_scan"](spark, sf).count() >= want
+
+
+def test_text_with_very_many_notices(spark):
+    names = ["Licensed under the MIT License", "Released under the ISC License", "This work is licensed under CC BY-SA 4.0"]
+    parts = [f"{names[k % 3]} {'word ' * (k % 4)}" for k in range(20_000)]
+    want, at = [], 0
+    for k, part in enumerate(parts):
+        words = re.findall(r"[^\W_]+", names[k % 3])
+        want.append((at, at + len(words) - 1, " ".join(words).lower()))
+        at += len(re.findall(r"[^\W_]+", part))
+    rows = ls.scan(spark.createDataFrame([(1, "\n".join(parts)), (2, parts[0])], "doc_id int, text string")).collect()
+    assert sorted((r.first_word, r.last_word, r.notice) for r in rows if r.doc_id == 1) == want
+    assert {r.dice for r in rows} == {1.0} and sum(r.doc_id == 2 for r in rows) == 1
+
+
+def test_overlaps_that_outlast_the_rounds(spark, monkeypatch):
+    templates = [("A", "a b c d e f"), ("B", "d e f g h i"), ("C", "g h i j k l m"), ("D", "k l m n o p q r")]
+    monkeypatch.setattr(ls, "TEMPLATES", templates)
+    texts = ["a b c d e f g h i j k l m n o p q r", "x a b c d f g h i j k m n o p r", "a b c d e f d e f g h i g h i j k l m"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for rounds in (0, 1, 4):
+        monkeypatch.setattr(ls, "ROUNDS", rounds)
+        rows = ls.scan(df).collect()
+        for k, text in enumerate(texts):
+            assert sorted((r.license, r.template, r.first_word, r.last_word, r.n_shared, r.dice) for r in rows if r.doc_id == k) == brute(text), (rounds, text)
+
+
+def test_no_templates_no_texts_and_clashing_columns(spark, docs, none):
+    assert ls.scan(docs, templates=[]).count() == 0 and ls.scan(none).count() == 0
+    twice = docs.limit(1).withColumn("text", F.lit("Licensed under the MIT License"))
+    assert [r.license for r in ls.scan(twice.unionByName(twice)).collect()] == ["MIT", "MIT"]
