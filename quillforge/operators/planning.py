@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillforge.functions.text import fold_compatible, normalize_answer
@@ -35,28 +35,35 @@ def unresolved(fields: DataFrame, refs: DataFrame, blocks: DataFrame, excluded:
         F.coalesce("excerpts", F.array().cast("array<string>")).alias("excerpts"))
 
 
-def pack_batches(units: DataFrame, max_fields: int = 64) -> DataFrame:
-    """Batches of at most ``max_fields`` fields: whole groups where they fit, larger ones split, first-fit decreasing.
+def pack_batches(exercises: DataFrame, max_fields: int = 64) -> DataFrame:
+    """Batches of at most ``max_fields`` fields: (draft_id, batch, group_id, exercise_id, first, n_fields), a row for each piece.
 
-    ``units``: draft_id, group_id, n_fields (a row a group).  One draft's groups are packed together: the state
-    is one counter for each batch of a draft.
+    ``exercises``: draft_id, group_id, exercise_id, ord (unique in a draft), n_fields.  A group that fits is a unit.  A larger one is filled into units
+    exercise by exercise in order, and only an exercise that is too large by itself is cut.  Units go, largest first and in order of appearance
+    among equals, into the first batch with room.  Both folds are JVM expressions over the sizes of one group or one draft.
     """
-    def pack(key, table):
-        rows = sorted(zip(table.column("group_id").to_pylist(), table.column("n_fields").to_pylist()), key=lambda r: (-r[1], str(r[0])))
-        room, out = [], []
-        parts = [(g, min(max_fields, n - s), s) for g, n in rows for s in range(0, n, max_fields)]
-        for g, n, s in sorted(parts, key=lambda p: -p[1]):
-            b = next((i for i, r in enumerate(room) if r >= n), len(room))
-            if b == len(room):
-                room.append(max_fields)
-            room[b] -= n
-            out.append((g, b, s, n))
-        cols = list(zip(*out)) or [()] * 4
-        return pa.table({"draft_id": pa.array([key[0].as_py()] * len(out), table.schema.field("draft_id").type), "group_id": pa.array(cols[0], table.schema.field("group_id").type),
-                         "batch": pa.array(cols[1], pa.int32()), "first": pa.array(cols[2], pa.int32()), "n_fields": pa.array(cols[3], pa.int32())})
-
-    kinds = {f.name: f.dataType.simpleString() for f in units.schema}
-    return units.groupBy("draft_id").applyInArrow(pack, f"draft_id {kinds['draft_id']}, group_id {kinds['group_id']}, batch int, first int, n_fields int")
+    group = W.partitionBy("draft_id", "group_id")
+    df = exercises.select("draft_id", "group_id", "exercise_id", "ord", F.col("n_fields").cast("int").alias("n"))
+    df = df.withColumn("at", F.min("ord").over(group)).withColumn("total", F.sum("n").over(group))
+    fits = df.where(F.col("total") <= max_fields).select("draft_id", "group_id", "at", "exercise_id", "ord", F.lit(0).alias("first"), "n", F.lit(0).alias("unit"))
+    cut = F.expr(f"transform(sequence(0, n - 1, {max_fields}), s -> struct(s as first, least({max_fields}, n - s) as n))")
+    pieces = df.where(f"total > {max_fields} and n > 0").select("draft_id", "group_id", "at", "exercise_id", "ord", F.inline(cut))
+    listed = pieces.groupBy("draft_id", "group_id", "at").agg(F.array_sort(F.collect_list(F.struct("ord", "first", "exercise_id", "n"))).alias("ps"))
+    units = F.expr(f"""aggregate(ps, named_struct('used', 0, 'unit', 0, 'out', cast(array() as array<int>)), (a, p) -> if(a.used > 0 and a.used + p.n > {max_fields},
+        named_struct('used', p.n, 'unit', a.unit + 1, 'out', concat(a.out, array(a.unit + 1))),
+        named_struct('used', a.used + p.n, 'unit', a.unit, 'out', concat(a.out, array(a.unit)))), a -> a.out)""")
+    parted = listed.select("draft_id", "group_id", "at", F.inline(F.arrays_zip("ps", units.alias("unit")))).select(
+        "draft_id", "group_id", "at", "ps.exercise_id", "ps.ord", "ps.first", "ps.n", "unit")
+    pieces = fits.unionByName(parted)
+    key = ["draft_id", "at", "unit"]
+    sizes = pieces.groupBy(*key).agg(F.sum("n").cast("int").alias("n")).groupBy("draft_id").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "at", "unit", "n"))).alias("us"))
+    batches = F.expr(f"""aggregate(us, named_struct('room', cast(array() as array<int>), 'out', cast(array() as array<int>)), (a, u) ->
+        transform(array(cast(array_position(transform(a.room, r -> r >= u.n), true) as int)), k -> if(k = 0,
+            named_struct('room', concat(a.room, array({max_fields} - u.n)), 'out', concat(a.out, array(size(a.room)))),
+            named_struct('room', transform(a.room, (r, i) -> if(i = k - 1, r - u.n, r)), 'out', concat(a.out, array(k - 1)))))[0], a -> a.out)""")
+    placed = sizes.select("draft_id", F.inline(F.arrays_zip("us", batches.alias("batch")))).select("draft_id", "us.at", "us.unit", "batch")
+    return pieces.join(placed, key).select("draft_id", "batch", "group_id", "exercise_id", "first", F.col("n").alias("n_fields"))
 
 
 def preflight(batches: DataFrame, cost: Cost = Cost()) -> DataFrame:

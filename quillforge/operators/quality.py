@@ -25,23 +25,29 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def lineage_failures(refs: DataFrame, blocks: DataFrame, docs: DataFrame, slack: float = 0.01) -> DataFrame:
-    """V2: codes of each reference: wrong source, other document, unknown block, span, page, box.
+def lineage_failures(refs: DataFrame, blocks: DataFrame, docs: DataFrame) -> DataFrame:
+    """V2: codes of each reference: another document or source, unknown block, range, page, box; and of documents made from another source.
 
-    ``refs``: doc_id, entity_id, source_id, ref_doc_id, block_id, char_start, char_end, page_index, x, y, width, height.
-    The first two codes stop further checks of a reference.
+    ``refs``: doc_id, entity_id, source_id, ref_doc_id, block_id, char_start, char_end, page_index, x, y, width, height; what is null isn't checked.
+    ``docs``: doc_id, source_id, and ``ir_source_id``, the source that the document's blocks were made from.  A reference to another document or source, or to
+    an unknown block, is not checked further; a document's own failure comes once, without entity and block.
     """
-    b = blocks.select(F.col("doc_id").alias("ref_doc_id"), "block_id", F.length("raw_text").alias("b_len"), F.col("page_index").alias("b_page"),
+    b = blocks.select(F.col("doc_id").alias("ref_doc_id"), "block_id", F.length("raw_text").alias("b_len"), F.col("page_index").alias("b_page"), F.lit(True).alias("b_known"),
                       *[F.col(c).alias(f"b_{c}") for c in ("x", "y", "width", "height")])
     df = refs.join(docs.select("doc_id", F.col("source_id").alias("own_source")), "doc_id", "left").join(b, ["ref_doc_id", "block_id"], "left")
-    outside = (F.col("x") < F.col("b_x") - slack) | (F.col("y") < F.col("b_y") - slack) | (
-        F.col("x") + F.col("width") > F.col("b_x") + F.col("b_width") + slack) | (F.col("y") + F.col("height") > F.col("b_y") + F.col("b_height") + slack)
+    outside = (F.col("x") < F.col("b_x")) | (F.col("y") < F.col("b_y")) | (
+        F.col("x") + F.col("width") > F.col("b_x") + F.col("b_width")) | (F.col("y") + F.col("height") > F.col("b_y") + F.col("b_height"))
     detail = F.filter(F.array(
-        F.when((F.col("char_start") < 0) | (F.col("char_end") > F.col("b_len")) | (F.col("char_end") < F.col("char_start")), F.lit("SOURCE_RANGE_OUT_OF_BOUNDS")),
-        F.when(F.col("page_index") != F.col("b_page"), F.lit("SOURCE_PAGE_MISMATCH")), F.when(outside, F.lit("SOURCE_BBOX_OUT_OF_BOUNDS"))), lambda c: c.isNotNull())
-    codes = F.when(~F.col("source_id").eqNullSafe(F.col("own_source")), F.array(F.lit("DOCUMENT_IR_SOURCE_MISMATCH"))).when(
-        F.col("ref_doc_id") != F.col("doc_id"), F.array(F.lit("CROSS_DOCUMENT_REF"))).when(F.col("b_len").isNull(), F.array(F.lit("UNKNOWN_BLOCK_REF"))).otherwise(detail)
-    return df.select("doc_id", "entity_id", "block_id", F.explode(codes).alias("code"))
+        F.when((F.col("char_start") > F.col("b_len")) | (F.col("char_end") > F.col("b_len")), F.lit("SOURCE_RANGE_OUT_OF_BOUNDS")),
+        F.when(F.col("page_index").isNotNull() & ~F.col("page_index").eqNullSafe(F.col("b_page")), F.lit("SOURCE_PAGE_MISMATCH")),
+        F.when(outside, F.lit("SOURCE_BBOX_OUT_OF_BOUNDS"))), lambda c: c.isNotNull())
+    own = F.col("source_id").eqNullSafe(F.col("own_source")) & F.col("ref_doc_id").eqNullSafe(F.col("doc_id"))
+    codes = F.when(~own, F.array(F.lit("CROSS_DOCUMENT_REF"))).when(F.col("b_known").isNull(), F.array(F.lit("UNKNOWN_BLOCK_REF"))).otherwise(detail)
+    out = df.select("doc_id", "entity_id", "block_id", F.explode(codes).alias("code"))
+    foreign = docs.where(~F.col("ir_source_id").eqNullSafe(F.col("source_id"))).select("doc_id").distinct()
+    kinds = {f.name: f.dataType for f in out.schema}
+    return out.unionByName(foreign.select("doc_id", F.lit(None).cast(kinds["entity_id"]).alias("entity_id"), F.lit(None).cast(kinds["block_id"]).alias("block_id"),
+                                          F.lit("DOCUMENT_IR_SOURCE_MISMATCH").alias("code")))
 
 
 def publish_lineage_reasons(refs: DataFrame, blocks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Flat tables, each with doc_id and ``seq`` (proposal order, then position):
 regions: region_id, role, confidence, sources array<(block_id, char_start, char_end)>; groups: group_id,
 ordinal, region_ids; exercises: exercise_id, group_id, ordinal, kind, source_ordinal, n_fields, prompt_region_ids;
-resources: resource_id, kind, usage_policy, region_ids; claims: block_id, kind, region_id.
+resources: resource_id, kind, usage_policy, region_ids; claims: block_id, proposal_id, outcome, region_ids; blocks: block_id, raw_text, ord.
 Conflicts share one schema: doc_id, code, owner_id, block_ids.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .spans import placed, stabbed
+
 LEAST = 0.8
 #: fixed values: roles whose spans have one owner
 LEAF_ROLES = ("localOption", "sharedBankEntry", "referenceMaterial", "example", "answerKey", "boilerplate")
@@ -112,31 +114,25 @@ def _spans(owners: DataFrame, owner: str, refs: str, regions: DataFrame, extra:
     return named.join(regions.select("doc_id", "region_id", "sources"), ["doc_id", "region_id"]).select("doc_id", owner, *extra, F.inline("sources"))
 
 
-def overlapping_prompts(exercises: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pairs of exercises whose prompts share text (owner_id, other_id).
+def overlapping_prompts(exercises: DataFrame, regions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every pair of exercises whose prompts share text (owner_id, other_id), with the blocks in which they do.
 
-    Spans of an exercise in a block are united first.  Spans of a block are then swept in order of their start: one that begins before
-    the furthest end so far overlaps the span that reaches it, and the two exercises are a pair.  So pairs grow with the spans
-    and not with their square, and every exercise that overlaps any other is in a pair.
+    Sources without offsets are the whole block.
     """
-    spans = _spans(exercises, "exercise_id", "prompt_region_ids", regions).distinct()
-    own = W.partitionBy("doc_id", "block_id", "exercise_id").orderBy("char_start", "char_end")
-    reached = F.max("char_end").over(own.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum(F.coalesce(F.col("char_start") > reached, F.lit(True)).cast("int")).over(own)
-    spans = spans.withColumn("__i", island).groupBy("doc_id", "block_id", "exercise_id", "__i").agg(
-        F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
-    order = W.partitionBy("doc_id", "block_id").orderBy("char_start", "char_end", "exercise_id").rowsBetween(W.unboundedPreceding, -1)
-    hit = spans.withColumn("__f", F.max(F.struct("char_end", "exercise_id")).over(order)).where(F.col("char_start") < F.col("__f.char_end"))
-    pair = hit.select("doc_id", "block_id", F.least("exercise_id", "__f.exercise_id").alias("owner_id"), F.greatest("exercise_id", "__f.exercise_id").alias("other_id"))
+    own = placed(_spans(exercises, "exercise_id", "prompt_region_ids", regions), blocks).distinct()
+    met = stabbed(own, own, ["doc_id", "block_id"]).where(
+        "l_exercise_id <> r_exercise_id and (l_start < r_start or l_exercise_id < r_exercise_id)")
+    pair = met.select("doc_id", "block_id", F.least("l_exercise_id", "r_exercise_id").alias("owner_id"), F.greatest("l_exercise_id", "r_exercise_id").alias("other_id"))
     return pair.groupBy("doc_id", "owner_id", "other_id").agg(F.array_sort(F.collect_set("block_id")).alias("block_ids")).select(
         "doc_id", F.lit("NON_ATOMIC_EXERCISE").alias("code"), "owner_id", "other_id", "block_ids")
 
 
-def mixed_instruction(groups: DataFrame, exercises: DataFrame, regions: DataFrame) -> DataFrame:
-    """Groups whose instruction regions share text with a prompt of the group; equi-join on group and block, then ranges."""
-    a = _spans(groups, "group_id", "region_ids", regions.where("role = 'instruction'")).alias("a")
-    p = _spans(exercises, "exercise_id", "prompt_region_ids", regions, ("group_id",)).alias("p")
-    met = a.join(p, ["doc_id", "group_id", "block_id"]).where(F.greatest("a.char_start", "p.char_start") < F.least("a.char_end", "p.char_end"))
+def mixed_instruction(groups: DataFrame, exercises: DataFrame, regions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Groups whose instruction regions share text with a prompt of the group, with the blocks in which they do."""
+    a = placed(_spans(groups, "group_id", "region_ids", regions.where("role = 'instruction'")), blocks).distinct()
+    p = placed(_spans(exercises, "exercise_id", "prompt_region_ids", regions, ("group_id",)).drop("exercise_id"), blocks).distinct()
+    keys = ["doc_id", "group_id", "block_id"]
+    met = stabbed(a, p, keys).select(*keys).unionByName(stabbed(p, a, keys).select(*keys))
     return met.groupBy("doc_id", "group_id").agg(F.array_sort(F.collect_set("block_id")).alias("b")).select(
         "doc_id", F.lit("MIXED_INSTRUCTION_AND_ITEMS").alias("code"), F.col("group_id").alias("owner_id"), F.col("b").alias("block_ids"))
 
@@ -154,29 +150,35 @@ def confidence_conflicts(parts: list[tuple[DataFrame, str, str | None]]) -> Data
 
 
 def ownership_conflicts(regions: DataFrame) -> DataFrame:
-    """A span that several leaf regions own."""
-    src = regions.where(F.col("role").isin(*LEAF_ROLES)).select("doc_id", "region_id", F.inline("sources"))
-    many = src.groupBy("doc_id", "block_id", "char_start", "char_end").agg(F.array_sort(F.collect_set("region_id")).alias("r")).where(F.size("r") > 1)
-    return many.select("doc_id", F.lit("OVERLAPPING_OWNERSHIP").alias("code"), F.array_join("r", ",").alias("owner_id"), F.array("block_id").alias("block_ids"))
+    """A span that several leaf regions own; a span without a start begins at 0.  Names all blocks of those regions."""
+    leaf = regions.where(F.col("role").isin(*LEAF_ROLES)).select("doc_id", "region_id", "sources", F.inline("sources"))
+    span = ["doc_id", "block_id", F.coalesce("char_start", F.lit(0)).alias("char_start"), "char_end"]
+    many = leaf.select(*span, "region_id", _blocks_of().alias("b")).groupBy("doc_id", "block_id", "char_start", "char_end").agg(
+        F.array_sort(F.collect_set("region_id")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("b")))).alias("b")).where(F.size("r") > 1)
+    return many.select("doc_id", F.lit("OVERLAPPING_OWNERSHIP").alias("code"), F.array_join("r", ",").alias("owner_id"), F.col("b").alias("block_ids"))
 
 
 def block_coverage(blocks: DataFrame, claims: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The outcome of every block, and MISSING_BLOCK and conflicting claims.
+    """The outcome of every block that holds text, and MISSING_BLOCK, DANGLING_RELATION and OVERLAPPING_OWNERSHIP conflicts.
 
-    Claims are counted by their normalized key, so repeats of one claim agree.
+    ``claims``: doc_id, block_id, proposal_id, seq, outcome, region_ids (array).  A claim is one outcome on a set of regions, whatever their
+    order; claims that agree in both are one.  Conflicts name the proposals that claimed the block.
     """
-    known = regions.select("doc_id", "region_id").withColumn("__known", F.lit(True))
-    c = claims.join(known, ["doc_id", "region_id"], "left")
-    key = F.concat_ws(":", F.lower(F.trim("kind")), "region_id")
-    per = c.groupBy("doc_id", "block_id").agg(
-        F.count_distinct(key).alias("n"), F.max(F.col("region_id").isNotNull() & F.col("__known").isNull()).alias("lost"),
-        F.min("kind").alias("kind"), F.min("region_id").alias("region_id"))
-    out = blocks.select("doc_id", "block_id").distinct().join(per, ["doc_id", "block_id"], "left")
-    state = F.when(F.col("n").isNull(), "missing").when(F.col("lost"), "dangling").when(F.col("n") > 1, "conflict").otherwise("mapped")
+    named = claims.select("doc_id", F.explode("region_ids").alias("region_id")).distinct()
+    lost = named.join(regions.select("doc_id", "region_id"), ["doc_id", "region_id"], "left_anti").withColumn("__lost", F.lit(True))
+    wrong = claims.select("doc_id", "block_id", F.explode("region_ids").alias("region_id")).join(lost, ["doc_id", "region_id"]).select("doc_id", "block_id", "__lost").distinct()
+    key = F.concat_ws(":", "outcome", F.array_join(F.array_sort("region_ids"), ","))
+    first = F.min(F.struct("seq", "outcome", "region_ids"))
+    per = claims.groupBy("doc_id", "block_id").agg(
+        F.count_distinct(key).alias("n"), first.alias("c"), F.array_sort(F.collect_set("proposal_id")).alias("proposal_ids"))
+    out = blocks.where(F.trim("raw_text") != "").select("doc_id", "block_id").distinct().join(per, ["doc_id", "block_id"], "left").join(wrong, ["doc_id", "block_id"], "left")
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("__lost"), "dangling").when(F.col("n") > 1, "conflict").otherwise("mapped")
     out = out.withColumn("state", state)
     code = F.when(F.col("state") == "missing", "MISSING_BLOCK").when(F.col("state") == "dangling", "DANGLING_RELATION").otherwise("OVERLAPPING_OWNERSHIP")
-    wrong = out.where("state <> 'mapped'").select("doc_id", code.alias("code"), F.col("block_id").cast("string").alias("owner_id"), F.array(F.col("block_id").cast("string")).alias("block_ids"))
-    return out.select("doc_id", "block_id", "state", F.when(F.col("state") == "mapped", F.col("kind")).alias("outcome")), wrong
+    block = F.col("block_id").cast("string")
+    conflicts = out.where("state <> 'mapped'").select("doc_id", code.alias("code"), block.alias("owner_id"), F.array(block).alias("block_ids"), "proposal_ids")
+    kind = F.when((F.col("state") != "mapped") | (F.col("c.outcome") == "unknown"), "issue").otherwise(F.col("c.outcome"))
+    return out.select("doc_id", "block_id", "state", kind.alias("outcome"), F.when(F.col("state") == "mapped", F.array_distinct("c.region_ids")).alias("region_ids")), conflicts
 
 
 def with_fallback_blocks(conflicts: DataFrame, regions: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -188,15 +190,36 @@ def with_fallback_blocks(conflicts: DataFrame, regions: DataFrame, blocks: DataF
     return df.withColumn("block_ids", picked).drop("__own", "__first")
 
 
-def finalize_structure(docs: DataFrame, groups: DataFrame, exercises: DataFrame, conflicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def conflict_id(code: Column, block_ids: Column, proposal_ids: Column) -> Column:
+    """The name of a conflict: its code, its blocks and its proposals, in order and each once."""
+    def listed(ids: Column, none: str) -> Column:
+        once = F.array_distinct(F.coalesce(ids, F.array().cast("array<string>")))
+        return F.when(F.size(once) > 0, F.array_join(once, "|")).otherwise(none)
+
+    return F.concat_ws(":", F.lit("conflict"), code, listed(block_ids, "unresolved:block"), listed(proposal_ids, "unresolved:proposal"))
+
+
+def finalize_structure(docs: DataFrame, groups: DataFrame, exercises: DataFrame, conflicts: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conflicts with ids, each once, and the status of every document.
 
-    Groups without exercises and exercises without fields are INVALID_INTERACTION.
+    ``docs``: doc_id, proposal_ids; a conflict without ``proposal_ids`` is one of all proposals of its document.  Documents without any
+    group or any exercise, groups without exercises and exercises without fields are INVALID_INTERACTION; the first names the document's first
+    block with text.
     """
     empty = groups.join(exercises.select("doc_id", "group_id").distinct(), ["doc_id", "group_id"], "left_anti")
     bare = exercises.where("coalesce(n_fields, 0) = 0")
-    all_ = conflicts.unionByName(_conflict(empty, "INVALID_INTERACTION", "group_id")).unionByName(_conflict(bare, "INVALID_INTERACTION", "exercise_id"))
-    all_ = all_.withColumn("conflict_id", F.concat_ws(":", F.lit("conflict"), "code", "owner_id")).dropDuplicates(["doc_id", "conflict_id"])
+    whole = groups.select("doc_id").distinct().join(exercises.select("doc_id").distinct(), "doc_id")
+    first = blocks.where(F.trim("raw_text") != "").groupBy("doc_id").agg(F.min_by(F.col("block_id").cast("string"), "ord").alias("__first"))
+    void = docs.join(whole, "doc_id", "left_anti").join(first, "doc_id", "left").withColumn("owner_id", F.concat(F.lit("document:"), F.col("doc_id").cast("string")))
+    void = _conflict(void, "INVALID_INTERACTION", "owner_id", F.array(F.coalesce("__first", "owner_id")))
+    all_ = conflicts.unionByName(void, allowMissingColumns=True)
+    for part, owner in ((empty, "group_id"), (bare, "exercise_id")):
+        # blocks are not known here: the owner stands for them, so that each keeps a conflict of its own
+        all_ = all_.unionByName(_conflict(part, "INVALID_INTERACTION", owner, F.array(F.col(owner).cast("string"))), allowMissingColumns=True)
+    own = F.col("proposal_ids") if "proposal_ids" in all_.columns else F.lit(None).cast("array<string>")
+    all_ = all_.withColumn("__own", own).drop("proposal_ids").join(docs.select("doc_id", "proposal_ids"), "doc_id", "left")
+    all_ = all_.withColumn("proposal_ids", F.coalesce("__own", "proposal_ids")).drop("__own")
+    all_ = all_.withColumn("conflict_id", conflict_id(F.col("code"), F.col("block_ids"), F.col("proposal_ids"))).dropDuplicates(["doc_id", "conflict_id"])
     n = all_.groupBy("doc_id").agg(F.count("*").alias("n_conflicts"))
     status = docs.select("doc_id").join(n, "doc_id", "left").select(
         "doc_id", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), F.when(F.col("n_conflicts") > 0, "needsReview").otherwise("valid").alias("status"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,41 +118,95 @@ def submit_reviews(drafts: DataFrame, submissions: DataFrame, reasons: DataFrame
 
 
 def apply_layout_decisions(reviews: DataFrame, candidates: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(accepted decisions, rejected ones with a code, state of each review).
+    """(accepted decisions, rejected ones with a code, state of each review) after all submissions.
 
-    ``candidates``: review_id, candidate_id, decided (bool); ``decisions``: review_id, candidate_id, seq, action, kind.
+    ``candidates``: review_id, candidate_id; ``decisions``: review_id, candidate_id, submission, seq, action, kind, outcome.  The first
+    decision on a candidate counts; later ones are ALREADY_DECIDED, or DUPLICATE_DECISION in the same submission.  A review is complete when
+    every candidate is decided, and resolved if one of them was classified; else it stays active with ZERO_VALID_GROUP.
     """
-    d = decisions.join(candidates.select("review_id", "candidate_id", "decided"), ["review_id", "candidate_id"], "left")
-    first = F.row_number().over(W.partitionBy("review_id", "candidate_id").orderBy("seq")) == 1
-    code = F.when(F.col("decided").isNull(), "UNKNOWN_CANDIDATE").when(F.col("decided"), "ALREADY_DECIDED").when(~first, "DUPLICATE_DECISION")
-    d = d.withColumn("code", code).drop("decided")
+    known = candidates.select("review_id", "candidate_id").distinct().withColumn("__known", F.lit(True))
+    d = decisions.join(known, ["review_id", "candidate_id"], "left")
+    order = W.partitionBy("review_id", "candidate_id").orderBy("submission", "seq")
+    earlier = F.first("submission").over(order) < F.col("submission")
+    code = F.when(F.col("__known").isNull(), "UNKNOWN_CANDIDATE").when(earlier, "ALREADY_DECIDED").when(F.row_number().over(order) > 1, "DUPLICATE_DECISION")
+    d = d.withColumn("code", code).drop("__known")
     good = d.where("code is null").drop("code")
-    action = good.select("review_id", "candidate_id", "action")
-    state = candidates.join(action, ["review_id", "candidate_id"], "left").groupBy("review_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("decided") | F.col("action").isNotNull()).alias("n_decided"),
+    state = known.join(good.select("review_id", "candidate_id", "action"), ["review_id", "candidate_id"], "left").groupBy("review_id").agg(
+        F.count("*").alias("n"), F.count("action").alias("n_decided"), F.count_if(F.col("action") == "classify").alias("n_classified"),
         F.count_if(F.col("action") == "exclude").alias("n_excluded"))
-    status = F.when(F.col("n_excluded") == F.col("n"), "rejectedAllExcluded").when(F.col("n_decided") == F.col("n"), "resolved").otherwise("active")
-    return good, d.where("code is not null"), reviews.select("review_id").join(state, "review_id").withColumn("status", status)
+    complete = F.col("n_decided") == F.col("n")
+    state = state.withColumn("status", F.when(complete & (F.col("n_classified") > 0), "resolved").otherwise("active")).withColumn(
+        "code", F.when(complete & (F.col("n_classified") == 0), "ZERO_VALID_GROUP"))
+    return good, d.where("code is not null"), reviews.select("review_id").join(state, "review_id")
+
+
+def layout_drafts(candidates: DataFrame, accepted: DataFrame, states: DataFrame, instruction: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(drafts of resolved reviews, their open issues, candidates that make no exercise) from the decisions of all submissions.
+
+    ``candidates``: review_id, candidate_id, raw_prompt; ``accepted`` and ``states`` as of ``apply_layout_decisions``, with decision_id.  A draft has one group
+    of the classified candidates in order of decision, reference blocks of those marked so, and a coverage entry for each decision.  Every
+    answer field is an issue.  A review with a candidate that makes no exercise gives no draft.
+    """
+    d = accepted.join(states.where("status = 'resolved'").select("review_id"), "review_id").join(
+        candidates.select("review_id", "candidate_id", "raw_prompt"), ["review_id", "candidate_id"])
+    made = candidates_to_exercises(d.where("action = 'classify'"))
+    bad = made.where("error is not null").select("review_id", "candidate_id", F.col("error").alias("code"))
+    d = d.join(bad.select("review_id").distinct(), "review_id", "left_anti").join(
+        made.select("review_id", "candidate_id", "prompt", "options"), ["review_id", "candidate_id"], "left")
+    name = F.concat(F.lit("candidate:"), F.col("candidate_id").cast("string"))
+    row = F.struct("submission", "seq", name.alias("name"), "decision_id", "action", "kind", "outcome", "prompt", F.coalesce("options", F.array().cast("array<string>")).alias("options"), "raw_prompt")
+    one = d.groupBy("review_id").agg(F.array_sort(F.collect_list(row)).alias("ds"))
+
+    def exercise(x, i):
+        return F.struct(
+            F.concat(x["name"], F.lit(":exercise")).alias("exercise_id"), (i + 1).alias("ord"), x["kind"].alias("kind"), x["prompt"].alias("prompt"), x["options"].alias("options"),
+            x["decision_id"].alias("decision_id"), F.concat(x["name"], F.lit(":answer:1")).alias("field_id"), F.lit("needsReview").alias("review_status"))
+
+    def reference(x, i):
+        return F.struct(F.concat(x["name"], F.lit(":reference")).alias("block_id"), (i + 1).alias("ord"), x["raw_prompt"].alias("raw_text"), x["decision_id"].alias("decision_id"))
+
+    def entry(x):
+        done = x["action"] == "classify"
+        return F.struct(x["name"].alias("candidate"), F.when(done, "exercise").otherwise("decision").alias("kind"),
+                        F.when(done, F.concat(x["name"], F.lit(":exercise"))).otherwise(x["decision_id"].cast("string")).alias("entity_id"))
+
+    drafts = one.select(
+        "review_id", F.concat(F.lit("layout-review:"), F.col("review_id").cast("string"), F.lit(":group:1")).alias("group_id"), F.lit(instruction).alias("instruction"),
+        F.transform(F.filter("ds", lambda x: x["action"] == "classify"), exercise).alias("exercises"),
+        F.transform(F.filter("ds", lambda x: (x["action"] == "mark") & (x["outcome"] == "reference")), reference).alias("reference_blocks"),
+        F.transform("ds", entry).alias("coverage"), F.size("ds").alias("n_detected"), F.size("ds").alias("n_accounted"), F.lit(0).alias("n_additions"), F.lit("needsReview").alias("status"))
+    fields = drafts.select("review_id", F.explode("exercises").alias("x"))
+    issues = fields.select("review_id", F.lit("ANSWER_UNVERIFIED").alias("code"), F.lit("blocking").alias("severity"), F.col("x.field_id").alias("entity_id"), F.lit("open").alias("resolution"))
+    return drafts, issues, bad
+
+
+def clean_prompt(text) -> Column:
+    """A prompt without its number, with single spaces and none before punctuation."""
+    text = F.regexp_replace(text, r"^(?i:question\s*)?\d{1,3}[.)\s]+", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s+([,.!?;:])", "$1"))
 
 
 def candidates_to_exercises(candidates: DataFrame) -> DataFrame:
-    """A candidate's raw prompt as a choice exercise: the lines before the first option line, then options.
+    """A candidate's raw prompt as an exercise of its ``kind``.
 
-    Tabs become a gap unless there is one already; fewer than two options is an error; other kinds keep the cleaned prompt.
+    Choices: the lines before the first labelled one are the prompt, in which tabs become a gap unless there is one already; the labelled
+    lines are the options; no prompt or fewer than two options is an error.  Other kinds keep the whole prompt, cleaned.
     """
-    lines = F.filter(F.transform(F.split("raw_prompt", "\n"), lambda t: F.trim(t)), lambda l: l != "")
-    option = r"(?i)^[a-h][.)]?\s+\S"
-    df = candidates.withColumn("l", lines).withColumn("is_opt", F.transform("l", lambda x: x.rlike(option)))
-    df = df.withColumn("at", F.coalesce(F.nullif(F.array_position("is_opt", True), F.lit(0)), F.size("l") + 1).cast("int"))
-    stem = F.array_join(F.slice("l", 1, F.greatest(F.col("at") - 1, F.lit(0))), " ")
-    stem = F.regexp_replace(stem, r"^(?:[Qq]uestion\s*)?\d{1,3}[.)\s]\s*", "")
-    df = df.withColumn("stem", F.when(stem.rlike("_{3,}"), F.regexp_replace(stem, "\t+", " ")).otherwise(F.regexp_replace(stem, "\t+", " ___ ")))
-    found = F.filter(F.slice("l", F.col("at"), F.greatest(F.size("l") - F.col("at") + 1, F.lit(0))), lambda x: x.rlike(option))
-    df = df.withColumn("options", F.transform(found, lambda x: F.regexp_replace(x, r"(?i)^[a-h][.)]?\s+", "")))
-    choice = F.col("kind") == "singleChoice"
+    lines = F.transform(F.split("raw_prompt", "\r?\n"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    label = r"(?iu)^[a-zа-яё][.)]?\s+"
+    df = candidates.withColumn("l", lines).withColumn("at", F.array_position(F.transform("l", lambda x: x.rlike(label)), True).cast("int"))
+    head = F.slice("l", 1, F.greatest(F.col("at") - 1, F.lit(0)))
+    stem = F.array_join(head, " ")
+    stem = clean_prompt(F.regexp_replace(stem, "\t+", F.when(F.contains(stem, F.lit("___")), " ").otherwise(" ___ ")))
+    tail = F.filter(F.slice("l", F.greatest(F.col("at"), F.lit(1)), F.size("l")), lambda x: x.rlike(label + "."))
+    options = F.transform(tail, lambda x: F.regexp_replace(x, label, ""))
+    choice = F.col("kind").isin("singleChoice", "oddOneOut")
+    df = df.withColumn("prompt", F.when(choice, stem).otherwise(clean_prompt(F.col("raw_prompt")))).withColumn(
+        "options", F.when(choice & (F.col("at") > 1), options).when(choice, F.array().cast("array<string>")))
+    few = choice & ((F.col("at") < 2) | (F.size("options") < 2))
     return df.select(
-        "candidate_id", "kind", F.trim(F.when(choice, F.col("stem")).otherwise(F.regexp_replace(F.array_join("l", " "), r"^(?:[Qq]uestion\s*)?\d{1,3}[.)\s]\s*", ""))).alias("prompt"),
-        F.when(choice, F.col("options")).alias("options"), F.when(choice & (F.size("options") < 2), "TOO_FEW_OPTIONS").alias("error"))
+        *[c for c in ("review_id",) if c in candidates.columns], "candidate_id", "kind", "prompt", "options",
+        F.when(few, "TOO_FEW_OPTIONS").when(F.col("prompt") == "", "PROMPT_NOT_FOUND").alias("error"))
 
 
 def overlap_violations(drafts: DataFrame, reviews: DataFrame) -> DataFrame:

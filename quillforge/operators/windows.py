@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,21 +17,6 @@ class Profile:
     version: str = "1.0.0"
 
 
-def _greedy(sizes: list[int], p: Profile) -> list[tuple[int, int]]:
-    out, start = [], 0
-    while start < len(sizes):
-        end = total = 0
-        end = start
-        while end < len(sizes) and end - start < p.blocks and total + sizes[end] <= p.tokens:
-            total += sizes[end]
-            end += 1
-        out.append((start, end))
-        if end >= len(sizes):
-            break
-        start = max(start + 1, end - min(p.overlap, end - start - 1))
-    return out
-
-
 def window_errors(blocks: DataFrame, p: Profile = Profile()) -> DataFrame:
     """Repeated block ids and blocks over the token bound."""
     twice = blocks.groupBy("doc_id", "block_id").count().where("count > 1").select("doc_id", "block_id", F.lit("DUPLICATE_BLOCK").alias("code"))
@@ -43,22 +27,30 @@ def window_errors(blocks: DataFrame, p: Profile = Profile()) -> DataFrame:
 def plan_windows(blocks: DataFrame, p: Profile = Profile()) -> DataFrame:
     """Overlapping windows of each document's non-blank blocks, bounded in blocks and tokens.
 
-    Where a window ends decides where the next begins, so documents are folded one by one, over block sizes only; documents
-    with errors are left out.  Returns doc_id, window, first and last position, and the ordered block ids.
+    Where a window that begins at a block ends, and where the next one begins, is a range over running sizes, so it is known for all blocks at once;
+    the blocks that do begin one are found by a fold over those positions, in the JVM.  Documents with errors are left out.  Returns doc_id,
+    window, first and last position, tokens and the ordered block ids.
     """
-    def plan(key, table):
-        table = table.sort_by("ord")
-        sizes, ids = table.column("size").to_pylist(), table.column("block_id").to_pylist()
-        spans = _greedy(sizes, p)
-        return pa.table({
-            "doc_id": pa.array([key[0].as_py()] * len(spans), table.schema.field("doc_id").type), "window": pa.array(range(len(spans)), pa.int32()),
-            "first": pa.array([s for s, _ in spans], pa.int32()), "last": pa.array([e - 1 for _, e in spans], pa.int32()),
-            "tokens": pa.array([sum(sizes[s:e]) for s, e in spans], pa.int32()), "block_ids": pa.array([ids[s:e] for s, e in spans], pa.list_(pa.string()))})
-
     usable = blocks.where(F.trim("raw_text") != "").join(window_errors(blocks, p).select("doc_id").distinct(), "doc_id", "left_anti")
-    sized = usable.select("doc_id", F.col("block_id").cast("string").alias("block_id"), "ord", F.greatest(F.length("raw_text"), F.lit(1)).alias("size"))
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    return sized.groupBy("doc_id").applyInArrow(plan, f"doc_id {kind}, window int, first int, last int, tokens int, block_ids array<string>")
+    sized = usable.select("doc_id", F.col("block_id").cast("string").alias("block_id"), "ord", F.greatest(F.length("raw_text"), F.lit(1)).cast("long").alias("size"))
+    order = W.partitionBy("doc_id").orderBy("ord")
+    sized = sized.withColumn("at", (F.row_number().over(order) - 1).cast("int")).withColumn("before", F.sum("size").over(order) - F.col("size"))
+    whole = W.partitionBy("doc_id")
+    # the last block that begins within the bound does not fit, unless the document ends within it
+    reach = F.max("at").over(W.partitionBy("doc_id").orderBy("before").rangeBetween(0, p.tokens))
+    fits = F.col("total") - F.col("before") <= p.tokens
+    ends = sized.withColumn("total", F.sum("size").over(whole)).withColumn("n", F.count("*").over(whole).cast("int")).withColumn("reach", reach)
+    ends = ends.withColumn("end", F.least(F.when(fits, F.col("n")).otherwise(F.col("reach")), F.col("at") + p.blocks).cast("int"))
+    then = F.greatest(F.col("at") + 1, F.col("end") - F.least(F.lit(p.overlap), F.col("end") - F.col("at") - 1))
+    ends = ends.withColumn("then", F.when(F.col("end") < F.col("n"), then).cast("int"))
+    folded = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "end", "then"))).alias("steps")).withColumn("begins", F.expr(
+        """aggregate(steps, named_struct('due', 0, 'out', cast(array() as array<struct<first: int, end: int>>)), (a, x) -> if(x.at = a.due,
+           named_struct('due', x.then, 'out', concat(a.out, array(named_struct('first', x.at, 'end', x.end)))), a), a -> a.out)"""))
+    spans = folded.select("doc_id", F.posexplode("begins").alias("window", "w")).select("doc_id", "window", "w.first", (F.col("w.end") - 1).alias("last"))
+    members = spans.select("*", F.explode(F.sequence("first", "last")).alias("at")).join(sized.select("doc_id", "at", "block_id", "size"), ["doc_id", "at"])
+    return members.groupBy("doc_id", "window", "first", "last").agg(
+        F.sum("size").cast("int").alias("tokens"), F.array_sort(F.collect_list(F.struct("at", "block_id"))).alias("b")).select(
+        "doc_id", "window", "first", "last", "tokens", F.col("b.block_id").alias("block_ids"))
 
 
 def window_overlaps(windows: DataFrame) -> DataFrame:

@@ -247,16 +247,36 @@ def w12_prompt_roles(spark, sf_dir):
     return rc.prompt_role_conflicts(e, regions).select("doc_id", "code", "owner_id")
 
 
-@query("""SELECT event_id AS doc_id, (event_type = 'error')::INTEGER AS n_conflicts, CASE WHEN event_type = 'error' THEN 'needsReview' ELSE 'valid' END AS status FROM events WHERE event_id % 2 = 0
-UNION ALL SELECT event_id, (event_type = 'error')::INTEGER + 1, 'needsReview' FROM events WHERE event_id % 2 = 1""")
+_STRUCTURES = """WITH e AS (SELECT event_id AS d, event_type, event_id % 5 AS k, CASE WHEN event_id % 3 > 0 THEN 'b1' ELSE 'document:' || event_id END AS first, CASE WHEN user_id % 2 = 0 THEN 'p1|p2' ELSE 'unresolved:proposal' END AS ps FROM events),
+c AS (SELECT d, 'conflict:LOW_CONFIDENCE:b1|b2:' || ps AS id FROM e WHERE event_type = 'error' UNION ALL SELECT d, 'conflict:MISSING_BLOCK:unresolved:block:p9' FROM e WHERE event_type = 'error'
+  UNION ALL SELECT d, 'conflict:INVALID_INTERACTION:g:' || ps FROM e WHERE k = 1 UNION ALL SELECT d, 'conflict:INVALID_INTERACTION:x:' || ps FROM e WHERE k = 2
+  UNION ALL SELECT d, 'conflict:INVALID_INTERACTION:' || first || ':' || ps FROM e WHERE k IN (0, 1)) """
+
+
+def _structures(spark, sf_dir):
+    """Events as documents.  Errors bring two conflicts, one of them twice; a fifth each has no group, no exercise, an exercise without fields."""
+    e = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type", "user_id", (F.col("event_id") % 5).alias("k"))
+    docs = e.withColumn("proposal_ids", F.when(F.col("user_id") % 2 == 0, F.array(F.lit("p1"), F.lit("p2"))).otherwise(F.array().cast("array<string>")))
+    none = F.lit(None).cast("array<string>")
+    low = e.where("event_type = 'error'").select("doc_id", F.lit("LOW_CONFIDENCE").alias("code"), F.lit("r").alias("owner_id"), F.array(F.lit("b1"), F.lit("b2"), F.lit("b1")).alias("block_ids"), none.alias("proposal_ids"))
+    missing = e.where("event_type = 'error'").select("doc_id", F.lit("MISSING_BLOCK").alias("code"), F.lit("b").alias("owner_id"), F.array().cast("array<string>").alias("block_ids"), F.array(F.lit("p9")).alias("proposal_ids"))
+    groups = e.where("k > 0").select("doc_id", F.lit("g").alias("group_id"))
+    exercises = e.where("k > 1").select("doc_id", F.lit("g").alias("group_id"), F.lit("x").alias("exercise_id"), F.when(F.col("k") != 2, 1).alias("n_fields"))
+    blocks = e.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ord")).withColumn("block_id", F.concat(F.lit("b"), "ord"))
+    blocks = blocks.withColumn("raw_text", F.when((F.col("doc_id") % 3 > 0) & (F.col("ord") == 1), "text").otherwise(" "))
+    return rc.finalize_structure(docs, groups, exercises, low.unionByName(low).unionByName(missing), blocks)
+
+
+@query(_STRUCTURES + "SELECT d AS doc_id, count(DISTINCT id)::INTEGER AS n_conflicts, CASE WHEN count(id) > 0 THEN 'needsReview' ELSE 'valid' END AS status FROM e LEFT JOIN c USING (d) GROUP BY d")
 def w18_structure_status(spark, sf_dir):
-    """Events as documents; errors bring a conflict (twice, kept once), odd ones hold a group without exercises."""
-    e = b.table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type")
-    none = F.array().cast("array<string>")
-    one = e.where("event_type = 'error'").select("doc_id", F.lit("LOW_CONFIDENCE").alias("code"), F.lit("r").alias("owner_id"), none.alias("block_ids"))
-    groups = e.select("doc_id", F.lit("g").alias("group_id"))
-    exercises = e.where("doc_id % 2 = 0").select("doc_id", F.lit("g").alias("group_id"), F.lit("x").alias("exercise_id"), F.lit(1).alias("n_fields"))
-    return rc.finalize_structure(e, groups, exercises, one.unionByName(one))[1].withColumn("n_conflicts", F.col("n_conflicts").cast("int"))
+    """The status of every document."""
+    return _structures(spark, sf_dir)[1].withColumn("n_conflicts", F.col("n_conflicts").cast("int"))
+
+
+@query(_STRUCTURES + "SELECT DISTINCT d AS doc_id, id AS conflict_id FROM c")
+def w18_conflict_ids(spark, sf_dir):
+    """The conflicts of every document, each once."""
+    return _structures(spark, sf_dir)[0].select("doc_id", "conflict_id")
 
 
 @query("""SELECT event_id AS doc_id, CASE WHEN event_id % 3 = 0 THEN '1.0.0' ELSE '1.1.0' END AS old, '1.1.0' AS schema_version FROM events WHERE NOT (event_id % 3 = 0 AND event_type = 'error')""")

@@ -14,7 +14,7 @@ from quillforge.operators import review as rv
 from quillforge.operators import runs as rn
 from quillforge.operators import windows as wn
 from quillforge.plans import bindings as b
-from quillforge.plans.queries import query
+from quillforge.plans.queries import also, query
 
 NOW = "2024-01-20 00:00:00"
 
@@ -41,32 +41,49 @@ def e26_candidate_accounts(spark, sf_dir):
     return ak.account_candidates(cands, t)[1]
 
 
+@query("WITH RECURSIVE " + b.BLOCKS_SQL + """, bad AS (SELECT DISTINCT doc_id FROM v_blocks WHERE length(raw_text) > 3000),
+z AS (SELECT doc_id, block_id, greatest(length(raw_text), 1) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS pos FROM v_blocks WHERE trim(raw_text) <> '' AND doc_id NOT IN (SELECT doc_id FROM bad)),
+r AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, count(*) OVER (PARTITION BY doc_id) AS n FROM z),
+e AS (SELECT x.doc_id, x.pos, x.n, max(y.pos) + 1 AS e FROM r x JOIN r y ON y.doc_id = x.doc_id AND y.pos >= x.pos AND y.pos < x.pos + 16 AND y.upto - x.upto + x.size <= 3000 GROUP BY 1, 2, 3),
+w(doc_id, k, s) AS (SELECT DISTINCT doc_id, 0, 0::BIGINT FROM z
+  UNION ALL SELECT w.doc_id, k + 1, greatest(s + 1, e.e - least(4, e.e - s - 1)) FROM w JOIN e ON e.doc_id = w.doc_id AND e.pos = s WHERE e.e < e.n),
+v AS (SELECT w.doc_id, k, s, e.e FROM w JOIN e ON e.doc_id = w.doc_id AND e.pos = s),
+g AS (SELECT v.doc_id, k, s, v.e, sum(size) AS tokens, list(block_id ORDER BY pos) AS ids FROM v JOIN z ON z.doc_id = v.doc_id AND pos >= s AND pos < v.e GROUP BY ALL)
+SELECT doc_id, k AS window, s::INTEGER AS first, (e - 1)::INTEGER AS last, tokens::INTEGER AS tokens,
+  coalesce(len(list_intersect(ids, lag(ids) OVER o)), 0)::INTEGER AS n_before, coalesce(len(list_intersect(ids, lead(ids) OVER o)), 0)::INTEGER AS n_after FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY k)""")
 def w1_windows(spark, sf_dir):
     """Windows of every document's lines, with their overlaps."""
     out = wn.window_overlaps(wn.plan_windows(b.blocks(spark, sf_dir), wn.Profile(blocks=16, tokens=3000, overlap=4)))
     return out.select("doc_id", "window", "first", "last", "tokens", F.size("shared_before").alias("n_before"), F.size("shared_after").alias("n_after"))
 
 
-query()(w1_windows)
-
-
 @query("WITH " + b.BLOCKS_SQL + """ SELECT doc_id, block_id, 'BLOCK_TOO_LARGE' AS code FROM v_blocks WHERE length(raw_text) > 500""")
 def w1_window_errors(spark, sf_dir):
     """Blocks over the token bound."""
     return wn.window_errors(b.blocks(spark, sf_dir), wn.Profile(tokens=500))
 
 
-@query("WITH " + _TURNS_SQL + """, c AS (SELECT doc_id, candidate_id AS block_id, count(DISTINCT kind) AS n, min(kind) AS k FROM v_turns GROUP BY 1, 2),
-bl AS (SELECT DISTINCT doc_id, unnest(['0', '1', '2']) AS block_id FROM v_turns)
-SELECT doc_id, block_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' ELSE 'mapped' END AS state, CASE WHEN n = 1 THEN k END AS outcome,
-  CASE WHEN n IS NULL THEN 'MISSING_BLOCK' WHEN n > 1 THEN 'OVERLAPPING_OWNERSHIP' END AS code FROM bl LEFT JOIN c USING (doc_id, block_id)""")
+_OUTCOMES = "CASE WHEN seq % 5 = 4 THEN 'unknown' ELSE kind END"
+
+
+@query("WITH " + _TURNS_SQL + f""", c AS (SELECT doc_id, candidate_id AS block_id, seq, {_OUTCOMES} AS outcome, list_sort(list_distinct(['r' || seq % 2, 'r' || seq % 4 // 2])) AS rs, 'p' || seq % 3 AS p FROM v_turns),
+f AS (SELECT doc_id, block_id, count(DISTINCT outcome || ':' || array_to_string(rs, ',')) AS n, arg_min(outcome, seq) AS o, arg_min(rs, seq) AS rs, bool_or(list_contains(rs, 'r1') AND doc_id % 4 = 0) AS lost,
+  array_to_string(list_sort(list(DISTINCT p)), ',') AS ps FROM c GROUP BY 1, 2),
+bl AS (SELECT DISTINCT doc_id, unnest(['0', '1', '2', '3']) AS block_id FROM v_turns),
+s AS (SELECT bl.*, o, rs, ps, CASE WHEN n IS NULL THEN 'missing' WHEN lost THEN 'dangling' WHEN n > 1 THEN 'conflict' ELSE 'mapped' END AS state FROM bl LEFT JOIN f USING (doc_id, block_id) WHERE block_id <> '3' OR doc_id % 2 = 0)
+SELECT doc_id, block_id, state, CASE WHEN state <> 'mapped' OR o = 'unknown' THEN 'issue' ELSE o END AS outcome, CASE WHEN state = 'mapped' THEN array_to_string(rs, ',') END AS region_ids,
+  CASE state WHEN 'missing' THEN 'MISSING_BLOCK' WHEN 'dangling' THEN 'DANGLING_RELATION' WHEN 'conflict' THEN 'OVERLAPPING_OWNERSHIP' END AS code, CASE WHEN state <> 'mapped' THEN ps END AS proposal_ids FROM s""")
 def w17_block_coverage(spark, sf_dir):
-    """Turns as claims on three blocks a conversation."""
+    """Turns as claims, each on up to two regions, on four blocks a conversation, the last one blank in half of them; one region is unknown in some."""
     t = _turns(spark, sf_dir)
-    blocks = t.select("doc_id").distinct().withColumn("block_id", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))))
-    claims = t.select("doc_id", F.col("candidate_id").alias("block_id"), "kind", F.lit("r").alias("region_id"))
-    out, wrong = rc.block_coverage(blocks, claims, t.select("doc_id").distinct().withColumn("region_id", F.lit("r")))
-    return out.join(wrong.select("doc_id", F.col("owner_id").alias("block_id"), "code"), ["doc_id", "block_id"], "left")
+    docs = t.select("doc_id").distinct()
+    blocks = docs.withColumn("block_id", F.explode(F.array(*map(F.lit, "0123")))).withColumn("raw_text", F.when((F.col("block_id") == "3") & (F.col("doc_id") % 2 == 1), " ").otherwise("x"))
+    both = F.array_distinct(F.array(F.concat(F.lit("r"), F.col("seq") % 2), F.concat(F.lit("r"), F.floor(F.col("seq") % 4 / 2).cast("int"))))
+    claims = t.select("doc_id", F.col("candidate_id").alias("block_id"), "seq", F.expr(_OUTCOMES).alias("outcome"), both.alias("region_ids"), F.concat(F.lit("p"), F.col("seq") % 3).alias("proposal_id"))
+    regions = docs.withColumn("region_id", F.explode(F.array(F.lit("r0"), F.lit("r1")))).where("region_id <> 'r1' or doc_id % 4 <> 0")
+    out, wrong = rc.block_coverage(blocks, claims, regions)
+    out = out.join(wrong.select("doc_id", F.col("owner_id").alias("block_id"), "code", "proposal_ids"), ["doc_id", "block_id"], "left")
+    return out.select("doc_id", "block_id", "state", "outcome", F.array_join(F.array_sort("region_ids"), ",").alias("region_ids"), "code", F.array_join("proposal_ids", ",").alias("proposal_ids"))
 
 
 def _regions(spark, sf_dir):
@@ -93,22 +110,22 @@ def w15_low_confidence(spark, sf_dir):
     return found.groupBy("doc_id", "code", "owner_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS d, l_linenumber AS e, l_suppkey % 5 AS b, (l_partkey % 100)::INTEGER AS s0, (l_partkey % 100 + l_quantity)::INTEGER AS s1 FROM lineitem),
-u AS (SELECT DISTINCT * FROM s),
-r AS (SELECT *, max(s1) OVER (PARTITION BY d, b, e ORDER BY s0, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM u),
-i AS (SELECT *, sum(CASE WHEN m IS NULL OR s0 > m THEN 1 ELSE 0 END) OVER (PARTITION BY d, b, e ORDER BY s0, s1) AS k FROM r),
-v AS (SELECT d, b, e, min(s0) AS s0, max(s1) AS s1 FROM i GROUP BY d, b, e, k),
-p AS (SELECT x.d, x.b, x.e, arg_max(y.e, (y.s1, y.e)) AS o FROM v x JOIN v y ON x.d = y.d AND x.b = y.b AND (y.s0, y.s1, y.e) < (x.s0, x.s1, x.e) GROUP BY x.d, x.b, x.e, x.s0 HAVING max(y.s1) > x.s0)
-SELECT d AS doc_id, 'NON_ATOMIC_EXERCISE' AS code, least(e, o) AS owner_id, greatest(e, o) AS other_id, count(DISTINCT b)::INTEGER AS n_blocks FROM p GROUP BY 1, 2, 3, 4""")
+@query("""WITH s AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS e, l_suppkey % 5 AS b, CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE l_partkey % 100 END AS s0,
+  CASE WHEN l_partkey % 3 = 0 OR l_partkey % 7 = 0 THEN 120 ELSE l_partkey % 100 + l_quantity END AS s1 FROM lineitem WHERE l_suppkey % 5 <> 4)
+SELECT x.d AS doc_id, 'NON_ATOMIC_EXERCISE' AS code, x.e AS owner_id, y.e AS other_id, array_to_string(list_sort(list(DISTINCT x.b)), ',') AS block_ids
+FROM s x JOIN s y ON x.d = y.d AND x.b = y.b AND x.e < y.e AND greatest(x.s0, y.s0) < least(x.s1, y.s1) GROUP BY ALL""")
 def w13_overlapping_prompts(spark, sf_dir):
-    """Order lines as prompt spans; pairs of lines that overlap, with their number of blocks."""
+    """Order lines as prompt spans in four blocks of 120 code points (a fifth is not there), a third without offsets, some without an end."""
     l = b.table(spark, sf_dir, "lineitem")
-    ref = F.concat("l_linenumber", F.lit("/"), F.col("l_suppkey") % 5, F.lit("/"), "l_partkey", F.lit("/"), F.col("l_quantity").cast("int"))
-    rows = l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("exercise_id"), ref.alias("region_id"), (F.col("l_suppkey") % 5).alias("block_id"),
-                    (F.col("l_partkey") % 100).cast("int").alias("s"), (F.col("l_partkey") % 100 + F.col("l_quantity")).cast("int").alias("e")).distinct()
+    ref = F.concat_ws("/", "l_linenumber", F.col("l_suppkey") % 5, "l_partkey", F.col("l_quantity").cast("int"))
+    open_, endless = F.col("l_partkey") % 3 == 0, F.col("l_partkey") % 7 == 0
+    rows = l.select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("exercise_id"), ref.alias("region_id"), (F.col("l_suppkey") % 5).alias("block_id"),
+        F.when(~open_, F.col("l_partkey") % 100).cast("int").alias("s"), F.when(~open_ & ~endless, F.col("l_partkey") % 100 + F.col("l_quantity")).cast("int").alias("e")).distinct()
     ex = rows.select("doc_id", "exercise_id", F.array("region_id").alias("prompt_region_ids"))
     regions = rows.select("doc_id", "region_id", F.array(F.struct("block_id", F.col("s").alias("char_start"), F.col("e").alias("char_end"))).alias("sources")).dropDuplicates(["doc_id", "region_id"])
-    return rc.overlapping_prompts(ex, regions).select("doc_id", "code", "owner_id", "other_id", F.size("block_ids").alias("n_blocks"))
+    blocks = rows.select("doc_id", "block_id", F.lit("x" * 120).alias("raw_text")).where("block_id < 4").distinct()
+    return rc.overlapping_prompts(ex, regions, blocks).select("doc_id", "code", "owner_id", "other_id", F.array_join(F.col("block_ids").cast("array<string>"), ",").alias("block_ids"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'DELETED' ELSE 'CHANGED' END AS code FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0""")
@@ -171,11 +188,22 @@ def r8_submissions(spark, sf_dir):
     return out.groupBy("draft_id").agg(F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") == "stale").alias("stale"))
 
 
-@query(r"""SELECT item_id::VARCHAR AS candidate_id, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' '), '^(?:[Qq]uestion\s*)?\d{1,3}[.)\s]\s*', '')) AS prompt FROM benchmark""")
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '^((?i:question)\s*)?\d{{1,3}}[.)\s]+', ''), '\s+', ' ', 'g'), '\s+([,.!?;:])', '\1', 'g'))"
+
+
+@query(r"""WITH c AS (SELECT item_id, item_id % 2 = 0 AS choice, item_id || '. ' || text || CASE item_id % 4 WHEN 0 THEN chr(10) || 'a) one' || chr(10) || 'B two ' || chr(10) || 'no option' WHEN 2 THEN chr(10) || 'c. only' ELSE '' END AS raw FROM benchmark),
+l AS (SELECT *, list_transform(string_split(raw, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM c),
+k AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '^[a-zA-Zа-яёА-ЯЁ][.)]?\s+')), true), 0) AS k FROM l)
+SELECT item_id::VARCHAR AS candidate_id, CASE WHEN choice THEN """ + _CLEAN.format("replace(array_to_string(CASE WHEN k > 0 THEN l[:k - 1] ELSE [] END, ' '), chr(9), ' ___ ')") + " ELSE " + _CLEAN.format("raw") + r""" END AS prompt,
+  CASE WHEN choice AND k > 1 THEN array_to_string(list_transform(list_filter(l[k:], lambda x: regexp_matches(x, '^[a-zA-Zа-яёА-ЯЁ][.)]?\s+.')), lambda x: regexp_replace(x, '^[a-zA-Zа-яёА-ЯЁ][.)]?\s+', '')), '|') WHEN choice THEN '' END AS options,
+  CASE WHEN choice AND (k < 2 OR len(list_filter(l[k:], lambda x: regexp_matches(x, '^[a-zA-Zа-яёА-ЯЁ][.)]?\s+.'))) < 2) THEN 'TOO_FEW_OPTIONS' END AS error FROM k""")
 def r10_candidate_prompts(spark, sf_dir):
-    """Benchmark items as candidates that take the cleaned prompt."""
-    c = b.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("candidate_id"), F.lit("shortText").alias("kind"), F.col("text").alias("raw_prompt"))
-    return rv.candidates_to_exercises(c).select("candidate_id", "prompt")
+    """Benchmark items as candidates: half of them choices, with two options or one."""
+    c = b.table(spark, sf_dir, "benchmark")
+    more = F.when(c.item_id % 4 == 0, "\na) one\nB two \nno option").when(c.item_id % 4 == 2, "\nc. only").otherwise("")
+    c = c.select(F.col("item_id").cast("string").alias("candidate_id"), F.when(c.item_id % 2 == 0, "singleChoice").otherwise("shortText").alias("kind"),
+                 F.concat("item_id", F.lit(". "), "text", more).alias("raw_prompt"))
+    return rv.candidates_to_exercises(c).select("candidate_id", "prompt", F.array_join("options", "|").alias("options"), "error")
 
 
 @query("""SELECT item_id % 10 AS review_id, count(*)::BIGINT AS n, ceil(sum(length(text)) / 4.0 + 120 * count(*) + 300)::BIGINT AS tokens FROM benchmark GROUP BY 1""")
@@ -185,30 +213,37 @@ def g8_layout_preflight(spark, sf_dir):
     return pl.layout_preflight(c).select("review_id", "n", "tokens")
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT l_orderkey AS d, l_returnflag AS g, l_linenumber || '/' || l_partkey AS x, l_linenumber::BIGINT * 1000000000 + l_partkey AS o, sum(l_quantity)::INTEGER AS n FROM lineitem GROUP BY ALL),
+y AS (SELECT *, sum(n) OVER (PARTITION BY d, g) AS total, min(o) OVER (PARTITION BY d, g) AS pos FROM x),
+c AS (SELECT *, least(40, n - first) AS m, row_number() OVER (PARTITION BY d, pos ORDER BY o, first) AS r FROM (SELECT *, unnest(range(0, n, 40)) AS first FROM y WHERE total > 40)),
+f(d, pos, r, used, unit) AS (SELECT d, pos, r, m, 0 FROM c WHERE r = 1
+  UNION ALL SELECT c.d, c.pos, c.r, CASE WHEN used + m > 40 THEN m ELSE used + m END, CASE WHEN used + m > 40 THEN unit + 1 ELSE unit END FROM f JOIN c ON c.d = f.d AND c.pos = f.pos AND c.r = f.r + 1),
+p AS (SELECT c.d, c.g, c.x, c.pos, c.first, c.m, unit FROM c JOIN f USING (d, pos, r) UNION ALL SELECT d, g, x, pos, 0, n, 0 FROM y WHERE total <= 40),
+u AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY n DESC, pos, unit) AS r FROM (SELECT d, pos, unit, sum(m)::INTEGER AS n FROM p GROUP BY 1, 2, 3)),
+b(d, r, room, batch) AS (SELECT d, r, [40 - n], 0 FROM u WHERE r = 1
+  UNION ALL SELECT d, r, CASE WHEN k IS NULL OR k = 0 THEN list_append(room, 40 - n) ELSE list_concat(list_append(room[:k - 1], room[k] - n), room[k + 1:]) END, CASE WHEN k IS NULL OR k = 0 THEN len(room) ELSE k - 1 END
+  FROM (SELECT u.d, u.r, u.n, room, list_position(list_transform(room, lambda v: v >= u.n), true) AS k FROM b JOIN u ON u.d = b.d AND u.r = b.r + 1))
+SELECT p.d AS draft_id, batch::INTEGER AS batch, g AS group_id, x AS exercise_id, first::INTEGER AS first, m::INTEGER AS n_fields FROM p JOIN u USING (d, pos, unit) JOIN b ON b.d = u.d AND b.r = u.r""")
 def g2_batches(spark, sf_dir):
-    """The fields of each brand's types packed into batches of 8."""
-    units = b.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("draft_id"), F.col("p_type").alias("group_id")).agg(F.count("*").cast("int").alias("n_fields"))
-    return pl.pack_batches(units, 8)
+    """Orders as drafts, return flags as groups, lines as exercises with a field for each piece; batches of 40."""
+    l = b.table(spark, sf_dir, "lineitem")
+    ex = l.groupBy(F.col("l_orderkey").alias("draft_id"), F.col("l_returnflag").alias("group_id"), F.concat_ws("/", "l_linenumber", "l_partkey").alias("exercise_id"),
+                   (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("ord")).agg(F.sum("l_quantity").cast("int").alias("n_fields"))
+    return pl.pack_batches(ex, 40)
 
 
-@query("""WITH x AS (SELECT l_suppkey AS d, l_linenumber AS bt, count(*) AS nf, sum(l_orderkey % 1000)::BIGINT AS ch FROM lineitem GROUP BY 1, 2)
-SELECT d AS draft_id, sum(nf)::BIGINT AS n_fields, count(*)::BIGINT AS n_batches, ceil(sum(ch) / 4.0 + 96 * sum(nf) + 180 * count(*))::BIGINT AS tokens FROM x GROUP BY 1""")
+@query("""WITH x AS (SELECT l_suppkey AS d, l_linenumber AS bt, count(*) AS nf, sum(l_orderkey % 1000)::BIGINT AS ch FROM lineitem GROUP BY 1, 2),
+y AS (SELECT d AS draft_id, sum(nf)::BIGINT AS n_fields, count(*)::BIGINT AS n_batches, ceil(sum(ch) / 4.0 + 96 * sum(nf) + 180 * count(*))::BIGINT AS tokens FROM x GROUP BY 1),
+z AS (SELECT *, ceil(tokens::DOUBLE / 1000 * 0.172::DOUBLE * 10000) / 10000 AS usd FROM y)
+SELECT *, usd > 1 AS needs_confirmation, usd > 10 AS refused FROM z""")
 def g3_preflight(spark, sf_dir):
     """Suppliers as drafts, line numbers as batches."""
     x = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("draft_id"), F.col("l_linenumber").alias("batch")).agg(
         F.count("*").alias("n_fields"), F.sum(F.col("l_orderkey") % 1000).alias("chars")).withColumn("payload", F.col("chars").cast("string"))
-    return pl.preflight(x).select("draft_id", "n_fields", "n_batches", "tokens")
-
-
-@query("""WITH s AS (SELECT l_partkey AS f FROM lineitem WHERE l_suppkey % 7 = 0) SELECT f AS field_id, 'DUPLICATE_ID' AS code FROM s GROUP BY f HAVING count(*) > 1
-UNION ALL SELECT p_partkey, 'MISSING_ID' FROM part WHERE p_type <> 'ECONOMY' AND p_partkey NOT IN (SELECT f FROM s) UNION ALL SELECT DISTINCT f, 'UNKNOWN_ID' FROM s WHERE f IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY')""")
-def g5_suggestion_checks(spark, sf_dir):
-    """Lines as suggestions for the fields outside one group."""
-    s = b.table(spark, sf_dir, "lineitem").where("l_suppkey % 7 = 0").select(F.col("l_partkey").alias("field_id"))
-    return pl.check_suggestions(s, b.table(spark, sf_dir, "part").where("p_type <> 'ECONOMY'").select(F.col("p_partkey").alias("field_id")))
+    return pl.preflight(x).select("draft_id", "n_fields", "n_batches", "tokens", "usd", "needs_confirmation", "refused")
 
 
+@also("g5_suggestion_checks")
 @query("""SELECT l_partkey AS field_id, 'DUPLICATE_ID' AS code FROM lineitem GROUP BY 1 HAVING count(*) > 1
 UNION ALL SELECT p_partkey, 'MISSING_ID' FROM part WHERE p_type <> 'ECONOMY' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)
 UNION ALL SELECT DISTINCT l_partkey, 'UNKNOWN_ID' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type <> 'ECONOMY')""")
@@ -318,17 +353,7 @@ def st13_limit_failures(spark, sf_dir):
     return rn.limit_failures(f).select("run_id", "failure_code", "actual")
 
 
-@query("""WITH s AS (SELECT o_custkey AS source_id, o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F')
-SELECT source_id, o_orderkey AS draft_id, (row_number() OVER (PARTITION BY source_id ORDER BY o_orderdate, o_orderkey))::INTEGER AS version FROM s""")
-def v9_versions(spark, sf_dir):
-    """V9: filled orders as drafts without reasons, customers as sources."""
-    o = b.table(spark, sf_dir, "orders")
-    drafts = o.select(F.col("o_orderkey").alias("draft_id"), F.col("o_custkey").alias("source_id"), F.col("o_custkey").alias("lesson_id"), F.lit(False).alias("has_matching"), F.lit(True).alias("confirmed"), F.col("o_orderdate").alias("created_at"))
-    reasons = o.select(F.col("o_orderkey").alias("draft_id"), F.when(F.col("o_orderstatus") == "F", F.array().cast("array<string>")).otherwise(F.array(F.lit("OPEN_BLOCKING_ISSUE"))).alias("reasons"))
-    new, _ = pb.publish(drafts, reasons, drafts.limit(0).withColumn("version", F.lit(0)))
-    return new.select("source_id", "draft_id", "version")
-
-
+@also("v9_versions")
 @query("""WITH s AS (SELECT o_custkey AS source_id, o_orderkey, o_orderdate, o_orderdate >= TIMESTAMP '1998-01-01' AS late FROM orders WHERE o_orderstatus = 'F'),
 old AS (SELECT source_id, count(*) AS n FROM s WHERE NOT late GROUP BY 1)
 SELECT source_id, o_orderkey AS draft_id, late, (CASE WHEN late THEN coalesce(n, 0) ELSE 0 END + row_number() OVER (PARTITION BY source_id, late ORDER BY o_orderdate, o_orderkey))::INTEGER AS version
@@ -344,19 +369,22 @@ def v9_stored_versions(spark, sf_dir):
     return early.withColumn("late", F.lit(False)).unionByName(new.withColumn("late", F.lit(True))).select("source_id", "draft_id", "late", "version")
 
 
-@query("WITH " + b.BLOCKS_SQL + """, r AS (SELECT doc_id, block_id, ord, length(raw_text) AS n, page_index FROM v_blocks)
-SELECT doc_id, block_id, CASE WHEN ord % 7 = 0 THEN 'SOURCE_RANGE_OUT_OF_BOUNDS' WHEN ord % 7 = 1 THEN 'SOURCE_PAGE_MISMATCH' WHEN ord % 7 = 2 THEN 'DOCUMENT_IR_SOURCE_MISMATCH'
-  WHEN ord % 7 = 3 THEN 'CROSS_DOCUMENT_REF' WHEN ord % 7 = 4 THEN 'UNKNOWN_BLOCK_REF' ELSE 'SOURCE_BBOX_OUT_OF_BOUNDS' END AS code FROM r WHERE ord % 7 < 6""")
+@query("WITH " + b.BLOCKS_SQL + """, r AS (SELECT doc_id, block_id, ord % 9 AS k FROM v_blocks),
+c AS (SELECT *, CASE WHEN k IN (0, 6) THEN 'SOURCE_RANGE_OUT_OF_BOUNDS' WHEN k IN (1, 7) THEN 'SOURCE_PAGE_MISMATCH' WHEN k IN (2, 3) THEN 'CROSS_DOCUMENT_REF' WHEN k = 4 THEN 'UNKNOWN_BLOCK_REF' WHEN k = 5 THEN 'SOURCE_BBOX_OUT_OF_BOUNDS' END AS code FROM r)
+SELECT doc_id, CASE WHEN k = 4 THEN block_id || '?' ELSE block_id END AS block_id, code FROM c WHERE code IS NOT NULL
+UNION ALL SELECT DISTINCT doc_id, NULL, 'DOCUMENT_IR_SOURCE_MISMATCH' FROM r WHERE doc_id % 10 = 0""")
 def v2_lineage_failures(spark, sf_dir):
-    """V2: a reference to every block, some of them wrong."""
+    """V2: a reference to every block: another source or document, an unknown block, ends or starts past the text, other pages, boxes a little outside."""
     bl = b.blocks(spark, sf_dir)
-    k = F.col("ord") % 7
+    k = F.col("ord") % 9
+    known = bl.withColumn("page_index", F.when(k != 7, F.col("page_index")))
     refs = bl.select(
         "doc_id", F.col("block_id").alias("entity_id"), F.when(k == 2, F.lit(-1)).otherwise(F.col("doc_id")).alias("source_id"), (F.col("doc_id") + F.when(k == 3, 1).otherwise(0)).alias("ref_doc_id"),
-        F.when(k == 4, F.concat("block_id", F.lit("?"))).otherwise(F.col("block_id")).alias("block_id"), F.lit(0).alias("char_start"),
-        (F.length("raw_text") + F.when(k == 0, 1).otherwise(0)).alias("char_end"), (F.col("page_index") + F.when(k == 1, 1).otherwise(0)).alias("page_index"), (F.col("x") - F.when(k == 5, 0.5).otherwise(0)).alias("x"), "y", "width", "height")
-    docs = bl.select("doc_id", F.col("doc_id").alias("source_id")).distinct()
-    return ql.lineage_failures(refs, bl, docs).select("doc_id", F.col("entity_id").alias("block_id"), "code")
+        F.when(k == 4, F.concat("block_id", F.lit("?"))).otherwise(F.col("block_id")).alias("block_id"), F.when(k == 6, F.length("raw_text") + 1).when(k != 8, 0).alias("char_start"),
+        F.when(~k.isin(6, 8), F.length("raw_text") + F.when(k == 0, 1).otherwise(0)).alias("char_end"), F.when(k != 8, F.col("page_index") + F.when(k == 1, 1).otherwise(0)).alias("page_index"),
+        F.when(k != 8, F.col("x") - F.when(k == 5, 0.005).otherwise(0)).alias("x"), "y", "width", "height")
+    docs = bl.select("doc_id", F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 10 > 0, F.col("doc_id")).alias("ir_source_id")).distinct()
+    return ql.lineage_failures(refs, known, docs).select("doc_id", "block_id", "code")
 
 
 @query("""WITH c AS (SELECT event_id, event_id % 300 AS a, row_number() OVER (PARTITION BY event_id % 300 ORDER BY ts, event_id) AS n FROM events)
@@ -377,15 +405,18 @@ def st14_routes(spark, sf_dir):
     return rn.route_extraction(d, d.where("n_chars % 3 = 0"), d.where("n_chars % 3 <> 2")).select("doc_id", "route")
 
 
-@query("""WITH r AS (SELECT DISTINCT l_suppkey % 20 AS d, l_orderkey % 50 AS blk, l_linenumber AS s, l_partkey % 40 AS region FROM lineitem WHERE l_linenumber % 2 = 0)
-SELECT d AS doc_id, count(*)::BIGINT AS n FROM (SELECT d, blk, s FROM r GROUP BY 1, 2, 3 HAVING count(DISTINCT region) > 1) GROUP BY 1""".replace("d AS doc_id,", "d AS doc_id, 'OVERLAPPING_OWNERSHIP' AS code,"))
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS d, 'x' || l_partkey % 4 AS region, l_suppkey % 6 AS blk, CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE floor(l_quantity / 30)::INTEGER END AS s, CASE WHEN l_partkey % 5 <> 0 THEN 60 END AS e
+  FROM lineitem WHERE l_returnflag <> 'A'),
+m AS (SELECT d, blk, s, e, list_sort(list(region)) AS rs FROM r GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)
+SELECT m.d AS doc_id, 'OVERLAPPING_OWNERSHIP' AS code, array_to_string(rs, ',') AS owner_id, array_to_string(list_sort(list(DISTINCT r.blk::VARCHAR)), ',') AS block_ids
+FROM m JOIN r ON r.d = m.d AND list_contains(rs, r.region) GROUP BY m.d, m.blk, m.s, m.e, rs""")
 def w16_ownership(spark, sf_dir):
-    """Lines as leaf regions (even numbers) and others; spans with several owners by document."""
-    l = b.table(spark, sf_dir, "lineitem")
-    regions = l.select(
-        (F.col("l_suppkey") % 20).alias("doc_id"), (F.col("l_partkey") % 40).cast("string").alias("region_id"), F.when(F.col("l_linenumber") % 2 == 0, "localOption").otherwise("instruction").alias("role"),
-        F.array(F.struct((F.col("l_orderkey") % 50).cast("string").alias("block_id"), F.col("l_linenumber").alias("char_start"), (F.col("l_linenumber") + 5).alias("char_end"))).alias("sources"))
-    return rc.ownership_conflicts(regions).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+    """Lines as sources of four leaf regions an order (returned ones belong to other roles); some have no start, some no end."""
+    l = b.table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey"))
+    source = F.struct((F.col("l_suppkey") % 6).cast("string").alias("block_id"), F.when(F.col("k") % 3 != 0, F.floor(F.col("l_quantity") / 30)).cast("int").alias("char_start"), F.when(F.col("k") % 5 != 0, 60).alias("char_end"))
+    role = F.when(F.col("l_returnflag") == "A", "instruction").otherwise("localOption").alias("role")
+    regions = l.groupBy(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("x"), F.col("k") % 4).alias("region_id"), role).agg(F.collect_list(source).alias("sources"))
+    return rc.ownership_conflicts(regions).select("doc_id", "code", "owner_id", F.array_join("block_ids", ",").alias("block_ids"))
 
 
 @query("WITH " + b.BLOCKS_SQL + """ SELECT doc_id, 'DANGLING_RELATION' AS code, block_id AS owner_id FROM v_blocks WHERE ord % 5 = 0 OR ord % 7 = 0""")

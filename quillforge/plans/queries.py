@@ -30,6 +30,18 @@ def query(sql: str | None = None):
     return keep
 
 
+def also(name: str):
+    """Registers the query below under a second, earlier name too."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if f.__name__ in ORACLES:
+            ORACLES[name] = ORACLES[f.__name__]
+        return f
+
+    return keep
+
+
 _ITEMS_SQL = "WITH " + b.EXERCISE_TEXTS_SQL + r""",
 norm AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(\p{L})-\r?\n(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g')) AS n FROM v_texts),
 word AS (SELECT doc_id, n, unnest(string_split(n, ' ')) AS w, unnest(range(len(string_split(n, ' ')))) AS i, len(string_split(n, ' ')) AS k FROM norm),
@@ -171,22 +183,14 @@ def s7_rejected(spark, sf_dir):
     return intake.admit(b.sources(spark, sf_dir).drop("page_count"), limits)[1].select(cols).unionByName(intake.admit(raw, limits)[1].select(cols))
 
 
-@query("WITH " + b.SOURCES_SQL + """, k AS (SELECT *, owner_id || substr(doc_id, length(doc_id)) AS key, sha256(text) AS f FROM v_sources),
-w AS (SELECT *, first_value(f) OVER o AS ff, row_number() OVER o AS n FROM k WINDOW o AS (PARTITION BY key ORDER BY created_at, doc_id))
-SELECT doc_id, CASE WHEN n = 1 THEN 'create' WHEN f = ff THEN 'replay' ELSE 'conflict' END AS outcome FROM w""")
-def s8_replays(spark, sf_dir):
-    """S8 with few keys, so that keys repeat inside the batch."""
-    src = b.sources(spark, sf_dir).withColumn("owner_key", F.concat("owner_id", F.substring("doc_id", -1, 1))).withColumn("fingerprint", F.sha2("text", 256))
-    return intake.resolve_replay(src, src.limit(0)).select("doc_id", "outcome")
-
-
-@query("WITH " + b.SOURCES_SQL + """, k AS (SELECT *, owner_id || substr(doc_id, length(doc_id)) AS key, sha256(text) AS f, created_at >= (SELECT min(created_at) + (max(created_at) - min(created_at)) / 2 FROM v_sources) AS late FROM v_sources),
+@also("s8_replays")
+@query("WITH " + b.SOURCES_SQL + """, k AS (SELECT *, CASE WHEN length(text) % 9 > 0 THEN owner_id || substr(doc_id, length(doc_id)) END AS key, sha256(text) AS f, created_at >= (SELECT min(created_at) + (max(created_at) - min(created_at)) / 2 FROM v_sources) AS late FROM v_sources),
 w AS (SELECT *, first_value(f) OVER o AS ff, row_number() OVER o AS n FROM k WINDOW o AS (PARTITION BY key, late ORDER BY created_at, doc_id)),
 s AS (SELECT key, f AS old FROM w WHERE n = 1 AND NOT late)
-SELECT doc_id, late, CASE WHEN n = 1 AND NOT (late AND s.key IS NOT NULL) THEN 'create' WHEN f = CASE WHEN late THEN coalesce(old, ff) ELSE ff END THEN 'replay' ELSE 'conflict' END AS outcome FROM w LEFT JOIN s USING (key)""")
+SELECT doc_id, late, CASE WHEN w.key IS NULL THEN 'missing_key' WHEN n = 1 AND NOT (late AND s.key IS NOT NULL) THEN 'create' WHEN f = CASE WHEN late THEN coalesce(old, ff) ELSE ff END THEN 'replay' ELSE 'conflict' END AS outcome FROM w LEFT JOIN s USING (key)""")
 def s8_stored_replays(spark, sf_dir):
-    """The later half of the sources against what the earlier half has stored; all rows of both."""
-    src = b.sources(spark, sf_dir).withColumn("owner_key", F.concat("owner_id", F.substring("doc_id", -1, 1))).withColumn("fingerprint", F.sha2("text", 256))
+    """The later half of the sources against what the earlier half has stored; all rows of both, some without a key."""
+    src = b.sources(spark, sf_dir).withColumn("owner_key", F.when(F.length("text") % 9 > 0, F.concat("owner_id", F.substring("doc_id", -1, 1)))).withColumn("fingerprint", F.sha2("text", 256))
     lo, hi = F.unix_seconds(F.min("created_at")), F.unix_seconds(F.max("created_at"))
     src = src.crossJoin(F.broadcast(src.agg((lo + (hi - lo) / 2).alias("cut")))).withColumn("late", F.unix_seconds("created_at") >= F.col("cut"))
     early = intake.resolve_replay(src.where("not late"), src.limit(0))
@@ -259,16 +263,7 @@ def h8_response_rows(spark, sf_dir):
     return gr.response_rows(b.responses(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT o_custkey AS attempt_id, o_orderstatus AS lesson, o_orderpriority AS f, o_orderdate AS made, o_orderkey FROM orders),
-w AS (SELECT *, sha256(encode(lesson) || '\\x00'::BLOB || encode(f)) AS p FROM s),
-n AS (SELECT *, row_number() OVER o AS n, first_value(p) OVER o AS fp FROM w WINDOW o AS (PARTITION BY attempt_id ORDER BY made, p))
-SELECT attempt_id, outcome, count(*)::BIGINT AS n FROM (SELECT attempt_id, CASE WHEN n = 1 THEN 'create' WHEN p = fp THEN 'replay' ELSE 'conflict' END AS outcome FROM n) GROUP BY 1, 2""")
-def h9_submissions(spark, sf_dir):
-    """H9 with the customer as attempt id, so that ids repeat."""
-    o = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("attempt_id"), F.col("o_orderstatus").alias("lesson_id"), F.col("o_orderpriority").alias("fingerprint"), F.col("o_orderdate").alias("created_at"))
-    return gr.submit_attempts(o, o.limit(0)).groupBy("attempt_id", "outcome").agg(F.count("*").alias("n"))
-
-
+@also("h9_submissions")
 @query("""WITH s AS (SELECT o_custkey AS attempt_id, o_orderstatus AS lesson, o_orderpriority AS f, o_orderdate AS made, o_orderdate >= TIMESTAMP '1998-01-01' AS late FROM orders),
 w AS (SELECT *, sha256(encode(lesson) || '\\x00'::BLOB || encode(f)) AS p FROM s),
 n AS (SELECT *, row_number() OVER o AS n, first_value(p) OVER o AS fp FROM w WINDOW o AS (PARTITION BY attempt_id, late ORDER BY made, p)),
@@ -330,14 +325,7 @@ def h11_attempt_detail(spark, sf_dir):
     return known.select("attempt_id", "field_id", "answer", "correct", "exercise_id")
 
 
-@query("WITH " + b.RESPONSES_SQL + """, l AS (SELECT attempt_id, field_id, length('+ ' || p_brand || ': ' || text) AS n FROM v_responses) SELECT attempt_id, sum(n + 1)::BIGINT - 1 AS chars FROM l GROUP BY 1 HAVING sum(n + 1) - 1 <= 3900""")
-def h13_reports(spark, sf_dir):
-    """Reports that fit one part hold all their lines."""
-    g = _responses_as_rows(spark, sf_dir)
-    parts = gr.report_parts(g).groupBy("attempt_id").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
-    return parts.where("n = 1").select("attempt_id", "chars")
-
-
+@also("h13_reports")
 @query("WITH " + b.RESPONSES_SQL + """, l AS (SELECT attempt_id, length('+ ' || p_brand || ': ' || text) AS n, field_id, p_brand || ': ' || text AS t FROM v_responses),
 p AS (SELECT attempt_id, field_id, t, unnest(range(0, n, 3900)) AS k, n FROM l), s AS (SELECT attempt_id, list([(k > 0)::BIGINT, least(n - k, 3900)] ORDER BY field_id, t, k) AS steps FROM p GROUP BY 1),
 f AS (SELECT attempt_id, list_reduce(list_prepend([]::BIGINT[], list_transform(steps, lambda x: x::BIGINT[])), lambda a, x:

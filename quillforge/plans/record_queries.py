@@ -181,7 +181,7 @@ def v1_source_refs(spark, sf_dir):
     return asm.collect_refs({"exercise": one, "group": groups}).select("doc_id", "entity_type", "entity_id", "n", "block_id")
 
 
-@query(_BL + """, c AS (SELECT doc_id, max((ord % 7 = 2)::INTEGER) AS a, max((ord % 7 = 3)::INTEGER) AS b, max((ord % 7 = 4)::INTEGER) AS c, max((ord % 7 = 0)::INTEGER) AS d FROM v_blocks GROUP BY 1)
+@query(_BL + """, c AS (SELECT doc_id, (doc_id % 10 = 0)::INTEGER AS a, max((ord % 7 IN (2, 3))::INTEGER) AS b, max((ord % 7 = 4)::INTEGER) AS c, max((ord % 7 = 0)::INTEGER) AS d FROM v_blocks GROUP BY 1)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN a = 1 THEN 'DOCUMENT_IR_SOURCE_MISMATCH' END, CASE WHEN b = 1 THEN 'CROSS_DOCUMENT_REF' END, CASE WHEN c = 1 THEN 'UNKNOWN_BLOCK_REF' END,
   CASE WHEN d = 1 THEN 'SOURCE_RANGE_OUT_OF_BOUNDS' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c""")
 def v3_lineage_reasons(spark, sf_dir):
@@ -191,7 +191,8 @@ def v3_lineage_reasons(spark, sf_dir):
         "doc_id", F.col("block_id").alias("entity_id"), F.when(k == 2, F.lit(-1)).otherwise(F.col("doc_id")).alias("source_id"), (F.col("doc_id") + F.when(k == 3, 1).otherwise(0)).alias("ref_doc_id"),
         F.when(k == 4, F.concat("block_id", F.lit("?"))).otherwise(F.col("block_id")).alias("block_id"), F.lit(0).alias("char_start"),
         (F.length("raw_text") + F.when(k == 0, 1).otherwise(0)).alias("char_end"), (F.col("page_index") + F.when(k == 1, 1).otherwise(0)).alias("page_index"), "x", "y", "width", "height")
-    found = ql.publish_lineage_reasons(refs, df, df.select("doc_id", F.col("doc_id").alias("source_id")).distinct())
+    docs = df.select("doc_id", F.col("doc_id").alias("source_id"), F.when(F.col("doc_id") % 10 > 0, F.col("doc_id")).alias("ir_source_id")).distinct()
+    found = ql.publish_lineage_reasons(refs, df, docs)
     return found.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -285,17 +286,19 @@ def w9_foreign_proposals(spark, sf_dir):
 
 
 @query(_BL + """ SELECT doc_id, 'MIXED_INSTRUCTION_AND_ITEMS' AS code, 'g' || page_index AS owner_id, array_to_string(list_sort(list(DISTINCT block_id)), ',') AS block_ids
-FROM v_blocks WHERE confidence < 0.8 AND length(raw_text) > 2 GROUP BY 1, 3""")
+FROM v_blocks WHERE greatest(CASE WHEN ord % 3 = 1 THEN 0 WHEN confidence < 0.8 THEN 2 ELSE 3 END, CASE WHEN ord % 4 = 3 THEN 4 ELSE 0 END) < least(length(raw_text), CASE WHEN ord % 4 = 3 THEN 6 WHEN ord % 3 = 2 THEN length(raw_text) ELSE 3 END) GROUP BY 1, 3""")
 def w14_mixed_instructions(spark, sf_dir):
-    """Pages as groups; in blocks of low confidence the prompt begins inside the instruction."""
+    """Pages as groups; a third of the prompts and of the instructions are whole blocks, others begin inside, after or before the other one."""
     df = b.blocks(spark, sf_dir).withColumn("group_id", F.concat(F.lit("g"), "page_index"))
-    span = lambda a, e: F.array(F.struct("block_id", a.alias("char_start"), e.alias("char_end")))
-    start = F.when(F.col("confidence") < 0.8, 2).otherwise(3)
-    regions = df.select("doc_id", F.concat(F.lit("i"), "block_id").alias("region_id"), F.lit("instruction").alias("role"), span(F.lit(0), F.least(F.lit(3), F.length("raw_text"))).alias("sources")).unionByName(
-        df.select("doc_id", F.concat(F.lit("p"), "block_id").alias("region_id"), F.lit("exercisePrompt").alias("role"), span(start, F.length("raw_text")).alias("sources")))
+    span = lambda a, e: F.array(F.struct("block_id", a.cast("int").alias("char_start"), e.cast("int").alias("char_end")))
+    inner = F.col("ord") % 4 == 3
+    begin, end = F.when(inner, 4), F.when(inner, 6).when(F.col("ord") % 3 != 2, 3)
+    start = F.when(F.col("ord") % 3 != 1, F.when(F.col("confidence") < 0.8, 2).otherwise(3))
+    regions = df.select("doc_id", F.concat(F.lit("i"), "block_id").alias("region_id"), F.lit("instruction").alias("role"), span(begin, end).alias("sources")).unionByName(
+        df.select("doc_id", F.concat(F.lit("p"), "block_id").alias("region_id"), F.lit("exercisePrompt").alias("role"), span(start, F.lit(None)).alias("sources")))
     groups = df.select("doc_id", "group_id", F.array(F.concat(F.lit("i"), "block_id")).alias("region_ids"))
     exercises = df.select("doc_id", "group_id", F.concat(F.lit("x"), "block_id").alias("exercise_id"), F.array(F.concat(F.lit("p"), "block_id")).alias("prompt_region_ids"))
-    return rc.mixed_instruction(groups, exercises, regions).select("doc_id", "code", "owner_id", F.array_join("block_ids", ",").alias("block_ids"))
+    return rc.mixed_instruction(groups, exercises, regions, df).select("doc_id", "code", "owner_id", F.array_join("block_ids", ",").alias("block_ids"))
 
 
 @query("""WITH b AS (SELECT DISTINCT l_orderkey AS d, l_linenumber AS i FROM lineitem WHERE l_linestatus = 'O'), o AS (SELECT l_orderkey AS d, l_linenumber AS i, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2)
@@ -352,31 +355,54 @@ def r4_created_exercises(spark, sf_dir):
     return rv.apply_exercise_creates(exercises, creates)[0].select("group_id", "exercise_id", "ord", "kind", "prompt", F.array_join("options", ",").alias("options"))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS r, l_linenumber AS c, bool_or(l_linestatus = 'F' AND l_returnflag = 'R') AS decided FROM lineitem WHERE l_quantity > 5 GROUP BY 1, 2),
-d AS (SELECT l_orderkey AS r, l_linenumber AS c, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_quantity, l_extendedprice) AS n FROM lineitem WHERE l_linestatus = 'O'),
-m AS (SELECT c.r, decided, CASE WHEN NOT decided THEN CASE f WHEN 'A' THEN 'exclude' ELSE 'classify' END END AS action, f FROM c LEFT JOIN d ON c.r = d.r AND c.c = d.c AND n = 1),
-s AS (SELECT r, count(*) AS n, count(*) FILTER (decided OR f IS NOT NULL) AS k, count(*) FILTER (f IS NOT NULL AND action = 'exclude') AS x FROM m GROUP BY 1)
-SELECT r AS review_id, n::BIGINT AS n, k::BIGINT AS n_decided, x::BIGINT AS n_excluded, CASE WHEN x = n THEN 'rejectedAllExcluded' WHEN k = n THEN 'resolved' ELSE 'active' END AS status FROM s""")
+_REVIEWS_SQL = """WITH c AS (SELECT DISTINCT l_orderkey AS r, l_linenumber AS c FROM lineitem WHERE l_quantity > 5),
+d AS (SELECT l_orderkey AS r, l_linenumber AS c, l_partkey, CASE WHEN l_returnflag = 'N' THEN 2 ELSE 1 END AS sub, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag = 'N', l_shipdate, l_partkey, l_quantity, l_extendedprice) AS n,
+  first_value(l_returnflag = 'N') OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_returnflag = 'N', l_shipdate, l_partkey, l_quantity, l_extendedprice) AS f, l_shipdate, l_quantity,
+  CASE WHEN l_suppkey % 3 = 0 THEN 'exclude' WHEN l_suppkey % 3 = 1 THEN 'mark' ELSE 'classify' END AS action, l_suppkey % 2 = 0 AS ref, CASE WHEN l_partkey % 2 = 0 THEN 'singleChoice' ELSE 'shortText' END AS kind FROM lineitem WHERE l_partkey % 8 > 0),
+k AS (SELECT d.*, c.r IS NOT NULL AS known, CASE WHEN c.r IS NULL THEN 'UNKNOWN_CANDIDATE' WHEN n > 1 AND sub = 2 AND NOT f THEN 'ALREADY_DECIDED' WHEN n > 1 THEN 'DUPLICATE_DECISION' END AS code FROM d LEFT JOIN c ON c.r = d.r AND c.c = d.c),
+s AS (SELECT c.r, count(*) AS n, count(action) AS k, count(*) FILTER (action = 'classify') AS x, count(*) FILTER (action = 'exclude') AS e FROM c LEFT JOIN (SELECT * FROM k WHERE code IS NULL) k ON k.r = c.r AND k.c = c.c GROUP BY 1),
+t AS (SELECT *, CASE WHEN n = k AND x > 0 THEN 'resolved' ELSE 'active' END AS status, CASE WHEN n = k AND x = 0 THEN 'ZERO_VALID_GROUP' END AS code FROM s) """
+
+
+@query(_REVIEWS_SQL + "SELECT r AS review_id, n::BIGINT AS n, k::BIGINT AS n_decided, x::BIGINT AS n_classified, e::BIGINT AS n_excluded, status, code FROM t")
 def r9_review_states(spark, sf_dir):
-    """Orders as layout reviews, their lines as candidates, open lines as decisions on them; the state of each review."""
-    return _layout_decisions(spark, sf_dir)[2]
+    """Orders as layout reviews, their lines as candidates and as decisions in two submissions; the state of each review."""
+    return _layout_decisions(spark, sf_dir)[1][2]
 
 
-@query("""WITH c AS (SELECT l_orderkey AS r, l_linenumber AS c, bool_or(l_linestatus = 'F' AND l_returnflag = 'R') AS decided FROM lineitem WHERE l_quantity > 5 GROUP BY 1, 2),
-d AS (SELECT l_orderkey AS r, l_linenumber AS c, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_quantity, l_extendedprice) AS n FROM lineitem WHERE l_linestatus = 'O'),
-k AS (SELECT d.r, d.c, CASE WHEN c.r IS NULL THEN 'UNKNOWN_CANDIDATE' WHEN decided THEN 'ALREADY_DECIDED' WHEN n > 1 THEN 'DUPLICATE_DECISION' END AS code FROM d LEFT JOIN c ON c.r = d.r AND c.c = d.c)
-SELECT r AS review_id, c AS candidate_id, code, count(*)::BIGINT AS n FROM k WHERE code IS NOT NULL GROUP BY 1, 2, 3""")
+@query(_REVIEWS_SQL + "SELECT r AS review_id, c AS candidate_id, code, count(*)::BIGINT AS n FROM k WHERE code IS NOT NULL GROUP BY 1, 2, 3")
 def r9_rejected_decisions(spark, sf_dir):
-    """Decisions on unknown or decided candidates, and those after the first."""
-    return _layout_decisions(spark, sf_dir)[1].groupBy("review_id", "candidate_id", "code").agg(F.count("*").alias("n"))
+    """Decisions on unknown candidates, and those after the first of the same or an earlier submission."""
+    return _layout_decisions(spark, sf_dir)[1][1].groupBy("review_id", "candidate_id", "code").agg(F.count("*").alias("n"))
+
+
+@query(_REVIEWS_SQL + """, g AS (SELECT k.*, row_number() OVER (PARTITION BY k.r ORDER BY sub, l_shipdate, k.c, l_partkey, l_quantity) AS p FROM k JOIN t ON t.r = k.r AND status = 'resolved' WHERE k.code IS NULL),
+lost AS (SELECT DISTINCT r FROM g WHERE action = 'classify' AND kind = 'singleChoice' AND c = 7)
+SELECT r AS review_id, string_agg(c || ':' || kind || ':' || CASE WHEN kind = 'singleChoice' THEN 'Pick ___ line ' || c || '|first,second' ELSE 'Pick line ' || c || CASE WHEN c = 7 THEN '' ELSE ' a) first b) second' END || '|' END, ';' ORDER BY p) FILTER (action = 'classify') AS exercises,
+  coalesce(string_agg(c::VARCHAR, ',' ORDER BY p) FILTER (action = 'mark' AND ref), '') AS reference_blocks, string_agg(c || CASE action WHEN 'classify' THEN ':exercise' ELSE ':decision' END, ',' ORDER BY p) AS coverage,
+  count(*)::INTEGER AS n_accounted, count(*) FILTER (action = 'classify')::BIGINT AS n_issues FROM g WHERE r NOT IN (SELECT r FROM lost) GROUP BY 1""")
+def r9_layout_drafts(spark, sf_dir):
+    """The drafts of resolved reviews, with exercises, reference blocks, coverage and the number of issues; a choice without options loses its review's draft."""
+    candidates, (good, _, states) = _layout_decisions(spark, sf_dir)
+    drafts, issues, _ = rv.layout_drafts(candidates, good, states, "Do the tasks.")
+    tail = lambda c: F.split(c, ":")[1]
+    made = F.transform("exercises", lambda x: F.concat_ws(":", tail(x["exercise_id"]), x["kind"], F.concat(x["prompt"], F.lit("|"), F.array_join(x["options"], ","))))
+    entries = F.transform("coverage", lambda x: F.concat_ws(":", tail(x["candidate"]), x["kind"]))
+    n = issues.groupBy("review_id").agg(F.count("*").alias("n_issues"))
+    return drafts.join(n, "review_id").select(
+        "review_id", F.array_join(made, ";").alias("exercises"), F.array_join(F.transform("reference_blocks", lambda x: tail(x["block_id"])), ",").alias("reference_blocks"),
+        F.array_join(entries, ",").alias("coverage"), "n_accounted", "n_issues")
 
 
 def _layout_decisions(spark, sf_dir):
     l = b.table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "review_id", "l_linenumber": "candidate_id"})
-    candidates = l.where("l_quantity > 5").groupBy("review_id", "candidate_id").agg(F.bool_or((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")).alias("decided"))
-    decisions = l.where("l_linestatus = 'O'").select(
-        "review_id", "candidate_id", F.struct("l_shipdate", "l_partkey", "l_quantity", "l_extendedprice").alias("seq"), F.when(F.col("l_returnflag") == "A", "exclude").otherwise("classify").alias("action"), F.lit("shortText").alias("kind"))
-    return rv.apply_layout_decisions(l.select("review_id").distinct(), candidates, decisions)
+    prompt = F.when(F.col("candidate_id") == 7, F.lit("Pick line 7")).otherwise(F.concat(F.lit("1. Pick\tline "), "candidate_id", F.lit(" \na) first\nb) second")))
+    candidates = l.where("l_quantity > 5").select("review_id", "candidate_id").distinct().withColumn("raw_prompt", prompt)
+    decisions = l.where("l_partkey % 8 > 0").select(
+        "review_id", "candidate_id", F.when(F.col("l_returnflag") == "N", 2).otherwise(1).alias("submission"), F.struct("l_shipdate", "candidate_id", "l_partkey", "l_quantity", "l_extendedprice").alias("seq"),
+        F.concat_ws(":", "candidate_id", "l_partkey").alias("decision_id"), F.when(F.col("l_suppkey") % 3 == 0, "exclude").when(F.col("l_suppkey") % 3 == 1, "mark").otherwise("classify").alias("action"),
+        F.when(F.col("l_suppkey") % 2 == 0, "reference").otherwise("example").alias("outcome"), F.when(F.col("l_partkey") % 2 == 0, "singleChoice").otherwise("shortText").alias("kind"))
+    return candidates, rv.apply_layout_decisions(l.select("review_id").distinct(), candidates, decisions)
 
 
 @query("""SELECT DISTINCT o_custkey AS run_id FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""")

@@ -108,17 +108,19 @@ def admit(df: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFram
 
 
 def resolve_replay(incoming: DataFrame, existing: DataFrame, key: str = "owner_key", fingerprint: str = "fingerprint", order: tuple[str, ...] = ("created_at", "doc_id")) -> DataFrame:
-    """``outcome`` create, replay or conflict for every incoming row.
+    """``outcome`` create, replay or conflict for every incoming row, and missing_key for rows without a key.
 
     The first row of a key in the batch stands for it if nothing is stored under the key.
     """
+    bare = incoming.where(F.col(key).isNull()).withColumn("outcome", F.lit("missing_key"))
+    incoming = incoming.where(F.col(key).isNotNull())
     first = incoming.groupBy(key).agg(F.min_by(F.struct(fingerprint, *order), F.struct(*order)).alias("__first"))
     stored = existing.groupBy(key).agg(F.min(fingerprint).alias("__stored"))
     joined = incoming.join(first, key).join(stored, key, "left")
     leads = F.struct(fingerprint, *order) == F.col("__first")
     known = F.coalesce(F.col("__stored"), F.col(f"__first.{fingerprint}"))
     outcome = F.when(F.col("__stored").isNull() & leads, "create").when(known == F.col(fingerprint), "replay").otherwise("conflict")
-    return joined.withColumn("outcome", outcome).drop("__first", "__stored")
+    return joined.withColumn("outcome", outcome).drop("__first", "__stored").unionByName(bare)
 
 
 def new_rows(df: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
