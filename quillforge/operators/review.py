@@ -190,12 +190,13 @@ def candidates_to_exercises(candidates: DataFrame) -> DataFrame:
     """A candidate's raw prompt as an exercise of its ``kind``.
 
     Choices: the lines before the first labelled one are the prompt, in which tabs become a gap unless there is one already; the labelled
-    lines are the options; no prompt or fewer than two options is an error.  Other kinds keep the whole prompt, cleaned.
+    lines are the options; no prompt or fewer than two options is an error.  Without a labelled line all lines are the prompt.  Other kinds keep the
+    whole prompt, cleaned.
     """
     lines = F.transform(F.split("raw_prompt", "\r?\n"), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
     label = r"(?iu)^[a-zа-яё][.)]?\s+"
     df = candidates.withColumn("l", lines).withColumn("at", F.array_position(F.transform("l", lambda x: x.rlike(label)), True).cast("int"))
-    head = F.slice("l", 1, F.greatest(F.col("at") - 1, F.lit(0)))
+    head = F.slice("l", 1, F.when(F.col("at") == 0, F.size("l")).otherwise(F.col("at") - 1))
     stem = F.array_join(head, " ")
     stem = clean_prompt(F.regexp_replace(stem, "\t+", F.when(F.contains(stem, F.lit("___")), " ").otherwise(" ___ ")))
     tail = F.filter(F.slice("l", F.greatest(F.col("at"), F.lit(1)), F.size("l")), lambda x: x.rlike(label + "."))

@@ -22,16 +22,38 @@ def test_answers_in_compatibility_form(spark):
     assert got == {i: ok for i, (_, _, ok) in enumerate(rows)}
 
 
-def test_overlap_pairs_name_every_exercise_that_overlaps(spark):
+def test_overlap_pairs_are_all_listed(spark):
     rng = random.Random(5)
-    spans = [(d, f"x{rng.randrange(6)}", f"r{d}:{i}", "b", s := rng.randrange(60), s + rng.randint(1, 12)) for d in range(40) for i in range(9)]
+    size = 70
+    spans = []
+    for d in range(40):
+        for i in range(9):
+            s = rng.randrange(60)
+            start, end = (None if rng.random() < 0.2 else s), (None if rng.random() < 0.2 else s + rng.randint(1, 12))
+            spans.append((d, f"x{rng.randrange(6)}", f"r{d}:{i}", rng.choice(["b", "c", "gone"]), start, end))
     ex = spark.createDataFrame([(d, e, [r]) for d, e, r, *_ in spans], "doc_id int, exercise_id string, prompt_region_ids array<string>")
     rows = [(d, r, [(b, s, e)]) for d, _, r, b, s, e in spans]
     regions = spark.createDataFrame(rows, "doc_id int, region_id string, sources array<struct<block_id:string,char_start:int,char_end:int>>")
-    found = [(r.doc_id, r.owner_id, r.other_id) for r in rc.overlapping_prompts(ex, regions).collect()]
-    want = {(d, x, y) for d, x, _, _, s, e in spans for c, y, _, _, t, f in spans if d == c and x < y and max(s, t) < min(e, f)}
-    assert set(found) <= want and len(found) == len(set(found))
-    assert {(d, x) for d, a, b in found for x in (a, b)} == {(d, x) for d, a, b in want for x in (a, b)}
+    blocks = spark.createDataFrame([(d, b, "t" * size) for d in range(40) for b in "bc"], "doc_id int, block_id string, raw_text string")
+    found = [(r.doc_id, r.owner_id, r.other_id, tuple(r.block_ids)) for r in rc.overlapping_prompts(ex, regions, blocks).collect()]
+    want = {}
+    full = [(d, x, b, s or 0, size if e is None else e) for d, x, _, b, s, e in spans if b != "gone"]
+    for d, x, b, s, e in full:
+        for c, y, o, t, f in full:
+            if d == c and b == o and x < y and max(s, t) < min(e, f):
+                want.setdefault((d, x, y), set()).add(b)
+    assert sorted(found) == sorted((*k, tuple(sorted(v))) for k, v in want.items())
+
+
+def test_whole_block_sources_overlap_each_other_and_instructions(spark):
+    regions = spark.createDataFrame(
+        [(1, "i", "instruction", [("b", None, None)]), (1, "p", "exercisePrompt", [("b", None, None)]), (1, "q", "exercisePrompt", [("b", 3, None)]), (1, "z", "exercisePrompt", [("c", None, None)])],
+        "doc_id int, region_id string, role string, sources array<struct<block_id:string,char_start:int,char_end:int>>")
+    ex = spark.createDataFrame([(1, "e", "g", ["p"]), (1, "f", "h", ["q"]), (1, "k", "h", ["z"])], "doc_id int, exercise_id string, group_id string, prompt_region_ids array<string>")
+    groups = spark.createDataFrame([(1, "g", ["i"]), (1, "h", [])], "doc_id int, group_id string, region_ids array<string>")
+    blocks = spark.createDataFrame([(1, "b", "some text"), (1, "c", "")], "doc_id int, block_id string, raw_text string")
+    assert [(r.owner_id, r.other_id) for r in rc.overlapping_prompts(ex, regions, blocks).collect()] == [("e", "f")]
+    assert [(r.owner_id, r.block_ids) for r in rc.mixed_instruction(groups, ex, regions, blocks).collect()] == [("g", ["b"])]
 
 
 def test_blocks_within_half_a_unit_are_one_line(spark):

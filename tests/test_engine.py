@@ -114,17 +114,51 @@ def test_reviews(spark):
     assert {(b.field_id, b.code) for b in bad.collect()} == {("f2", "UNKNOWN_FIELD"), ("f1", "BLANK_VALUE")}
 
 
-def test_batches_stay_in_bounds(spark):
+def _batches(exercises, bound=64):
+    """First-fit decreasing of groups, exercises kept whole, by plain loops."""
+    groups, units, batches = {}, [], []
+    for g, x, _, n in sorted(exercises, key=lambda r: r[2]):
+        groups.setdefault(g, []).append((x, n))
+    for g, xs in groups.items():
+        if sum(n for _, n in xs) <= bound:
+            units.append([(g, x, 0, n) for x, n in xs])
+            continue
+        unit = []
+        for x, n in xs:
+            for first in range(0, n, bound):
+                piece = (g, x, first, min(bound, n - first))
+                if unit and sum(p[3] for p in unit) + piece[3] > bound:
+                    units.append(unit)
+                    unit = []
+                unit.append(piece)
+        units.append(unit)
+    for unit in sorted(units, key=lambda u: -sum(p[3] for p in u)):
+        size = sum(p[3] for p in unit)
+        place = next((b for b in batches if sum(p[3] for p in b) + size <= bound), None)
+        if place is None:
+            batches.append(place := [])
+        place.extend(unit)
+    return {frozenset(b) for b in batches}
+
+
+def test_batches_keep_exercises_whole(spark):
     rng = random.Random(1)
-    units = spark.createDataFrame([(d, f"g{i}", rng.randint(1, 150)) for d in range(5) for i in range(20)], "draft_id int, group_id string, n_fields int")
-    got = pl.pack_batches(units).collect()
-    load, whole = {}, {(r.draft_id, r.group_id): r.n_fields for r in units.collect()}
-    for r in got:
-        load[r.draft_id, r.batch] = load.get((r.draft_id, r.batch), 0) + r.n_fields
-    assert max(load.values()) <= 64
-    for (d, g), n in whole.items():
-        parts = [r for r in got if (r.draft_id, r.group_id) == (d, g)]
-        assert sum(p.n_fields for p in parts) == n and (n > 64 or len(parts) == 1)
+    rows = [(d, f"g{rng.randrange(9)}", f"x{d}:{i}", i, rng.choice([1, 3, 5, 20, 40, 63, 64, 65, 150])) for d in range(8) for i in range(30)]
+    got = pl.pack_batches(spark.createDataFrame(rows, "draft_id int, group_id string, exercise_id string, ord int, n_fields int")).collect()
+    for d in range(8):
+        own = {}
+        for r in got:
+            if r.draft_id == d:
+                own.setdefault(r.batch, set()).add((r.group_id, r.exercise_id, r.first, r.n_fields))
+        assert max(sum(p[3] for p in b) for b in own.values()) <= 64
+        assert {frozenset(b) for b in own.values()} == _batches([r[1:] for r in rows if r[0] == d])
+
+
+def test_equal_groups_go_by_appearance(spark):
+    rows = [(1, "z", "x1", 1, 40), (1, "a", "x2", 2, 40), (1, "m", "x3", 3, 24)]
+    got = pl.pack_batches(spark.createDataFrame(rows, "draft_id int, group_id string, exercise_id string, ord int, n_fields int")).collect()
+    batch = {r.group_id: r.batch for r in got}
+    assert batch["z"] < batch["a"] and batch["m"] == batch["z"]
 
 
 def test_redaction(spark):

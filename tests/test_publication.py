@@ -102,14 +102,38 @@ def test_gate_and_versions(spark):
     assert {(r.lesson_id, r.draft_id) for r in latest.collect()} == {("l1", "d4"), ("l3", "d3")}
 
 
+DECISIONS = "review_id string, candidate_id string, submission int, seq int, action string, kind string, outcome string, decision_id string"
+
+
 def test_layout_decisions(spark):
-    reviews = spark.createDataFrame([("r",), ("s",)], "review_id string")
-    cands = spark.createDataFrame([("r", "c1", False), ("r", "c2", True), ("s", "c3", False)], "review_id string, candidate_id string, decided boolean")
-    dec = spark.createDataFrame([("r", "c1", 1, "classify", "shortText"), ("r", "c1", 2, "exclude", None), ("r", "c2", 3, "mark", None), ("r", "cx", 4, "mark", None), ("s", "c3", 5, "exclude", None)],
-                                "review_id string, candidate_id string, seq int, action string, kind string")
+    reviews = spark.createDataFrame([("r",), ("s",), ("t",), ("u",)], "review_id string")
+    cands = spark.createDataFrame([("r", "c1"), ("r", "c2"), ("s", "c3"), ("s", "c4"), ("t", "c5"), ("u", "c6"), ("u", "c7")], "review_id string, candidate_id string")
+    dec = spark.createDataFrame(
+        [("r", "c1", 1, 1, "classify", "shortText", None, "d1"), ("r", "c1", 1, 2, "exclude", None, None, "d2"), ("r", "c2", 2, 1, "mark", None, "reference", "d3"),
+         ("r", "c1", 2, 2, "mark", None, "reference", "d4"), ("r", "cx", 2, 3, "mark", None, "reference", "d5"), ("s", "c3", 1, 1, "exclude", None, None, "d6"),
+         ("s", "c4", 2, 1, "exclude", None, None, "d7"), ("t", "c5", 1, 1, "mark", None, "reference", "d8"), ("u", "c6", 1, 1, "classify", "shortText", None, "d9")], DECISIONS)
     good, bad, state = rv.apply_layout_decisions(reviews, cands, dec)
-    assert {(r.candidate_id, r.code) for r in bad.collect()} == {("c1", "DUPLICATE_DECISION"), ("c2", "ALREADY_DECIDED"), ("cx", "UNKNOWN_CANDIDATE")}
-    assert {r.review_id: r.status for r in state.collect()} == {"r": "resolved", "s": "rejectedAllExcluded"} and good.count() == 2
+    assert {(r.decision_id, r.code) for r in bad.collect()} == {("d2", "DUPLICATE_DECISION"), ("d4", "ALREADY_DECIDED"), ("d5", "UNKNOWN_CANDIDATE")}
+    assert {r.review_id: (r.status, r.code) for r in state.collect()} == {
+        "r": ("resolved", None), "s": ("active", "ZERO_VALID_GROUP"), "t": ("active", "ZERO_VALID_GROUP"), "u": ("active", None)}
+    assert {r.decision_id for r in good.collect()} == {"d1", "d3", "d6", "d7", "d8", "d9"}
+
+
+def test_a_resolved_review_becomes_a_draft(spark):
+    reviews = spark.createDataFrame([("r",), ("s",)], "review_id string")
+    cands = spark.createDataFrame([("r", "c1", "1. Name a   river ."), ("r", "c2", "A table"), ("r", "c3", "page 4"), ("s", "c4", "Pick one")], "review_id string, candidate_id string, raw_prompt string")
+    dec = spark.createDataFrame([("r", "c2", 1, 1, "mark", None, "reference", "d1"), ("r", "c1", 2, 1, "classify", "shortText", None, "d2"), ("r", "c3", 2, 2, "exclude", None, None, "d3"),
+                                 ("s", "c4", 1, 1, "classify", "singleChoice", None, "d4")], DECISIONS)
+    good, _, state = rv.apply_layout_decisions(reviews, cands, dec)
+    drafts, issues, bad = rv.layout_drafts(cands, good, state, "Answer.")
+    d, = drafts.collect()
+    assert d.review_id == "r" and [(x.exercise_id, x.ord, x.prompt, x.decision_id) for x in d.exercises] == [("candidate:c1:exercise", 1, "Name a river.", "d2")]
+    assert [(x.block_id, x.ord, x.raw_text, x.decision_id) for x in d.reference_blocks] == [("candidate:c2:reference", 1, "A table", "d1")]
+    assert [(x.candidate, x.kind, x.entity_id) for x in d.coverage] == [
+        ("candidate:c2", "decision", "d1"), ("candidate:c1", "exercise", "candidate:c1:exercise"), ("candidate:c3", "decision", "d3")]
+    assert (d.n_detected, d.n_accounted, d.n_additions) == (3, 3, 0)
+    assert [(r.code, r.entity_id) for r in issues.collect()] == [("ANSWER_UNVERIFIED", "candidate:c1:answer:1")]
+    assert [(r.review_id, r.candidate_id, r.code) for r in bad.collect()] == [("s", "c4", "TOO_FEW_OPTIONS")]
 
 
 def test_candidates(spark):
