@@ -68,11 +68,11 @@ def test_window_tokens_and_errors(spark):
 
 
 def test_grading_mixed_attempt(spark):
-    fields = spark.createDataFrame([(1, 1, "g", "e1", None, "f1", 1, "choice", ["B"]), (1, 1, "g", "e1", None, "f2", 2, "text", ["Do you wear"]), (1, 1, "g", "e1", None, "f3", 3, "text", ["wore"])],
+    fields = spark.createDataFrame([(1, 1, "g", "e1", None, "f1", 1, "choice", ["B"]), (1, 1, "g", "e1", None, "f2", 2, "text", ["Is it raining"]), (1, 1, "g", "e1", None, "f3", 3, "text", ["wore"])],
                                    "lesson_id int, lesson_version int, group_id string, exercise_id string, resource_id string, field_id string, ord int, kind string, accepted array<string>")
     options = spark.createDataFrame([("e1", "o1", "A"), ("e1", "o2", "B")], "exercise_id string, option_id string, value string")
     attempts = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 2)], "attempt_id int, lesson_id int, lesson_version int")
-    responses = spark.createDataFrame([(1, "f1", "choice", None, "o2", None), (1, "f2", "text", "DO YOU WEAR?", None, None), (1, "f3", "text", "wrong", None, None), (2, "fx", "text", "?", None, None)],
+    responses = spark.createDataFrame([(1, "f1", "choice", None, "o2", None), (1, "f2", "text", "IS IT RAINING?", None, None), (1, "f3", "text", "wrong", None, None), (2, "fx", "text", "?", None, None)],
                                       "attempt_id int, field_id string, kind string, text string, option_id string, tokens array<string>")
     graded = gr.graded_fields(attempts, fields, responses, options)
     assert {r.field_id: (r.correct, r.shown) for r in graded.where("attempt_id = 1").collect()} == {"f1": (True, None), "f2": (True, None), "f3": (False, ["wore"])}

@@ -11,22 +11,22 @@ def one(spark, text, f):
 
 
 def test_normalize(spark):
-    raw = "She (to\nstudy) every day. mem-\nbers   "
-    assert one(spark, raw, tx.normalize_text) == "She (to study) every day. members"
-    assert one(spark, one(spark, raw, tx.normalize_text), tx.normalize_text) == "She (to study) every day. members"
+    raw = "Our cat (to\nsleep) near a win-\ndow   "
+    assert one(spark, raw, tx.normalize_text) == "Our cat (to sleep) near a window"
+    assert one(spark, one(spark, raw, tx.normalize_text), tx.normalize_text) == "Our cat (to sleep) near a window"
 
 
 def test_span_map(spark):
-    raw = "She (to\nstudy) every day. mem-\nbers"
+    raw = "Our cat (to\nsleep) near a win-\ndow"
     docs = spark.createDataFrame([(1, raw)], "doc_id bigint, text string")
     spans = bl.span_map(docs)
     norm = one(spark, raw, tx.normalize_text)
-    at = norm.index("members")
-    got = bl.map_range(spark.createDataFrame([(1, at, at + 7)], "doc_id bigint, start int, end int"), spans).first()
-    assert raw[got.raw_start : got.raw_end] == "mem-\nbers"
+    at = norm.index("window")
+    got = bl.map_range(spark.createDataFrame([(1, at, at + 6)], "doc_id bigint, start int, end int"), spans).first()
+    assert raw[got.raw_start : got.raw_end] == "win-\ndow"
 
 
-@pytest.mark.parametrize("a,b,same", [("DO YOU WEAR?", "Do you wear", True), ("don’t go!!", "do not go", True), ("He can't", "he cannot", True), ("wore", "wear", False)])
+@pytest.mark.parametrize("a,b,same", [("IS IT RAINING?", "Is it raining", True), ("don’t go!!", "do not go", True), ("He can't", "he cannot", True), ("wore", "wear", False)])
 def test_answers(spark, a, b, same):
     df = spark.createDataFrame([(a, [b])], "t string, acc array<string>")
     assert df.select(tx.matches_any(F.col("t"), F.col("acc")).alias("m")).first().m is same
@@ -64,12 +64,12 @@ def test_blanks(spark):
 
 
 def test_items_fields_truncation(spark):
-    text = "Do it.\n1. She (to\nstudy) and (go) home. 7. no 2. He ... fast. 3. They (run away"
+    text = "Do it.\n1. We (to\nlisten) and (go) home. 7. no 2. He ... fast. 3. They (run away"
     items, fields, coverage = ex.extract_text(spark.createDataFrame([(1, text), (2, None), (3, "no items")], "doc_id bigint, text string"))
     assert [(r.ordinal, r.source_prompt) for r in items.orderBy("ordinal").collect()] == [
-        (1, "She (to study) and (go) home. 7. no"), (2, "He ... fast."), (3, "They (run away")]
+        (1, "We (to listen) and (go) home. 7. no"), (2, "He ... fast."), (3, "They (run away")]
     assert [(r.field_id, r.source_value) for r in fields.orderBy("field_id").collect()] == [
-        ("group:1:item:1:answer:1", "to study"), ("group:1:item:1:answer:2", "go"), ("group:1:item:2:answer:1", "...")]
+        ("group:1:item:1:answer:1", "to listen"), ("group:1:item:1:answer:2", "go"), ("group:1:item:2:answer:1", "...")]
     got = {r.doc_id: (r.n_items, r.n_fields, r.truncated) for r in coverage.collect()}
     assert got == {1: (3, 3, True), 2: (0, 0, False), 3: (0, 0, False)}
 
