@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -139,6 +141,75 @@ def append_new(df: DataFrame, path: str, keys: list[str], partition_by: tuple[st
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+class CommitLog:
+    """Numbered commits in a folder of a shared or local file system; a number belongs to the writer that links it first.
+
+    Other stores need an object with the same two methods, over what they offer for create-if-absent.
+    """
+
+    def __init__(self, folder: str):
+        self._folder = folder.removeprefix("file://")
+        os.makedirs(self._folder, exist_ok=True)
+
+    def batches(self) -> list[str]:
+        """Batches in the order of their commits."""
+        names = sorted((n for n in os.listdir(self._folder) if n.isdigit()), key=int)
+        return [open(os.path.join(self._folder, n)).read() for n in names]
+
+    def claim(self, number: int, batch: str) -> bool:
+        """Takes a number for a batch; false if another writer has it."""
+        own = os.path.join(self._folder, f"_{uuid.uuid4().hex}")
+        with open(own, "w") as f:
+            f.write(batch)
+        try:
+            os.link(own, os.path.join(self._folder, f"{number:020d}"))
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(own)
+
+
+def _batch_rows(spark: SparkSession, path: str, batches: list[str], schema: T.StructType) -> DataFrame:
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{name}" for name in batches])
+
+
+def committed_rows(spark: SparkSession, path: str, schema: T.StructType, log=None) -> DataFrame:
+    """The rows of all committed batches of ``commit_new``; what a writer left behind uncommitted is not read."""
+    return _batch_rows(spark, path, (log or CommitLog(f"{path}/_log")).batches(), schema)
+
+
+def commit_new(df: DataFrame, path: str, keys: list[str], log=None) -> int:
+    """Append-only sink for writers at the same time: each key is stored once, by the writer that commits first.
+
+    Rows are written under a name of their own, then the next number of the log is claimed for them.  If another writer was faster,
+    only the keys of its batches are taken out of the written rows, and the next number is tried.  A writer that is lost leaves files that no
+    reader sees; one that repeats its batch adds nothing.  Returns the number of the commit, or -1 if no row was new.
+    A null key is a key like any other.
+    """
+    spark, log = df.sparkSession, log or CommitLog(f"{path}/_log")
+    seen: list[str] = []
+    rows = df.dropDuplicates(keys)
+    while True:
+        batches = log.batches()
+        fresh = batches[len(seen):]
+        if fresh:
+            stored = _batch_rows(spark, path, fresh, df.schema).select([F.col(k).alias(f"__{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            rows = rows.join(stored, same, "left_anti")
+        if fresh or not seen:
+            name = f"batch-{uuid.uuid4().hex}"
+            rows.write.parquet(f"{path}/{name}")
+            rows = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+            if rows.isEmpty():
+                return -1
+        seen = batches
+        if log.claim(len(seen), name):
+            return len(seen)
+
+
 def scope(df: DataFrame, owner: str) -> DataFrame:
     """Rows of one owner."""
     return df.where(F.col("owner_id") == owner)

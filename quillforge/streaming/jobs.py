@@ -27,35 +27,49 @@ def use_rocksdb(spark) -> None:
 class _Attempts(StatefulProcessor):
     """The first fingerprint of each attempt id; later rows are replays or conflicts."""
 
+    def __init__(self, keep_ms: int):
+        self._keep = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._first = handle.getValueState("first", "fingerprint string", 7 * 24 * 3600 * 1000)
+        self._handle = handle
+        self._first = handle.getValueState("first", "fingerprint string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self._first.get()[0] if self._first.exists() else None
         for part in rows:
-            part = part.sort_values("created_at")
+            part = part.sort_values(["created_at", "fingerprint"])
             out = []
-            for fingerprint in part["fingerprint"]:
+            for fingerprint, at in zip(part["fingerprint"], part["created_at"]):
                 if known is None:
                     known = fingerprint
                     self._first.update((known,))
+                    self._handle.registerTimer(_millis(at) + self._keep)
                     out.append("create")
                 else:
                     out.append("replay" if fingerprint == known else "conflict")
             yield pd.DataFrame({"attempt_id": key[0], "fingerprint": part["fingerprint"].to_numpy(), "outcome": out})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._first.clear()
+        yield pd.DataFrame({"attempt_id": pd.Series(dtype="int64"), "fingerprint": pd.Series(dtype="str"), "outcome": pd.Series(dtype="str")})
+
     def close(self) -> None:
         pass
 
 
-def dedupe_attempts_stream(stream: DataFrame) -> DataFrame:
-    """ST4: outcome of every attempt row of a stream (attempt_id, fingerprint, created_at).
+def _millis(at) -> int:
+    return pd.Timestamp(at).value // 1_000_000
+
 
-    State is one fingerprint an id, dropped a week after its last change.  As state expires by the clock, the query runs until it is
-    stopped, with the trigger ``availableNow`` too.
+def dedupe_attempts_stream(stream: DataFrame, delay: str = "10 minutes", keep_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """ST4: outcome of every attempt row of a stream (attempt_id, fingerprint, created_at), in the order of their times.
+
+    State is one fingerprint an id, dropped by an event-time timer once the watermark is ``keep_ms`` past the first row; rows behind the
+    watermark are dropped.  No clock is read, so reruns agree and ``availableNow`` ends.  Rows without a fingerprint count as an empty one.
     """
-    return stream.groupBy("attempt_id").transformWithStateInPandas(
-        _Attempts(), "attempt_id bigint, fingerprint string, outcome string", "Append", "ProcessingTime")
+    rows = _timed(stream, "created_at").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
+    return rows.withWatermark("created_at", delay).groupBy("attempt_id").transformWithStateInPandas(
+        _Attempts(keep_ms), "attempt_id bigint, fingerprint string, outcome string", "Append", "EventTime")
 
 
 def replays_dropped(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -70,41 +84,55 @@ def rate_counts(stream: DataFrame, limit: int = 30, delay: str = "10 minutes") -
 
 
 class _Outbox(StatefulProcessor):
-    """The status of each delivery; a timer emits rows that stay pending."""
+    """The undone status of each delivery and its time; it falls due when the next row, or the watermark, is too late for it."""
 
     def __init__(self, pending_ms: int):
         self._wait = pending_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._status = handle.getValueState("status", "status string")
+        self._since = handle.getValueState("since", "at bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        last = None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        since, due = (self._since.get()[0] if self._since.exists() else None), []
         for part in rows:
-            last = part.sort_values("at")["status"].iloc[-1]
-        if last is not None:
-            self._status.update((last,))
-            for t in list(self._handle.listTimers()):
-                self._handle.deleteTimer(t)
-            if last in ("pending", "sending"):
-                self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._wait)
-        yield pd.DataFrame({"attempt_id": pd.Series(dtype="int64"), "status": pd.Series(dtype="str")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self._status.exists() and self._status.get()[0] in ("pending", "sending"):
-            self._status.update(("pending",))
-            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._wait)
-            yield pd.DataFrame({"attempt_id": [key[0]], "status": ["pending"]})
+            part = part.sort_values(["at", "status"])
+            for at, status in zip(part["at"].map(_millis), part["status"]):
+                if since is not None and at > since + self._wait:
+                    due.append(since + self._wait)
+                since = at if status in ("pending", "sending") else None
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        if since is None:
+            self._since.clear()
+        else:
+            self._since.update((since,))
+            self._handle.registerTimer(since + self._wait)
+        yield self._rows(key, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = [self._since.get()[0] + self._wait] if self._since.exists() else []
+        self._since.clear()
+        yield self._rows(key, due)
+
+    @staticmethod
+    def _rows(key, due: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"attempt_id": pd.Series([key[0]] * len(due), dtype="int64"), "due_ms": pd.Series(due, dtype="int64")})
 
     def close(self) -> None:
         pass
 
 
-def recover_outbox_stream(stream: DataFrame, pending_ms: int = 120_000) -> DataFrame:
-    """ST7: deliveries (attempt_id, status, at) that stay undone too long, emitted again until they are done."""
-    return stream.groupBy("attempt_id").transformWithStateInPandas(
-        _Outbox(pending_ms), "attempt_id bigint, status string", "Append", "ProcessingTime")
+def recover_outbox_stream(stream: DataFrame, pending_ms: int = 120_000, delay: str = "10 minutes") -> DataFrame:
+    """ST7: (attempt_id, status ``pending``, due_at) for every status row (attempt_id, status, at) pending or sending that no later row
+    of the delivery follows within ``pending_ms``.
+
+    Timers are of event time: a delivery is due once the watermark passes, or by a later row that comes too late.  It is emitted once
+    a status; a sender that takes it up writes ``sending`` to the stream, which starts the next wait.  Reruns agree and ``availableNow`` ends.
+    """
+    out = _timed(stream, "at").withWatermark("at", delay).groupBy("attempt_id").transformWithStateInPandas(
+        _Outbox(pending_ms), "attempt_id bigint, due_ms bigint", "Append", "EventTime")
+    return out.select("attempt_id", F.lit("pending").alias("status"), F.timestamp_millis("due_ms").alias("due_at"))
 
 
 def ingest_batch(sources: DataFrame, out: str, limits: intake.Limits = intake.Limits()) -> None:
