@@ -40,11 +40,14 @@ _ENDS = r"(?U)^\s+|\s+$"
 def normalize_answer(col: Column) -> Column:
     """English answer form of a text in compatibility form (``fold_compatible``): straight apostrophes, lower case, closing
     marks dropped once, long forms, single spaces."""
-    out = F.regexp_replace(F.lower(F.translate(col, "\u2018\u2019\u02bc", "'''")), _ENDS, "")
+    straight = F.translate(col, "\u2018\u2019\u02bc", "'''")
+    out = F.regexp_replace(F.lower(straight), _ENDS, "")
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[?!.]+$", ""), _ENDS, ""), r"(?U)\s+", " ")
+    spelled = out
     for short, long in CONTRACTIONS.items():
-        out = F.regexp_replace(out, rf"\b{short}\b", long)
-    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
+        spelled = F.regexp_replace(spelled, rf"\b{short}\b", long)
+    # every short form has an apostrophe: texts without one skip the search for them
+    return F.when(F.contains(straight, F.lit("'")), F.trim(F.regexp_replace(spelled, r"(?U)\s+", " "))).otherwise(out)
 
 
 _PLAIN = r"^[\x00-\x7F]*$"
@@ -73,8 +76,8 @@ def fold_compatible(df: DataFrame, *columns: str) -> DataFrame:
 
 def matches_any(text: Column, accepted: Column) -> Column:
     """Whether a text equals any accepted value after normalization, both in compatibility form; false for nulls."""
-    own = normalize_answer(text)
-    return F.coalesce(F.exists(accepted, lambda a: normalize_answer(a) == own), F.lit(False))
+    # no lambda around the text's form, which would be taken anew for each accepted value
+    return F.coalesce(F.array_contains(F.transform(accepted, normalize_answer), normalize_answer(text)), F.lit(False))
 
 
 def prompt_tokens(col: Column) -> Column:
@@ -94,5 +97,6 @@ def escape_html(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "<", "&lt;"), ">", "&gt;")
 
 
-def shorten(col: Column, limit: int) -> Column:
-    return F.when(F.length(col) > limit, F.concat(F.substring(col, 1, limit - 1), F.lit("…"))).otherwise(col)
+def shorten(col: Column, limit: int | Column) -> Column:
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    return F.when(F.length(col) > limit, F.concat(F.substring(col, F.lit(1), limit - 1), F.lit("…"))).otherwise(col)

@@ -351,24 +351,61 @@ def add_source_ref(df: DataFrame, fragment: str, block_text: str = "raw_text") -
     return df.withColumn("char_start", start).withColumn("char_end", end)
 
 
-def extraction_issues(items: DataFrame, fields: DataFrame) -> DataFrame:
-    """A blocking issue for every unverified field, one for a text that breaks off."""
+def extraction_issues(items: DataFrame, fields: DataFrame, partial: DataFrame | None = None) -> DataFrame:
+    """A blocking issue for every unverified field, one for a text that breaks off, one for every partial group.
+
+    ``partial``: the issues of ``partial_group_issues``, if the source has groups; the group is their entity here.
+    """
     open_ = fields.select("doc_id", F.concat(F.lit("issue:"), "field_id").alias("issue_id"), F.lit("ANSWER_UNVERIFIED").alias("code"), F.lit("blocking").alias("severity"), F.col("field_id").alias("entity_id"))
     cut = items.where("truncated").select("doc_id", F.concat(F.lit("issue:truncated:"), "exercise_id").alias("issue_id"), F.lit("SOURCE_TRUNCATED").alias("code"), F.lit("blocking").alias("severity"), F.col("exercise_id").alias("entity_id"))
-    return open_.unionByName(cut)
+    out = open_.unionByName(cut)
+    return out if partial is None else out.unionByName(partial.withColumn("entity_id", F.col("entity_ids")[0]).select(out.columns))
 
 
-def extraction_coverage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: items, fields, whether it breaks off, and the status.
+def partial_group_issues(segmented: DataFrame, exercises: DataFrame | None = None) -> DataFrame:
+    """A blocking issue for every group of ``segment_articles`` that begins outside the supplied pages.
 
+    It names the group, then its exercises (doc_id, group_id, exercise_id, ord), and has the group's blocks as evidence, both in
+    order.  References are no groups, nor are documents without any heading.
+    """
+    group = F.concat(F.lit("group:"), F.greatest(F.col("group"), F.lit(1)))
+    parts = segmented.where("completeness = 'partial' and role <> 'reference' and `group` is not null").groupBy("doc_id", group.alias("group_id")).agg(
+        F.array_sort(F.collect_list(F.struct("ord", "block_id"))).alias("b"))
+    if exercises is None:
+        parts = parts.withColumn("x", F.expr("cast(array() as array<string>)"))
+    else:
+        own = exercises.groupBy("doc_id", "group_id").agg(F.array_sort(F.collect_list(F.struct("ord", "exercise_id"))).alias("x"))
+        parts = parts.join(own.select("doc_id", "group_id", F.transform("x", lambda x: x["exercise_id"].cast("string")).alias("x")), ["doc_id", "group_id"], "left")
+    return parts.select(
+        "doc_id", F.concat(F.lit("issue:"), "group_id", F.lit(":source-truncated")).alias("issue_id"), F.lit("SOURCE_TRUNCATED").alias("code"),
+        F.lit("blocking").alias("severity"), F.concat(F.array("group_id"), F.coalesce("x", F.expr("cast(array() as array<string>)"))).alias("entity_ids"),
+        F.transform("b", lambda b: b["block_id"]).alias("evidence"))
+
+
+def extraction_coverage(docs: DataFrame, items: DataFrame, candidates: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """Per document: items, fields, whether it breaks off, candidates detected and accounted for, additions, and the status.
+
+    ``candidates`` (doc_id, candidate_id): unknown ones, which count as detected, not accounted, where a document has no item.
+    ``expected`` (doc_id, exercise_id): what the source is known to hold; items beyond it are additions, none without it.
     Fields are counted on the items, so the texts are segmented once.
     """
-    by_doc = items.groupBy("doc_id").agg(
-        F.count("*").alias("n_items"), F.sum(count_markers(F.col("source_prompt"))).alias("n_fields"), F.max("truncated").alias("truncated"))
+    known = items.withColumn("__extra", F.lit(False))
+    if expected is not None:
+        known = items.join(expected.select("doc_id", "exercise_id").distinct().withColumn("__known", F.lit(True)), ["doc_id", "exercise_id"], "left")
+        known = known.withColumn("__extra", F.col("__known").isNull())
+    by_doc = known.groupBy("doc_id").agg(
+        F.count("*").alias("n_items"), F.sum(count_markers(F.col("source_prompt"))).alias("n_fields"), F.max("truncated").alias("truncated"),
+        F.count_if("__extra").alias("n_additions"))
     out = docs.select("doc_id").join(by_doc, "doc_id", "left")
-    n, m, cut = F.coalesce("n_items", F.lit(0)).cast("long"), F.coalesce("n_fields", F.lit(0)).cast("long"), F.coalesce("truncated", F.lit(False))
-    status = F.when(n == 0, "empty").when((m > 0) | cut, "needsReview").otherwise("complete")
-    return out.select("doc_id", n.alias("n_items"), m.alias("n_fields"), cut.alias("truncated"), status.alias("status"))
+    zero = F.lit(0).cast("long")
+    if candidates is not None:
+        out = out.join(candidates.groupBy("doc_id").agg(F.count("*").alias("__open")), "doc_id", "left")
+    n, m, cut = F.coalesce("n_items", zero), F.coalesce("n_fields", zero).cast("long"), F.coalesce("truncated", F.lit(False))
+    unknown = F.when(n == 0, F.coalesce("__open", zero)).otherwise(zero) if candidates is not None else zero
+    status = F.when((n == 0) & (unknown == 0), "empty").when((m > 0) | cut | (unknown > 0), "needsReview").otherwise("complete")
+    return out.select(
+        "doc_id", n.alias("n_items"), m.alias("n_fields"), cut.alias("truncated"), (n + unknown).alias("n_detected"), n.alias("n_accounted"),
+        F.coalesce("n_additions", zero).alias("n_additions"), status.alias("status"))
 
 
 def extract_text(docs: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -16,16 +16,21 @@ from quillforge.functions.text import escape_html, fold_compatible, matches_any,
 
 def graded_fields(attempts: DataFrame, fields: DataFrame, responses: DataFrame, options: DataFrame | None = None) -> DataFrame:
     """H3: every field of the attempted version, correct or not; accepted answers shown only where incorrect."""
-    expected = attempts.join(fields, ["lesson_id", "lesson_version"])
-    given = expected.join(responses.withColumnRenamed("kind", "given_kind"), ["attempt_id", "field_id"], "left")
+    # compatibility forms are taken before the joins: only narrow scans part into two, the joins run once
+    fields = fold_compatible(fields.withColumn("__accepted", F.col("accepted")), "__accepted")
+    said = responses.withColumnRenamed("kind", "given_kind").withColumns({"__text": F.col("text"), "__joined": F.array_join("tokens", " ")})
+    given = attempts.join(fields, ["lesson_id", "lesson_version"]).join(fold_compatible(said, "__text", "__joined"), ["attempt_id", "field_id"], "left")
     if options is not None:
-        given = given.join(options.select("option_id", F.col("value").alias("option_value")), "option_id", "left")
+        values = options.select("option_id", F.col("value").alias("option_value"), F.col("value").alias("__option"))
+        given = given.join(fold_compatible(values, "__option"), "option_id", "left")
     else:
-        given = given.withColumn("option_value", F.lit(None).cast("string"))
-    answered = F.when(F.col("kind") == "choice", F.col("option_value")).when(
-        F.col("kind") == "orderedTokens", F.array_join("tokens", " ")).otherwise(F.col("text"))
-    given = given.withColumn("answer", answered).withColumns({"__own": F.col("answer"), "__accepted": F.col("accepted")})
-    given = fold_compatible(given, "__own", "__accepted")
+        given = given.withColumns({c: F.lit(None).cast("string") for c in ("option_value", "__option")})
+
+    def by_kind(option, joined, text):
+        return F.when(F.col("kind") == "choice", option).when(F.col("kind") == "orderedTokens", joined).otherwise(text)
+
+    given = given.withColumn("answer", by_kind(F.col("option_value"), F.array_join("tokens", " "), F.col("text")))
+    given = given.withColumn("__own", by_kind(F.col("__option"), F.col("__joined"), F.col("__text")))
     by_id = F.coalesce((F.col("kind") == "choice") & F.array_contains("accepted", F.col("option_id")), F.lit(False))
     correct = by_id | F.coalesce(F.col("__own").rlike(r"(?U)\S"), F.lit(False)) & matches_any(F.col("__own"), F.col("__accepted"))
     return given.withColumn("correct", correct).select(
@@ -130,6 +135,44 @@ def report_parts(rows: DataFrame, limit: int = 3900, answer_limit: int = 300) ->
     return listed.select("attempt_id", F.posexplode(fold).alias("part", "body"))
 
 
+#: fixed values: the words and marks of a result message
+REPORT_TITLE = "📝 <b>Результаты теста</b>"
+REPORT_CONTINUED = "📝 <b>Результаты теста · продолжение</b>"
+REPORT_VERSION, REPORT_STUDENT, REPORT_SCORE, REPORT_OF, REPORT_RIGHT = "версия", "Ученик", "Баллы", "из", "Верно"
+
+
+def result_report(attempts: DataFrame, rows: DataFrame, limit: int = 3900) -> DataFrame:
+    """The result message of each attempt: a header, then a block for each row, packed in order into parts.
+
+    ``attempts``: attempt_id, title, lesson_version, student, correct, total.  ``rows``: attempt_id, ord, answer, correct,
+    accepted.  A block that would take a part beyond ``limit`` opens the next one under a short header.  Answers are cut so that a
+    block has room, accepted values at half of it; lengths are code points before escaping, so escapes may take a part beyond the
+    limit.  Attempts without rows have the header alone; null answers, and accepted lists that are null or empty, show as a dash.
+    """
+    room = limit - len(REPORT_CONTINUED) - 2
+    right = F.coalesce("correct", F.lit(False))
+    filled = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("—"))
+    accepted = F.when(right, F.lit("")).otherwise(filled(F.array_join("accepted", " / ")))
+    prefix = F.concat(F.when(right, "✅").otherwise("❌"), F.lit(" "), F.col("ord").cast("string"), F.lit(". "))
+    below = f"\n   {REPORT_RIGHT}: "
+    df = rows.select("attempt_id", "ord", right.alias("right"), prefix.alias("prefix"), accepted.alias("accepted"), filled(F.col("answer")).alias("answer"))
+    answer_room = F.greatest(F.lit(32), F.lit(room - len(below)) - F.length("prefix") - F.length("accepted"))
+    block = F.concat("prefix", escape_html(shorten(F.col("answer"), answer_room)), F.when(F.col("right"), "").otherwise(
+        F.concat(F.lit(below), escape_html(shorten(F.col("accepted"), room // 2)))))
+    blocks = df.groupBy("attempt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("block")))), lambda r: r["block"]).alias("blocks"))
+    head = F.concat(
+        F.lit(f"{REPORT_TITLE}\n<b>"), escape_html(F.coalesce("title", F.lit(""))), F.lit(f"</b> · {REPORT_VERSION} "), F.col("lesson_version").cast("string"),
+        F.lit(f"\n{REPORT_STUDENT}: "), escape_html(F.coalesce("student", F.lit(""))),
+        F.lit(f"\n{REPORT_SCORE}: <b>"), F.col("correct").cast("string"), F.lit(f" {REPORT_OF} "), F.col("total").cast("string"), F.lit("</b>"))
+    listed = attempts.select("attempt_id", head.alias("head")).join(blocks, "attempt_id", "left")
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    parts = F.aggregate(
+        F.coalesce("blocks", F.expr("cast(array() as array<string>)")), F.array("head"),
+        lambda acc, x: F.when(F.length(last(acc)) + F.length(x) + 2 > limit, F.concat(acc, F.array(F.concat(F.lit(REPORT_CONTINUED + "\n\n"), x))))
+        .otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last(acc), F.lit("\n\n"), x)))))
+    return listed.select("attempt_id", F.posexplode(parts).alias("part", "body"))
+
+
 def attempt_violations(attempts: DataFrame, responses: DataFrame, graded: DataFrame, max_fields: int = 500) -> DataFrame:
     """Repeated fields, too many responses, answers shown for correct fields, scores that don't add up."""
     def coded(df, code):

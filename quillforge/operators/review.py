@@ -78,6 +78,22 @@ def apply_exercise_deletes(exercises: DataFrame, groups: DataFrame, deletes: Dat
     return left, groups.join(left.select("draft_id", "group_id").distinct(), ["draft_id", "group_id"], "left_semi"), refused
 
 
+def coverage_after_deletes(entries: DataFrame, deletes: DataFrame, refused: DataFrame) -> DataFrame:
+    """Coverage entries (draft_id, candidate_id, kind, exercise_ids, decision_id) after deletes (draft_id, exercise_id, decision_id).
+
+    An exercise entry that names a deleted exercise becomes a decision: the first, by id, that deleted one of them.  Refused deletes and
+    entries of other kinds change nothing.
+    """
+    done = deletes.join(refused.select("draft_id", "exercise_id"), ["draft_id", "exercise_id"], "left_anti")
+    named = entries.where("kind = 'exercise'").select("draft_id", "candidate_id", F.explode(F.array_distinct("exercise_ids")).alias("exercise_id"))
+    by = named.join(done, ["draft_id", "exercise_id"]).groupBy("draft_id", "candidate_id").agg(F.min("decision_id").alias("__by"))
+    df = entries.join(by, ["draft_id", "candidate_id"], "left")
+    gone = (F.col("kind") == "exercise") & F.col("__by").isNotNull()
+    return df.withColumns({
+        "kind": F.when(gone, "decision").otherwise(F.col("kind")), "exercise_ids": F.when(~gone, F.col("exercise_ids")),
+        "decision_id": F.when(gone, F.col("__by")).otherwise(F.col("decision_id"))}).drop("__by")
+
+
 def issues_touched(issues: DataFrame, edited: DataFrame, deleted: DataFrame) -> DataFrame:
     """Open issues an edit resolves (truncation of that exercise) or a delete does (any that name it)."""
     named = issues.where("resolution = 'open'").select("issue_id", "code", F.explode("entity_ids").alias("exercise_id"))

@@ -394,6 +394,21 @@ def r5_deleted_exercises(spark, sf_dir):
     return left.select("draft_id", "group_id", "exercise_id", "ord")
 
 
+@query("""WITH x AS (SELECT o_custkey AS d, o_orderkey AS k, o_orderkey % 3 = 0 AS gone FROM orders),
+e AS (SELECT d FROM x GROUP BY 1 HAVING bool_and(gone))
+SELECT d AS draft_id, k AS candidate_id, CASE WHEN gone AND d NOT IN (SELECT d FROM e) THEN 'decision' WHEN k % 5 = 1 THEN 'issue' ELSE 'exercise' END AS kind,
+  CASE WHEN gone AND d NOT IN (SELECT d FROM e) THEN 'delete:' || k END AS decision_id FROM x WHERE NOT (gone AND k % 5 = 1)
+UNION ALL SELECT d, k, 'issue', NULL FROM x WHERE gone AND k % 5 = 1""")
+def r5_coverage_entries(spark, sf_dir):
+    """Coverage entries of the orders of a customer's draft; those of deleted exercises become decisions, issues stay."""
+    x = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("draft_id"), F.col("o_orderstatus").alias("group_id"), F.col("o_orderkey").alias("exercise_id"), F.col("o_orderkey").alias("ord"))
+    deletes = x.where("exercise_id % 3 = 0").withColumn("decision_id", F.concat(F.lit("delete:"), "exercise_id"))
+    _, _, refused = rv.apply_exercise_deletes(x, x.select("draft_id", "group_id").distinct(), deletes)
+    entries = x.select("draft_id", F.col("exercise_id").alias("candidate_id"), F.when(F.col("exercise_id") % 5 == 1, "issue").otherwise("exercise").alias("kind"),
+                       F.array("exercise_id").alias("exercise_ids"), F.lit(None).cast("string").alias("decision_id"))
+    return rv.coverage_after_deletes(entries, deletes, refused).select("draft_id", "candidate_id", "kind", "decision_id")
+
+
 @query("""WITH n AS (SELECT event_id, event_id % 97 AS x, event_type FROM events)
 SELECT event_id AS issue_id, CASE WHEN x % 5 = 0 THEN 'delete' ELSE 'edit' END AS by FROM n WHERE x % 5 = 0 OR x % 3 = 0 AND event_type = 'error'""")
 def r6_touched_issues(spark, sf_dir):

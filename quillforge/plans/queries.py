@@ -59,6 +59,7 @@ cut AS (SELECT *, CASE WHEN regexp_matches(p, '\([^)]+\)') THEN len(regexp_extra
 
 @query(_ITEMS_SQL + """, a AS (SELECT doc_id, count(*) AS n_items, sum(nf) AS n_fields, bool_or(truncated) AS truncated FROM cut GROUP BY 1)
 SELECT d.doc_id, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(n_fields, 0)::BIGINT AS n_fields, coalesce(truncated, false) AS truncated,
+  coalesce(n_items, 0)::BIGINT AS n_detected, coalesce(n_items, 0)::BIGINT AS n_accounted, 0::BIGINT AS n_additions,
   CASE WHEN coalesce(n_items, 0) = 0 THEN 'empty' WHEN n_fields > 0 OR truncated THEN 'needsReview' ELSE 'complete' END AS status
 FROM documents d LEFT JOIN a USING (doc_id)""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,21 @@ def e24_extraction_issues(spark, sf_dir):
     return ex.extraction_issues(items, fields).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
+@query(_ITEMS_SQL + r""", a AS (SELECT doc_id, count(*) AS n_items, sum(nf) AS n_fields, bool_or(truncated) AS truncated, count(*) FILTER (ordinal > 3) AS extra FROM cut GROUP BY 1),
+u AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda t: regexp_matches(t, '\S'))) AS lines FROM v_texts)
+SELECT d.doc_id, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(n_fields, 0)::BIGINT AS n_fields, coalesce(truncated, false) AS truncated,
+  coalesce(n_items, lines, 0)::BIGINT AS n_detected, coalesce(n_items, 0)::BIGINT AS n_accounted, coalesce(extra, 0)::BIGINT AS n_additions,
+  CASE WHEN n_items IS NULL AND coalesce(lines, 0) = 0 THEN 'empty' WHEN n_fields > 0 OR truncated OR n_items IS NULL THEN 'needsReview' ELSE 'complete' END AS status
+FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN u USING (doc_id)""")
+def e25_coverage(spark, sf_dir):
+    """E25 against candidates and expectations: in texts without items each line is an open candidate; three items are expected of a text."""
+    docs = b.exercise_texts(spark, sf_dir)
+    items, _, _ = ex.extract_text(docs)
+    lines = bl.tag_text_lines(docs).select("doc_id", F.concat(F.lit("line:"), "line").alias("candidate_id"))
+    expected = docs.select("doc_id", F.explode(F.array(*[F.lit(f"group:1:item:{i}") for i in (1, 2, 3)])).alias("exercise_id"))
+    return ex.extraction_coverage(docs, items, lines, expected)
+
+
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(\p{L})-\r?\n(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g')) AS normalized FROM documents""")
 def b1_normalized_texts(spark, sf_dir):
     """B1."""
@@ -341,6 +357,31 @@ def _responses_as_rows(spark, sf_dir):
     return r.select("attempt_id", F.col("field_id").alias("ord"), F.col("exercise_id").alias("prompt"), F.col("text").alias("answer"), (F.col("quantity") % 3 < 2).alias("correct"))
 
 
+@query("WITH " + b.RESPONSES_SQL + f""", n AS (SELECT *, (row_number() OVER (PARTITION BY attempt_id ORDER BY field_id))::INTEGER AS ord, field_id % 3 > 0 AS ok FROM v_responses),
+w AS (SELECT *, (CASE WHEN ok THEN '✅' ELSE '❌' END) || ' ' || ord || '. ' AS pre, CASE WHEN ok THEN '' ELSE p_name || ' / ' || p_brand END AS acc, 250 - {len(gr.REPORT_CONTINUED)} - 2 AS room FROM n),
+x AS (SELECT *, greatest(32, room - length(pre) - 11 - length(acc)) AS free, room // 2 AS half FROM w),
+k AS (SELECT attempt_id, ord, pre || CASE WHEN length(text) > free THEN substr(text, 1, free - 1) || '…' ELSE text END ||
+  CASE WHEN ok THEN '' ELSE chr(10) || '   {gr.REPORT_RIGHT}: ' || CASE WHEN length(acc) > half THEN substr(acc, 1, half - 1) || '…' ELSE acc END END AS block FROM x),
+l AS (SELECT attempt_id, list([block] ORDER BY ord) AS blocks FROM k GROUP BY 1),
+s AS (SELECT attempt_id, count(*) AS total, count(*) FILTER (ok) AS correct FROM n GROUP BY 1),
+h AS (SELECT o_orderkey AS attempt_id, '{gr.REPORT_TITLE}' || chr(10) || '<b>' || replace(replace(replace(o_orderpriority || ' & ' || o_orderstatus, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</b> · {gr.REPORT_VERSION} 1' || chr(10) ||
+  '{gr.REPORT_STUDENT}: ' || c_name || chr(10) || '{gr.REPORT_SCORE}: <b>' || coalesce(correct, 0) || ' {gr.REPORT_OF} ' || coalesce(total, 0) || '</b>' AS head FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN s ON s.attempt_id = o_orderkey),
+f AS (SELECT h.attempt_id, list_reduce(list_prepend([head], coalesce(blocks, []::VARCHAR[][])), lambda a, y: CASE WHEN length(a[-1]) + length(y[1]) + 2 > 250
+  THEN list_append(a, '{gr.REPORT_CONTINUED}' || chr(10) || chr(10) || y[1]) ELSE list_append(a[:-2], a[-1] || chr(10) || chr(10) || y[1]) END) AS parts FROM h LEFT JOIN l USING (attempt_id))
+SELECT attempt_id, unnest(range(len(parts)))::INTEGER AS part, unnest(parts) AS body FROM f""")
+def h13_result_messages(spark, sf_dir):
+    """The result message of every order, in parts of 250 so that many have several."""
+    r = b.responses(spark, sf_dir).join(b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("field_id"), "p_name", "p_brand"), "field_id")
+    ord_ = F.row_number().over(W.partitionBy("attempt_id").orderBy("field_id"))
+    rows = r.select("attempt_id", ord_.alias("ord"), F.col("text").alias("answer"), (F.col("field_id") % 3 > 0).alias("correct"), F.array("p_name", "p_brand").alias("accepted"))
+    score = rows.groupBy("attempt_id").agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"))
+    o, c = b.table(spark, sf_dir, "orders"), b.table(spark, sf_dir, "customer")
+    heads = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("attempt_id"), F.concat("o_orderpriority", F.lit(" & "), "o_orderstatus").alias("title"), F.lit(1).alias("lesson_version"), F.col("c_name").alias("student"))
+    heads = heads.join(score, "attempt_id", "left").fillna(0, ["correct", "total"])
+    return gr.result_report(heads, rows, 250)
+
+
 def _library(spark, sf_dir):
     o = b.table(spark, sf_dir, "orders")
     lessons = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lesson_id"), F.col("c_name").alias("title"), F.timestamp_seconds(F.lit(10**9) + F.col("c_custkey") % 500).alias("created_at"))

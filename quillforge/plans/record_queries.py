@@ -56,6 +56,16 @@ def e14_article_segments(spark, sf_dir):
     return found.select("doc_id", "block_id", F.coalesce("group", F.lit(-1)).alias("group"), "source_order", "role", "completeness")
 
 
+@query(_WB + """, p AS (SELECT doc_id, string_agg(block_id, ',' ORDER BY ord) AS evidence, max(ord) AS last FROM v_wb WHERE ord BETWEEN 1 AND 5 GROUP BY 1)
+SELECT doc_id, 'issue:group:1:source-truncated' AS issue_id, 'group:1,x' || doc_id AS entities, evidence FROM p WHERE doc_id IN (SELECT doc_id FROM v_wb WHERE ord >= 6)""")
+def e24_partial_groups(spark, sf_dir):
+    """The issue of the partial group of every workbook whose first heading is lost, with one exercise each."""
+    found = ex.segment_articles(workbook(spark, sf_dir).where("ord > 0"), r"^([1-5]) (?:Choose|Put)", r"^Answer key$", r"^a ")
+    own = found.select("doc_id").distinct().select("doc_id", F.lit("group:1").alias("group_id"), F.concat(F.lit("x"), "doc_id").alias("exercise_id"), F.lit(1).alias("ord"))
+    issues = ex.partial_group_issues(found, own)
+    return issues.select("doc_id", "issue_id", F.array_join("entity_ids", ",").alias("entities"), F.array_join("evidence", ",").alias("evidence"))
+
+
 _PAIRS = _BL + """, w AS (SELECT *, regexp_extract(raw_text, '^([A-Za-z]+)', 1) AS w, (ord % 40) // 2 + 1 AS n FROM v_blocks),
 t AS (SELECT *, CASE WHEN ord % 2 = 0 THEN n || '. Start ' || w ELSE 'then ' || w || ' ... end' END AS t FROM w),
 i AS (SELECT doc_id, page_index, n, max(ord % 2) AS two, string_agg(trim(t), ' ' ORDER BY ord) AS item FROM t GROUP BY 1, 2, 3)

@@ -89,3 +89,39 @@ def test_option_edits(spark):
     edits = spark.createDataFrame([("e", 1, "first", None, "d1"), ("e", 2, None, ["p", "q"], "d2")], "exercise_id string, seq int, prompt string, options array<string>, decision_id string")
     got = {r.exercise_id: (r.prompt, r.options, r.decision_id) for r in rv.apply_exercise_edits(exercises, edits).collect()}
     assert got == {"e": ("first", ["p", "q"], "d2"), "f": ("keep", ["z"], None)}
+
+
+def test_partial_groups_coverage_and_deletes(spark):
+    """Leading blocks of a page, not those of a page without headings.  E25: open candidates and additions.  R5: coverage entries."""
+    from quillforge.operators import extract as ex
+    from quillforge.operators import review as rv
+
+    texts = {1: ["rest of it", "more", "Task 2", "body"], 2: ["no heading"], 3: ["Task 1", "body"], 4: ["lead", "Task 1", "body"]}
+    blocks = spark.createDataFrame([(d, f"b{i}", i, t) for d, ts in texts.items() for i, t in enumerate(ts)], "doc_id int, block_id string, ord int, raw_text string")
+    seg = ex.segment_articles(blocks, r"^Task (\d+)", r"^Notes", r"^Do ")
+    own = spark.createDataFrame([(1, "group:1", "e2", 2), (1, "group:1", "e1", 1), (1, "group:2", "e3", 1)], "doc_id int, group_id string, exercise_id string, ord int")
+    issues = ex.partial_group_issues(seg, own)
+    assert [tuple(r) for r in issues.orderBy("doc_id").collect()] == [
+        (1, "issue:group:1:source-truncated", "SOURCE_TRUNCATED", "blocking", ["group:1", "e1", "e2"], ["b0", "b1"]),
+        (4, "issue:group:1:source-truncated", "SOURCE_TRUNCATED", "blocking", ["group:1"], ["b0"])]
+    assert ex.partial_group_issues(seg).count() == 2 and ex.partial_group_issues(seg.limit(0)).count() == 0
+
+    docs = spark.createDataFrame([(1, "1. We (go) home. 2. He ran."), (2, "nothing"), (3, None)], "doc_id int, text string")
+    items, fields, plain = ex.extract_text(docs)
+    assert ex.extraction_issues(items, fields, issues).where("entity_id = 'group:1'").count() == 2
+    open_ = spark.createDataFrame([(1, "c1"), (2, "c1"), (2, "c2")], "doc_id int, candidate_id string")
+    known = spark.createDataFrame([(1, "group:1:item:1"), (1, "group:1:item:1"), (2, "z")], "doc_id int, exercise_id string")
+    rows = lambda df: {r.doc_id: (r.n_items, r.n_detected, r.n_accounted, r.n_additions, r.status) for r in df.collect()}
+    assert rows(plain) == {1: (2, 2, 2, 0, "needsReview"), 2: (0, 0, 0, 0, "empty"), 3: (0, 0, 0, 0, "empty")}
+    assert rows(ex.extraction_coverage(docs, items, open_, known)) == {1: (2, 2, 2, 1, "needsReview"), 2: (0, 2, 0, 0, "needsReview"), 3: (0, 0, 0, 0, "empty")}
+
+    entries = spark.createDataFrame(
+        [("d", "c1", "exercise", ["x1"], None), ("d", "c2", "exercise", ["x2", "x3"], None), ("d", "c3", "issue", ["x1"], None), ("d", "c4", "decision", None, "old"), ("e", "c1", "exercise", ["y"], None)],
+        "draft_id string, candidate_id string, kind string, exercise_ids array<string>, decision_id string")
+    exercises = spark.createDataFrame([("d", "g", x, i) for i, x in enumerate(["x1", "x2", "x3"])] + [("e", "g", "y", 1)], "draft_id string, group_id string, exercise_id string, ord int")
+    deletes = spark.createDataFrame([("d", "x1", "r2"), ("d", "x3", "r3"), ("e", "y", "r4"), ("d", None, "r5")], "draft_id string, exercise_id string, decision_id string")
+    left, _, refused = rv.apply_exercise_deletes(exercises, exercises.select("draft_id", "group_id").distinct(), deletes)
+    assert sorted((r.draft_id, r.exercise_id, r.ord) for r in left.collect()) == [("d", "x2", 1), ("e", "y", 1)]
+    got = rv.coverage_after_deletes(entries, deletes, refused).orderBy("draft_id", "candidate_id").collect()
+    assert [tuple(r) for r in got] == [
+        ("d", "c1", "decision", None, "r2"), ("d", "c2", "decision", None, "r3"), ("d", "c3", "issue", ["x1"], None), ("d", "c4", "decision", None, "old"), ("e", "c1", "exercise", ["y"], None)]
