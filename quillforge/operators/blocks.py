@@ -96,22 +96,23 @@ def inject_blanks(items: DataFrame, rules: DataFrame, near: float = 3.0) -> Data
 def items_to_lines(items: DataFrame, pages: DataFrame, epsilon: float = 3.0) -> DataFrame:
     """A line number for every item: same half page, y within ``epsilon`` of the line's first item.
 
-    A fold in (y, x) order over each page half, since lines are anchored at their first item.
+    A fold in y order over each page half, since lines are anchored at their first item.  It goes over the distinct y, as items of one y share a line.
     """
     df = items.join(pages.select("doc_id", "page_index", F.col("width").alias("page_width")), ["doc_id", "page_index"])
     df = df.withColumn("half", (F.col("x") >= F.col("page_width") / 2).cast("int"))
-    cell = F.struct("y", "x", "seq", "text", "width", "height", "confidence")
-    grouped = df.groupBy("doc_id", "page_index", "half").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    cell = F.struct("x", "seq", "text", "width", "height", "confidence")
+    rows = df.groupBy("doc_id", "page_index", "half", "y").agg(F.collect_list(cell).alias("cells"))
+    grouped = rows.groupBy("doc_id", "page_index", "half").agg(F.sort_array(F.collect_list(F.struct("y", "cells"))).alias("rows"))
     folded = F.aggregate(
-        F.transform("cells", lambda c: c["y"]),
+        F.transform("rows", lambda r: r["y"]),
         F.expr("named_struct('line', -1, 'anchor', cast(null as double), 'out', cast(array() as array<int>))"),
         lambda acc, y: F.when(
             acc["anchor"].isNotNull() & (F.abs(y - acc["anchor"]) <= epsilon),
             F.struct(acc["line"].alias("line"), acc["anchor"].alias("anchor"), F.concat(acc["out"], F.array(acc["line"])).alias("out")),
         ).otherwise(F.struct((acc["line"] + 1).alias("line"), y.alias("anchor"), F.concat(acc["out"], F.array(acc["line"] + 1)).alias("out"))),
         lambda acc: acc["out"])
-    out = grouped.withColumn("line_no", folded).select("doc_id", "page_index", "half", F.inline(F.arrays_zip("cells", "line_no")))
-    return out.select("doc_id", "page_index", "half", F.col("line_no").alias("line"), "cells.*")
+    out = grouped.select("doc_id", "page_index", "half", F.inline(F.arrays_zip("rows", folded.alias("line"))))
+    return out.select("doc_id", "page_index", "half", "line", F.col("rows.y").alias("y"), F.inline("rows.cells"))
 
 
 def lines_to_blocks(lines: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def lines_to_blocks(lines: DataFrame) -> DataFrame:
     glue = F.when(gap.isNull(), "").when(gap >= 10, "\t").when(gap >= 1.5, " ").otherwise("")
     pieces = lines.withColumn("piece", F.concat(glue, "text")).withColumn("n", F.row_number().over(by_line))
     out = pieces.groupBy("doc_id", "page_index", "half", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda p: p["piece"]), "").alias("raw_text"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("n", "piece")))["piece"], "").alias("raw_text"),
         F.round(F.min("x"), 2).alias("x"), F.round(F.min("y"), 2).alias("y"),
         F.round(F.max(F.col("x") + F.col("width")) - F.min("x"), 2).alias("width"),
         F.round(F.max(F.col("y") + F.col("height")) - F.min("y"), 2).alias("height"), F.min("confidence").alias("confidence"))

@@ -25,3 +25,18 @@ def test_a_single_call_named_by_two_windows_is_owned_twice(spark, tmp_path):
         "event_id long, user_id long, event_type string, value double")
     rows = _same(spark, tmp_path, "g11_manifest_violations", events=e)
     assert {r[0] for r in rows if r[1] == "CALL_OWNED_TWICE"} == {1, 4}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_folded_over_their_heights_not_over_their_items(spark):
+    from quillforge.operators import blocks as bl
+
+    items = spark.createDataFrame([("d", 0, i, f"w{i}", float(i), 10.0 * (i // 400) + i % 3, 0.5, 1.0, 0.9) for i in range(800)],
+                                  "doc_id string, page_index int, seq int, text string, x double, y double, width double, height double, confidence double")
+    pages = spark.createDataFrame([("d", 0, 5000.0)], "doc_id string, page_index int, width double")
+    lines = bl.items_to_lines(items, pages)
+    assert [(r.line, r["count"]) for r in lines.groupBy("line").count().orderBy("line").collect()] == [(0, 400), (1, 400)]
+    assert "arraysort" not in _plan(bl.lines_to_blocks(lines)).lower().replace("_", "")
