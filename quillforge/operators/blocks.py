@@ -23,22 +23,23 @@ def span_map(docs: DataFrame, column: str = "text") -> DataFrame:
     """
     gaps = F.regexp_extract_all(F.col(column), F.lit(_DROPPED), F.lit(0))
     kept = F.split(F.col(column), _DROPPED, -1)
-    df = docs.select("doc_id", F.col(column).alias("t"), F.arrays_zip(kept.alias("kept"), gaps.alias("gap")).alias("z"))
-    df = df.select("doc_id", "t", F.size("z").alias("n"), F.posexplode("z").alias("i", "p"))
-    df = df.select("doc_id", "n", F.posexplode(F.array(
-        F.struct(F.col("p.kept").alias("raw"), F.col("p.kept").alias("norm")),
-        F.struct(F.col("p.gap").alias("raw"), F.when(F.col("p.gap").startswith("-"), "").otherwise(" ").alias("norm")),
-    )).alias("half", "s"), "i").where("s.raw is not null and s.raw <> ''")
-    order = W.partitionBy("doc_id").orderBy("i", "half")
-    last = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("i"), F.desc("half"))) == 1
-    first = F.row_number().over(order) == 1
-    norm = F.when((F.col("half") == 1) & (first | last), "").otherwise(F.col("s.norm"))
-    df = df.select("doc_id", "i", "half", F.col("s.raw").alias("raw"), norm.alias("norm"))
-    raw_end, norm_end = F.sum(F.length("raw")).over(order), F.sum(F.length("norm")).over(order)
-    return df.select(
-        "doc_id", (F.row_number().over(order)).alias("piece"),
-        (raw_end - F.length("raw")).alias("raw_start"), raw_end.alias("raw_end"),
-        (norm_end - F.length("norm")).alias("norm_start"), norm_end.alias("norm_end"))
+    # a gap borders on kept text, so the texts kept first and last tell whether a gap opens or closes the document
+    df = docs.select("doc_id", F.arrays_zip(kept.alias("kept"), gaps.alias("gap")).alias("z"))
+    df = df.select("doc_id", F.size("z").alias("n"), (F.get("z", F.lit(0))["kept"] == "").alias("bare"), (F.element_at("z", -1)["kept"] == "").alias("ends"), F.posexplode("z").alias("i", "p"))
+    outer = (F.col("i") == 0) & F.col("bare") | (F.col("i") == F.col("n") - 2) & F.col("ends")
+    vanishes = outer | F.col("p.gap").startswith("-")
+    # only lengths go through the one sort, a row for each kept text with the gap after it
+    gap = F.coalesce(F.length("p.gap"), F.lit(0))
+    df = df.select("doc_id", "i", F.length("p.kept").alias("text"), gap.alias("gap"), F.when((gap == 0) | vanishes, 0).otherwise(1).alias("space"))
+    order = W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    n = (F.col("text") > 0).cast("int") + (F.col("gap") > 0).cast("int")
+    df = df.select(
+        "doc_id", "text", "gap", "space", F.sum(n).over(order).cast("int").alias("piece"),
+        F.sum(F.col("text") + F.col("gap")).over(order).alias("raw"), F.sum(F.col("text") + F.col("space")).over(order).alias("norm"))
+    raw, norm = F.col("raw") - F.col("gap"), F.col("norm") - F.col("space")
+    return df.select("doc_id", F.inline(F.array(
+        F.struct((F.col("piece") - (F.col("gap") > 0).cast("int")).alias("piece"), (raw - F.col("text")).alias("raw_start"), raw.alias("raw_end"), (norm - F.col("text")).alias("norm_start"), norm.alias("norm_end")),
+        F.struct(F.col("piece").alias("piece"), raw.alias("raw_start"), F.col("raw").alias("raw_end"), norm.alias("norm_start"), F.col("norm").alias("norm_end"))))).where("raw_end > raw_start")
 
 
 def map_range(ranges: DataFrame, spans: DataFrame) -> DataFrame:

@@ -40,3 +40,13 @@ def test_lines_are_folded_over_their_heights_not_over_their_items(spark):
     lines = bl.items_to_lines(items, pages)
     assert [(r.line, r["count"]) for r in lines.groupBy("line").count().orderBy("line").collect()] == [(0, 400), (1, 400)]
     assert "arraysort" not in _plan(bl.lines_to_blocks(lines)).lower().replace("_", "")
+
+
+def test_spans_of_a_text_go_through_one_sort(spark):
+    from quillforge.operators import blocks as bl
+
+    docs = spark.createDataFrame([(1, " ab-\nc  d "), (2, "x"), (3, "  "), (4, ""), (5, None)], "doc_id int, text string")
+    spans = bl.span_map(docs)
+    got = [(r.doc_id, r.piece, r.raw_start, r.raw_end, r.norm_start, r.norm_end) for r in spans.orderBy("doc_id", "piece").collect()]
+    assert got == [(1, 1, 0, 1, 0, 0), (1, 2, 1, 3, 0, 2), (1, 3, 3, 5, 2, 2), (1, 4, 5, 6, 2, 3), (1, 5, 6, 8, 3, 4), (1, 6, 8, 9, 4, 5), (1, 7, 9, 10, 5, 5), (2, 1, 0, 1, 0, 1), (3, 1, 0, 2, 0, 0)]
+    assert _plan(spans).count("Window [") == 1
