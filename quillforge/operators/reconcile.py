@@ -119,7 +119,7 @@ def overlapping_prompts(exercises: DataFrame, regions: DataFrame, blocks: DataFr
 
     Sources without offsets are the whole block.
     """
-    own = placed(_spans(exercises, "exercise_id", "prompt_region_ids", regions), blocks).distinct()
+    own = placed(blocks, _spans(exercises, "exercise_id", "prompt_region_ids", regions))[0]
     met = stabbed(own, own, ["doc_id", "block_id"]).where(
         "l_exercise_id <> r_exercise_id and (l_start < r_start or l_exercise_id < r_exercise_id)")
     pair = met.select("doc_id", "block_id", F.least("l_exercise_id", "r_exercise_id").alias("owner_id"), F.greatest("l_exercise_id", "r_exercise_id").alias("other_id"))
@@ -129,8 +129,9 @@ def overlapping_prompts(exercises: DataFrame, regions: DataFrame, blocks: DataFr
 
 def mixed_instruction(groups: DataFrame, exercises: DataFrame, regions: DataFrame, blocks: DataFrame) -> DataFrame:
     """Groups whose instruction regions share text with a prompt of the group, with the blocks in which they do."""
-    a = placed(_spans(groups, "group_id", "region_ids", regions.where("role = 'instruction'")), blocks).distinct()
-    p = placed(_spans(exercises, "exercise_id", "prompt_region_ids", regions, ("group_id",)).drop("exercise_id"), blocks).distinct()
+    a, p = placed(
+        blocks, _spans(groups, "group_id", "region_ids", regions.where("role = 'instruction'")),
+        _spans(exercises, "exercise_id", "prompt_region_ids", regions, ("group_id",)).drop("exercise_id"))
     keys = ["doc_id", "group_id", "block_id"]
     met = stabbed(a, p, keys).select(*keys).unionByName(stabbed(p, a, keys).select(*keys))
     return met.groupBy("doc_id", "group_id").agg(F.array_sort(F.collect_set("block_id")).alias("b")).select(

@@ -50,3 +50,18 @@ def test_spans_of_a_text_go_through_one_sort(spark):
     got = [(r.doc_id, r.piece, r.raw_start, r.raw_end, r.norm_start, r.norm_end) for r in spans.orderBy("doc_id", "piece").collect()]
     assert got == [(1, 1, 0, 1, 0, 0), (1, 2, 1, 3, 0, 2), (1, 3, 3, 5, 2, 2), (1, 4, 5, 6, 2, 3), (1, 5, 6, 8, 3, 4), (1, 6, 8, 9, 4, 5), (1, 7, 9, 10, 5, 5), (2, 1, 0, 1, 0, 1), (3, 1, 0, 2, 0, 0)]
     assert _plan(spans).count("Window [") == 1
+
+
+def test_overlaps_are_planned_without_a_pass_over_the_spans(spark):
+    from quillforge.operators import reconcile as rc
+
+    x = spark.createDataFrame([(1, f"e{i:02}", [f"r{i}"]) for i in range(40)], "doc_id int, exercise_id string, prompt_region_ids array<string>")
+    regions = spark.createDataFrame([(1, f"r{i}", [("b", i, i + 2 if i % 2 else 90)]) for i in range(40)],
+                                    "doc_id int, region_id string, sources array<struct<block_id:string,char_start:int,char_end:int>>")
+    blocks = spark.createDataFrame([(1, "b", "x" * 50)], "doc_id int, block_id string, raw_text string")
+    spark.sparkContext.setJobGroup("plan", "plan")
+    found = rc.overlapping_prompts(x, regions, blocks)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    span = {f"e{i:02}": (i, i + 2 if i % 2 else 90) for i in range(40)}
+    pairs = sorted((a, z) for a in span for z in span if a < z and max(span[a][0], span[z][0]) < min(span[a][1], span[z][1]))
+    assert sorted((r.owner_id, r.other_id) for r in found.collect()) == pairs
