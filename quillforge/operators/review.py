@@ -147,8 +147,11 @@ def apply_layout_decisions(reviews: DataFrame, candidates: DataFrame, decisions:
     code = F.when(F.col("__known").isNull(), "UNKNOWN_CANDIDATE").when(earlier, "ALREADY_DECIDED").when(F.row_number().over(order) > 1, "DUPLICATE_DECISION")
     d = d.withColumn("code", code).drop("__known")
     good = d.where("code is null").drop("code")
-    state = known.join(good.select("review_id", "candidate_id", "action"), ["review_id", "candidate_id"], "left").groupBy("review_id").agg(
-        F.count("*").alias("n"), F.count("action").alias("n_decided"), F.count_if(F.col("action") == "classify").alias("n_classified"),
+    # a candidate has one decision that counts, so candidates and decisions are counted apart, without a join of them
+    each = known.select("review_id", F.lit(1).alias("__n"), F.lit(None).cast("string").alias("action")).unionByName(
+        good.select("review_id", F.lit(0).alias("__n"), "action"))
+    state = each.groupBy("review_id").agg(
+        F.sum("__n").alias("n"), F.count("action").alias("n_decided"), F.count_if(F.col("action") == "classify").alias("n_classified"),
         F.count_if(F.col("action") == "exclude").alias("n_excluded"))
     complete = F.col("n_decided") == F.col("n")
     state = state.withColumn("status", F.when(complete & (F.col("n_classified") > 0), "resolved").otherwise("active")).withColumn(
@@ -165,13 +168,14 @@ def layout_drafts(candidates: DataFrame, accepted: DataFrame, states: DataFrame,
     """
     d = accepted.join(states.where("status = 'resolved'").select("review_id"), "review_id").join(
         candidates.select("review_id", "candidate_id", "raw_prompt"), ["review_id", "candidate_id"])
-    made = candidates_to_exercises(d.where("action = 'classify'"))
-    bad = made.where("error is not null").select("review_id", "candidate_id", F.col("error").alias("code"))
-    d = d.join(bad.select("review_id").distinct(), "review_id", "left_anti").join(
-        made.select("review_id", "candidate_id", "prompt", "options"), ["review_id", "candidate_id"], "left")
+    # exercises are made where the decisions stand, so that these are computed once
+    classify = F.col("action") == "classify"
+    d = candidates_to_exercises(d)
+    d = d.withColumns({c: F.when(classify, F.col(c)) for c in ("prompt", "options", "error")})
+    bad = d.where("error is not null").select("review_id", "candidate_id", F.col("error").alias("code"))
     name = F.concat(F.lit("candidate:"), F.col("candidate_id").cast("string"))
     row = F.struct("submission", "seq", name.alias("name"), "decision_id", "action", "kind", "outcome", "prompt", F.coalesce("options", F.array().cast("array<string>")).alias("options"), "raw_prompt")
-    one = d.groupBy("review_id").agg(F.array_sort(F.collect_list(row)).alias("ds"))
+    one = d.groupBy("review_id").agg(F.array_sort(F.collect_list(row)).alias("ds"), F.count("error").alias("n_bad")).where("n_bad = 0")
 
     def exercise(x, i):
         return F.struct(
@@ -222,7 +226,7 @@ def candidates_to_exercises(candidates: DataFrame) -> DataFrame:
         "options", F.when(choice & (F.col("at") > 1), options).when(choice, F.array().cast("array<string>")))
     few = choice & ((F.col("at") < 2) | (F.size("options") < 2))
     return df.select(
-        *[c for c in ("review_id",) if c in candidates.columns], "candidate_id", "kind", "prompt", "options",
+        *[c for c in candidates.columns if c not in ("prompt", "options", "error")], "prompt", "options",
         F.when(few, "TOO_FEW_OPTIONS").when(F.col("prompt") == "", "PROMPT_NOT_FOUND").alias("error"))
 
 

@@ -65,3 +65,15 @@ def test_overlaps_are_planned_without_a_pass_over_the_spans(spark):
     span = {f"e{i:02}": (i, i + 2 if i % 2 else 90) for i in range(40)}
     pairs = sorted((a, z) for a in span for z in span if a < z and max(span[a][0], span[z][0]) < min(span[a][1], span[z][1]))
     assert sorted((r.owner_id, r.other_id) for r in found.collect()) == pairs
+
+
+def test_drafts_compute_their_decisions_twice_at_most(spark):
+    from quillforge.operators import review as rv
+
+    c = spark.createDataFrame([(1, 1, "1. Pick ___ one\na) x\nb) y"), (2, 1, "1. Pick ___ one")], "review_id int, candidate_id int, raw_prompt string")
+    d = spark.createDataFrame([(r, 1, 1, 1, "classify", "singleChoice", "x", "d") for r in (1, 2)],
+                              "review_id int, candidate_id int, submission int, seq int, action string, kind string, outcome string, decision_id string")
+    good, _, states = rv.apply_layout_decisions(c.select("review_id").distinct(), c, d)
+    drafts, issues, bad = rv.layout_drafts(c, good, states, "Do.")
+    assert [r.review_id for r in drafts.collect()] == [1] and [(r.review_id, r.code) for r in bad.collect()] == [(2, "TOO_FEW_OPTIONS")]
+    assert _plan(drafts).count("Window [") <= 2
