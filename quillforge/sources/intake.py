@@ -229,7 +229,9 @@ def orphan_rows(edges: list[tuple[str, DataFrame, DataFrame, str, str, str]]) ->
     """
     out = None
     for name, child, parent, child_key, parent_key, child_id in edges:
-        lost = child.join(parent.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti").where(F.col(child_key).isNotNull())
+        keys = parent.select(F.col(parent_key).alias(child_key)).distinct()
+        # tasks hold their share of the distinct keys; the child's rows, which are more, pass without a sort
+        lost = child.join(keys.hint("shuffle_hash"), child_key, "left_anti").where(F.col(child_key).isNotNull())
         one = lost.select(F.lit(name).alias("edge"), F.col(child_id).cast("string").alias("entity_id"), F.col(child_key).cast("string").alias("missing"))
         out = one if out is None else out.unionByName(one)
     return out

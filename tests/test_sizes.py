@@ -89,3 +89,13 @@ def test_reused_entries_are_counted_over_sorted_rows(spark):
     found = gr.use_once_rejects(attempts, fields, spark.createDataFrame(given, "attempt_id int, field_id string, option_id string"))
     assert [tuple(r) for r in found.collect()] == [(1, "ENTRY_REUSED")]
     assert not any("Aggregate [" in line and "option_id" in line for line in _plan(found).splitlines())
+
+
+def test_orphans_are_found_without_a_sort_of_the_children(spark):
+    from quillforge.sources import intake
+
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "parent int, id string")
+    parent = spark.createDataFrame([(1,), (1,), (None,), (4,)], "key int")
+    found = intake.orphan_rows([("edge", child, parent, "parent", "key", "id")])
+    assert sorted((r.entity_id, r.missing) for r in found.collect()) == [("c", "2"), ("e", "3")]
+    assert "strategy=shuffle_hash" in _plan(found)
