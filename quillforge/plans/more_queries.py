@@ -226,9 +226,11 @@ b(d, r, room, batch) AS (SELECT d, r, [40 - n], 0 FROM u WHERE r = 1
 SELECT p.d AS draft_id, batch::INTEGER AS batch, g AS group_id, x AS exercise_id, first::INTEGER AS first, m::INTEGER AS n_fields FROM p JOIN u USING (d, pos, unit) JOIN b ON b.d = u.d AND b.r = u.r""")
 def g2_batches(spark, sf_dir):
     """Orders as drafts, return flags as groups, lines as exercises with a field for each piece; batches of 40."""
-    l = b.table(spark, sf_dir, "lineitem")
-    ex = l.groupBy(F.col("l_orderkey").alias("draft_id"), F.col("l_returnflag").alias("group_id"), F.concat_ws("/", "l_linenumber", "l_partkey").alias("exercise_id"),
-                   (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("ord")).agg(F.sum("l_quantity").cast("int").alias("n_fields"))
+    l = b.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("draft_id"), F.col("l_returnflag").alias("group_id"), F.concat_ws("/", "l_linenumber", "l_partkey").alias("exercise_id"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("ord"), "l_quantity")
+    # lines of a draft hardly ever make one exercise: they are dealt by draft once, before they are added up
+    ex = l.repartition("draft_id").groupBy("draft_id", "group_id", "exercise_id", "ord").agg(F.sum("l_quantity").cast("int").alias("n_fields"))
     return pl.pack_batches(ex, 40)
 
 
