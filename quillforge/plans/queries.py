@@ -70,9 +70,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ITEMS_SQL + " SELECT doc_id, ordinal::INTEGER AS ordinal, p AS source_prompt, nf::BIGINT AS n_fields FROM cut")
 def e3_item_prompts(spark, sf_dir):
     """Every item with its prompt and number of fields."""
-    items, fields, _ = ex.extract_text(b.exercise_texts(spark, sf_dir))
-    n = fields.groupBy("doc_id", "exercise_id").count()
-    return items.join(n, ["doc_id", "exercise_id"], "left").select("doc_id", "ordinal", "source_prompt", F.coalesce("count", F.lit(0)).alias("n_fields"))
+    items = ex.extract_text(b.exercise_texts(spark, sf_dir))[0]
+    # counted where the prompt is: fields as rows would have every text segmented twice and joined with itself
+    return items.select("doc_id", "ordinal", "source_prompt", ex.count_markers(F.col("source_prompt")).cast("long").alias("n_fields"))
 
 
 @query(_ITEMS_SQL + r""", f AS (SELECT doc_id, ordinal, unnest(regexp_extract_all(p, '\(([^)]+)\)', 1)) AS v, unnest(range(1, nf + 1)) AS i FROM cut WHERE regexp_matches(p, '\([^)]+\)'))

@@ -109,3 +109,12 @@ def test_batches_are_packed_without_a_join(spark, tmp_path):
     rows = _same(spark, tmp_path, "g2_batches", lineitem=l)
     assert sum(r[5] for r in rows) == sum(int(q) for *_, q, _ in lines)
     assert "Join" not in _plan(queries()["g2_batches"](spark, str(tmp_path)))
+
+
+def test_item_prompts_are_cut_in_one_pass(spark, tmp_path):
+    texts = ["one two three\nfour five\n\nsix seven ... eight", "a (b) c (d)", "", None, "x y .... z", "no ( bracket\n12 monkeys 2. again"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = _same(spark, tmp_path, "e3_item_prompts", documents=d)
+    assert {r[:2]: r[3] for r in rows}[(0, 1)] == 1
+    plan = _plan(queries()["e3_item_prompts"](spark, str(tmp_path)))
+    assert "Join" not in plan and plan.count("Relation [") == 1
