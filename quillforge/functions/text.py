@@ -36,22 +36,36 @@ def unify_newlines(col: Column) -> Column:
 #: white space at either end, of any script
 _ENDS = r"(?U)^\s+|\s+$"
 
+_FORMED = r"^[a-z0-9]++(?: [a-z0-9]++)*+\z"
+
 
 def normalize_answer(col: Column) -> Column:
     """English answer form of a text in compatibility form (``fold_compatible``): straight apostrophes, lower case, closing
     marks dropped once, long forms, single spaces."""
     straight = F.translate(col, "\u2018\u2019\u02bc", "'''")
-    out = F.regexp_replace(F.lower(straight), _ENDS, "")
+    low = F.lower(straight)
+    out = F.regexp_replace(low, _ENDS, "")
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[?!.]+$", ""), _ENDS, ""), r"(?U)\s+", " ")
     spelled = out
     for short, long in CONTRACTIONS.items():
         spelled = F.regexp_replace(spelled, rf"\b{short}\b", long)
     # every short form has an apostrophe: texts without one skip the search for them
-    return F.when(F.contains(straight, F.lit("'")), F.trim(F.regexp_replace(spelled, r"(?U)\s+", " "))).otherwise(out)
+    full = F.when(F.contains(straight, F.lit("'")), F.trim(F.regexp_replace(spelled, r"(?U)\s+", " "))).otherwise(out)
+    # words of letters and digits with single spaces have this form already
+    return F.when(low.rlike(_FORMED), low).otherwise(full)
 
 
 _PLAIN = r"^[\x00-\x7F]*$"
 
+#: full-width forms and the wide spaces, whose compatibility form is one ASCII character
+_WIDE = "\u00a0\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = unicodedata.normalize("NFKC", _WIDE)
+_SIMPLE = r"^[\x00-\x7F\x{FF01}-\x{FF5E}\x{A0}\x{3000}]*+\z"
+
+
+def _narrow(col: Column) -> Column:
+    return F.translate(col, _WIDE, _NARROW)
+
 
 @F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
@@ -64,20 +78,24 @@ def _nfkc_all(values: pd.Series) -> pd.Series:
 
 
 def fold_compatible(df: DataFrame, *columns: str) -> DataFrame:
-    """NFKC of string or string array columns.  Only rows beyond ASCII pass through Python; the others stay in the JVM."""
+    """NFKC of string or string array columns.  Only rows with characters beyond ASCII and its wide forms pass through Python; the others stay
+    in the JVM."""
     arrays = {c for c in columns if isinstance(df.schema[c].dataType, T.ArrayType)}
-    plain = F.lit(True)
+    plain, single = F.lit(True), {}
     for c in columns:
         text = F.array_join(c, " ") if c in arrays else F.col(c)
-        plain &= F.coalesce(text.rlike(_PLAIN), F.lit(True))
+        ascii_ = F.coalesce(text.rlike(_PLAIN), F.lit(True))
+        plain &= ascii_ | text.rlike(_SIMPLE)
+        single[c] = F.when(ascii_, F.col(c)).otherwise(F.transform(c, _narrow) if c in arrays else _narrow(F.col(c)))
     folded = {c: (_nfkc_all if c in arrays else _nfkc)(F.col(c)) for c in columns}
-    return df.where(plain).unionByName(df.where(~plain).withColumns(folded))
+    return df.where(plain).withColumns(single).unionByName(df.where(~plain).withColumns(folded))
 
 
 def matches_any(text: Column, accepted: Column) -> Column:
     """Whether a text equals any accepted value after normalization, both in compatibility form; false for nulls."""
-    # no lambda around the text's form, which would be taken anew for each accepted value
-    return F.coalesce(F.array_contains(F.transform(accepted, normalize_answer), normalize_answer(text)), F.lit(False))
+    # an accepted value as it stands needs no normal form; no lambda around the text's form, which would be taken anew for each value
+    same = F.array_contains(accepted, text)
+    return F.coalesce(same, F.lit(False)) | F.coalesce(F.array_contains(F.transform(accepted, normalize_answer), normalize_answer(text)), F.lit(False))
 
 
 def prompt_tokens(col: Column) -> Column:

@@ -118,3 +118,31 @@ def test_item_prompts_are_cut_in_one_pass(spark, tmp_path):
     assert {r[:2]: r[3] for r in rows}[(0, 1)] == 1
     plan = _plan(queries()["e3_item_prompts"](spark, str(tmp_path)))
     assert "Join" not in plan and plan.count("Relation [") == 1
+
+
+def test_wide_answers_are_folded_and_met_without_python(spark, monkeypatch):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from quillforge.functions import text as tx
+
+    @F.pandas_udf("string")
+    def refused(values):
+        raise ValueError(f"{len(values)} rows in Python")
+
+    texts = ["plain", "", None, " ｗｉｄｅ　ＴＥＸＴ！\t", "".join(map(chr, range(0xFF01, 0xFF5F))), "a \n"]
+    expected = [t and unicodedata.normalize("NFKC", t) for t in texts]
+    with monkeypatch.context() as m:
+        m.setattr(tx, "_nfkc", refused)
+        df = tx.fold_compatible(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t")
+        assert [r.t for r in df.orderBy("i").collect()] == expected
+    odd = ["é Ａ", "½", "ﬁn", "ｅ́", "ﾞ", "가"]
+    both = tx.fold_compatible(spark.createDataFrame([(i, t, [t, None, "ＡＢ"]) for i, t in enumerate(odd + texts[3:])], "i int, t string, a array<string>"), "t", "a")
+    assert [(r.t, r.a) for r in both.orderBy("i").collect()] == [
+        (unicodedata.normalize("NFKC", t), [unicodedata.normalize("NFKC", t), None, "AB"]) for t in odd + texts[3:]]
+    forms = {"ABC d1": "abc d1", "ab\n": "ab", " a": "a", "a  b": "a b", "It can't?!": "it cannot", "a?": "a", "?": "", "É b": "é b", "x ": "x"}
+    rows = spark.createDataFrame([(k, [v, "z"]) for k, v in forms.items()], "t string, a array<string>")
+    assert {r.t: r.n for r in rows.select("t", tx.normalize_answer(F.col("t")).alias("n")).collect()} == forms
+    assert all(r.m for r in rows.select(tx.matches_any(F.col("t"), F.col("a")).alias("m")).collect())
+    assert not any(r.m for r in rows.select(tx.matches_any(F.concat("t", F.lit("q")), F.col("a")).alias("m")).collect())
